@@ -37,10 +37,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def count_matches(text: Column, pattern: str) -> Column:
-    """Number of non-overlapping leftmost matches."""
-    if is_literal(pattern):
-        removed = F.char_length(text) - F.char_length(F.replace(text, F.lit(pattern), F.lit("")))
-        return (removed / F.lit(len(pattern))).cast("int")
+    """Number of non-overlapping leftmost matches (measured faster than replace-and-compare for literals too)."""
     return F.regexp_count(text, F.lit(pattern))
 
 
