@@ -82,10 +82,10 @@ def current_claims(df: DataFrame, claims: str = "claims") -> DataFrame:
     return out.withColumn(claims, F.when(F.size(preferred) > 0, preferred).otherwise(F.col("_live"))).drop("_live")
 
 
-def normalize_works_a(df: DataFrame, cap: int = 500) -> DataFrame:
-    """Works of an API with an inverted-index abstract to the unified schema."""
+def works_a_columns(cap: int = 500) -> list[Column]:
+    """Unified columns of a work with an inverted-index abstract."""
     doi = F.coalesce("doi", F.lit(""))
-    return df.select(
+    return [
         F.coalesce("title", F.lit("")).alias("title"),
         F.when(doi != "", doi).otherwise(F.coalesce("id", F.lit(""))).alias("url"),
         doi.alias("doi"),
@@ -93,13 +93,13 @@ def normalize_works_a(df: DataFrame, cap: int = 500) -> DataFrame:
         F.coalesce(F.col("primary_location.source.display_name"), F.lit("")).alias("journal"),
         F.left(rebuild_text(F.col("abstract_inverted_index")), F.lit(cap)).alias("abstract"),
         F.lit("index").alias("source_api"),
-    )
+    ]
 
 
-def normalize_works_b(df: DataFrame, cap: int = 500) -> DataFrame:
-    """Works of an API with array-valued titles and date parts to the unified schema."""
+def works_b_columns(cap: int = 500) -> list[Column]:
+    """Unified columns of a work with array-valued titles and date parts."""
     doi = F.coalesce("DOI", F.lit(""))
-    return df.select(
+    return [
         F.coalesce(F.get(F.col("title"), F.lit(0)), F.lit("")).alias("title"),
         F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise(F.coalesce("URL", F.lit(""))).alias("url"),
         doi.alias("doi"),
@@ -107,7 +107,12 @@ def normalize_works_b(df: DataFrame, cap: int = 500) -> DataFrame:
         F.coalesce(F.get(F.col("container-title"), F.lit(0)), F.lit("")).alias("journal"),
         F.left(F.coalesce("abstract", F.lit("")), F.lit(cap)).alias("abstract"),
         F.lit("registry").alias("source_api"),
-    )
+    ]
+
+
+def normalize_works(df: DataFrame, source: str, cap: int = 500) -> DataFrame:
+    """Works of API ``a`` or ``b`` in the unified schema."""
+    return df.select(*(works_a_columns(cap) if source == "a" else works_b_columns(cap)))
 
 
 def foreign_violators(df: DataFrame, pole_b: str, home: str, label: str = "label", country: str = "country",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import framelens.plans.io_queries  # noqa: F401
+import framelens.plans.record_queries  # noqa: F401
 import framelens.plans.text_queries  # noqa: F401
 import framelens.plans.web_queries  # noqa: F401
 from framelens.plans.registry import CATALOGUE, Tables

@@ -310,8 +310,8 @@ def _(t):
 
 
 RULES = pages.PageRules(
-    a_patterns=(r"(?i) with ", r"(?i) und ", r"\bThe\b"),
-    b_patterns=(r"(?i) was ", r"(?i) les ", r"\bLe\b"),
+    a_patterns=(r"(?i) with ", r"(?i) und ", "[> ]The[ <]"),
+    b_patterns=(r"(?i) was ", r"(?i) les ", "[> ]Le[ <]"),
     topic_pattern=r"(?i)tion",
     url_a=r"/de/|/fr/4|country=ua\b",
     url_b=r"/es/|/fr/8",
@@ -321,12 +321,12 @@ RULES = pages.PageRules(
     code_b="RU",
     b_origin="B",
 )
-_CNT_A = "len(regexp_extract_all(s, '(?i) with ')) + len(regexp_extract_all(s, '(?i) und ')) + len(regexp_extract_all(s, '\\bThe\\b'))"
-_CNT_B = "len(regexp_extract_all(s, '(?i) was ')) + len(regexp_extract_all(s, '(?i) les ')) + len(regexp_extract_all(s, '\\bLe\\b'))"
+_CNT_A = "len(regexp_extract_all(s, '(?i) with ')) + len(regexp_extract_all(s, '(?i) und ')) + len(regexp_extract_all(s, '[> ]The[ <]'))"
+_CNT_B = "len(regexp_extract_all(s, '(?i) was ')) + len(regexp_extract_all(s, '(?i) les ')) + len(regexp_extract_all(s, '[> ]Le[ <]'))"
 PROBE = f"""pg AS (SELECT page_id, url, {_TITLE} AS title, left({_CODES_BODY}, 200000) AS s, CASE page_id % 9 WHEN 0 THEN 'untested' WHEN 1 THEN 'na' WHEN 2 THEN 'ambiguous' ELSE 'correct' END AS prior,
   CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS http, CASE WHEN page_id % 11 = 0 THEN 'B' ELSE 'X' END AS origin FROM pages),
 pb AS (SELECT *, CASE WHEN regexp_matches(lower(url), '/de/|/fr/4|country=ua\\b') THEN 'a' WHEN regexp_matches(lower(url), '/es/|/fr/8') THEN 'b' END AS sig,
-  regexp_matches(title, '(?i) with | und ') OR regexp_matches(title, '\\bThe\\b') AS ta, regexp_matches(title, '(?i) was | les ') OR regexp_matches(title, '\\bLe\\b') AS tb, regexp_matches(title, '(?i)tion') AS topic,
+  regexp_matches(title, '(?i) with | und ') OR regexp_matches(title, '[> ]The[ <]') AS ta, regexp_matches(title, '(?i) was | les ') OR regexp_matches(title, '[> ]Le[ <]') AS tb, regexp_matches(title, '(?i)tion') AS topic,
   {_CNT_A} AS na, {_CNT_B} AS nb, contains(s, 'track') AS tz_b,
   CASE WHEN starts_with(trim(s), '{{') OR contains(lower(s), 'country=') THEN list_concat(regexp_extract_all(s, '"country"\\s*:\\s*"([A-Z]{{2}})"', 1), regexp_extract_all(s, 'country=([A-Z]{{2}})\\b', 1))[1:20] ELSE [] END AS codes FROM pg)
 """

@@ -23,12 +23,13 @@ CORPUS = T.StructType(
 CORRUPT = "_corrupt_record"
 
 
-def read_corpus(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = CORPUS, with_file: bool = False,
+def read_corpus(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = CORPUS, with_file: bool | str = False,
                 keep_bad: bool = False) -> DataFrame:
     """JSON-lines shards, plain or compressed by extension; globs are allowed.
 
     A line that is no JSON object, or that has no ``text``, is bad. Bad lines
     are dropped, or kept with ``is_bad`` set so that they can be counted.
+    ``with_file`` adds the file name, ``with_file="path"`` the whole path.
     """
     fields = [f for f in schema.fields if f.name != CORRUPT]
     full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
@@ -36,7 +37,7 @@ def read_corpus(spark: SparkSession, path: str | Sequence[str], schema: T.Struct
     bad = F.col(CORRUPT).isNotNull() | F.col("text").isNull()
     cols = [F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.name == "url" else F.col(f.name) for f in fields]
     if with_file:
-        cols.append(F.col("_metadata.file_name").alias("file"))
+        cols.append(F.col("_metadata.file_path" if with_file == "path" else "_metadata.file_name").alias("file"))
     out = raw.select(*cols, bad.alias("is_bad"))
     return out if keep_bad else out.where(~F.col("is_bad")).drop("is_bad")
 
@@ -47,12 +48,12 @@ def corpus_counts(df: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
 
 
 def select_shards(df: DataFrame, start: int | None = None, end: int | None = None, ids: Sequence[int] | None = None,
-                  file: str = "file") -> DataFrame:
+                  file: str = "file", pattern: str = "([0-9]+)") -> DataFrame:
     """Rows of a shard range (end exclusive) or of an explicit shard list.
 
-    The shard number is the first run of digits in the file name.
+    The shard number is group 1 of ``pattern``, the first run of digits by default.
     """
-    shard = F.regexp_extract(F.col(file), r"([0-9]+)", 1).try_cast("int")
+    shard = F.regexp_extract(F.col(file), pattern, 1).try_cast("int")
     if ids is not None:
         return df.where(shard.isin(*ids))
     cond = F.lit(True)

@@ -32,28 +32,30 @@ def classify_stream(docs: DataFrame, lex: Lexicon, out: str, checkpoint: str, **
     )
 
 
-def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
+def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str, order: Sequence[str] = (),
+              first_batch: int = 0) -> StreamingQuery:
     """Append only rows whose key was not written before, also across restarts.
 
     Each batch goes to its own folder, so a replayed batch overwrites itself
-    and compares only with the other batches.
+    and compares only with the other batches. A query with a fresh checkpoint
+    that continues an existing output starts its batch numbers at ``first_batch``.
     """
     by = list(order) or list(keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, folder = batch.sparkSession, first_batch + batch_id
         first = batch.withColumn("_k", F.struct(*keys).cast("string")).groupBy("_k").agg(
             F.min_by(F.struct(*batch.columns), F.struct(*by)).alias("_r")
         )
         schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
         try:
-            seen = spark.read.schema(schema).parquet(out).where(F.col("batch") != batch_id)
+            seen = spark.read.schema(schema).parquet(out).where(F.col("batch") != folder)
             seen = seen.select(F.struct(*keys).cast("string").alias("_k")).distinct()
             first = lookup_join(first, seen, "_k", "left_anti")
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        first.select("_r.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        first.select("_r.*").write.mode("overwrite").parquet(f"{out}/batch={folder}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
@@ -71,7 +73,8 @@ def running_counts(stream: DataFrame, by: Sequence[str]) -> DataFrame:
 def windowed_counts(stream: DataFrame, ts: str, width: str, by: Sequence[str], watermark: str = "1 day") -> DataFrame:
     """Counts per fixed window and key; the watermark bounds the state."""
     return (
-        stream.withWatermark(ts, watermark)
+        stream.withColumn(ts, F.col(ts).cast("timestamp"))
+        .withWatermark(ts, watermark)
         .groupBy(F.window(ts, width), *by)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("window_start"), *by, "n")
