@@ -83,6 +83,15 @@ def first_case(pairs: Iterable[tuple[Column, object]], default=None) -> Column:
     return fallback if out is None else out.otherwise(fallback)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A lambda of a higher-order function evaluates the outer expressions it
+    names again for every element; a bound variable is computed only once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     """Missing text is written as an empty string in the source records."""
     return F.nullif(F.trim(c), F.lit(""))

@@ -13,6 +13,7 @@ from framelens.functions.matching import (
     any_true,
     count_matches,
     first_case,
+    let,
     matches,
     rules_case,
     total,
@@ -87,42 +88,52 @@ def framing_type(news: Column, attributed: Column, structured: Column) -> Column
     )
 
 
-def signal_hits(text: Column, signals: Sequence[Signal], k: int | None = 5, ctx: int = 50) -> Column:
+def signal_hits(text: Column, signals: Sequence[Signal], k: int | None = 5, ctx: int = 50,
+                low: Column | None = None) -> Column:
     """Matches with their surrounding text, in lexicon order, first ``k`` kept.
 
     Positions follow from the pieces between the matches, so neighbouring
     contexts may overlap exactly as when cutting around each match position.
-    Matching is case-insensitive on the original text.
+    Matching is case-insensitive on the original text; ``low`` is its
+    lower-cased form when there is one already.
     """
-    per_signal = [_hits_of(text, s, k, ctx) for s in signals]
+    low = F.lower(text) if low is None else low
+    per_signal = [_hits_of(text, low, s, k, ctx) for s in signals]
     hits = F.concat(*per_signal) if len(per_signal) > 1 else per_signal[0]
     return hits if k is None else F.slice(hits, 1, k)
 
 
-def _hits_of(text: Column, s: Signal, k: int | None, ctx: int) -> Column:
+def _hits_of(text: Column, low: Column, s: Signal, k: int | None, ctx: int) -> Column:
     pattern = "(?iu)" + s.pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, F.lit(pattern), -1)
-    n = F.size(found) if k is None else F.least(F.size(found), F.lit(k))
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def step(acc: Column, i: Column) -> Column:
-        m = F.element_at(found, i)
-        start = acc["pos"] + F.char_length(F.element_at(pieces, i))
-        lo = F.greatest(start - F.lit(ctx), F.lit(0))
-        hi = start + F.char_length(m) + F.lit(ctx)
-        hit = F.struct(
-            m.alias("matched"),
-            F.lit(s.pole).alias("pole"),
-            F.lit(s.weight).alias("weight"),
-            F.lit(s.kind).alias("kind"),
-            F.trim(F.substring(text, lo + F.lit(1), hi - lo), F.lit(" \n\r\t")).alias("context"),
-        )
-        return F.struct((start + F.char_length(m)).alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
     empty = F.array().cast("array<struct<matched:string,pole:string,weight:double,kind:string,context:string>>")
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    parsed = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+        F.split(text, F.lit(pattern), -1).alias("pieces"),
+        text.alias("text"),
+    )
+
+    def cut(v: Column) -> Column:
+        n = F.size(v["found"]) if k is None else F.least(F.size(v["found"]), F.lit(k))
+
+        def step(acc: Column, i: Column) -> Column:
+            m = F.element_at(v["found"], i)
+            start = acc["pos"] + F.char_length(F.element_at(v["pieces"], i))
+            lo = F.greatest(start - F.lit(ctx), F.lit(0))
+            hi = start + F.char_length(m) + F.lit(ctx)
+            hit = F.struct(
+                m.alias("matched"),
+                F.lit(s.pole).alias("pole"),
+                F.lit(s.weight).alias("weight"),
+                F.lit(s.kind).alias("kind"),
+                F.trim(F.substring(v["text"], lo + F.lit(1), hi - lo), F.lit(" \n\r\t")).alias("context"),
+            )
+            return F.struct((start + F.char_length(m)).alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["out"])
+
+    # Most texts miss most signals: one search decides before anything is cut.
+    return F.when(matches(low, s.pattern), let(parsed, cut)).otherwise(empty)
 
 
 def mention_window(text: Column, low: Column, terms: Sequence[str], half: int, head: int = 2000) -> Column:
@@ -157,6 +168,12 @@ def group_hits(low: Column, patterns: Sequence[GroupPattern]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
 
 
+def groups_present(low: Column, patterns: Sequence[GroupPattern]) -> Column:
+    """Sorted names of the groups with at least one match."""
+    named = [F.when(any_match(low, [p.pattern for p in patterns if p.group == g]), F.lit(g)) for g in sorted(group_names(patterns))]
+    return F.array_compact(F.array(*named))
+
+
 def mention_label(low: Column, a_terms: Sequence[str], b_terms: Sequence[str], a="a", b="b", both=DISPUTED,
                   neither=NO_SIGNAL, priority: Sequence[str] = ()) -> Column:
     """A only, B only, both or neither; any ``priority`` term decides for A first."""

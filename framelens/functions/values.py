@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from framelens.functions import fixed
-from framelens.functions.matching import blank_to_null, first_case, total
+from framelens.functions.matching import blank_to_null, first_case, let, total
 
 
 def rebuild_text(index: Column) -> Column:
@@ -19,11 +19,12 @@ def rebuild_text(index: Column) -> Column:
             lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))),
         )
     )
-    ordered = F.array_sort(placed)
-    last = F.filter(
-        ordered, lambda x, i: F.coalesce(F.get(ordered, i + F.lit(1))["p"] != x["p"], F.lit(True))
-    )
-    return F.coalesce(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
+
+    def last_words(ordered: Column) -> Column:
+        last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + F.lit(1))["p"] != x["p"], F.lit(True)))
+        return F.array_join(F.transform(last, lambda x: x["w"]), " ")
+
+    return F.coalesce(let(F.array_sort(placed), last_words), F.lit(""))
 
 
 def find_doi(text: Column) -> Column:

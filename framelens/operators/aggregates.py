@@ -138,11 +138,15 @@ def coverage(df: DataFrame, col: str, none: str = "uncategorized") -> DataFrame:
 
 
 def group_breakdown(df: DataFrame, year: str, venue: str, stage1: str, groups: str = "groups") -> DataFrame:
-    """Documents per group alone and by year, venue and first-stage label, in one pass."""
-    opened = df.select(F.explode(groups).alias("grp"), *[
+    """Documents per group alone and by year, venue and first-stage label, in one pass.
+
+    The outer explode keeps Spark from inferring a "not empty" filter, which
+    would evaluate the group patterns a second time.
+    """
+    opened = df.select(F.explode_outer(groups).alias("grp"), *[
         F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown")).alias(k)
         for c, k in ((year, "year"), (venue, "venue"), (stage1, "stage1"))
-    ])
+    ]).where(F.col("grp").isNotNull())
     g, y, v, s = (F.col(c) for c in ("grp", "year", "venue", "stage1"))
     out = opened.groupingSets([[g], [g, y], [g, v], [g, s]], g, y, v, s).agg(
         F.grouping_id().alias("_gid"), F.count("*").alias("n")
@@ -408,7 +412,7 @@ def theme_summary(df: DataFrame, source: str, year: str, groups: str = "groups")
     """Themed sub-corpus by source, year and (overlapping) theme type, in long form."""
     themed = df.where(F.size(groups) > 0)
     flat = themed.select(
-        F.explode(
+        F.explode_outer(
             F.concat(
                 F.array(
                     F.struct(F.lit("all").alias("tally"), F.lit("all").alias("value")),

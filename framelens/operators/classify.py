@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import scoring, urls
-from framelens.functions.matching import any_contains
+from framelens.functions.matching import any_contains, any_match
 from framelens.lexicon import GroupPattern, Lexicon
 
 
@@ -108,12 +108,17 @@ def gated_label(df: DataFrame, lex: Lexicon, topic: Column, text: str = "text",
 
 
 def detect_groups(df: DataFrame, patterns: Sequence[GroupPattern], text: str = "text") -> DataFrame:
-    """Keep documents that hit at least one group; add ``hits`` (map) and ``groups`` (sorted names)."""
+    """Keep documents that hit at least one group; add ``groups`` (sorted names) and ``hits`` (map of counts).
+
+    Rows are kept and groups named by presence, which stops at the first
+    pattern; the counts are only computed when ``hits`` is used.
+    """
     low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    c = F.col("_low")
     return (
-        low.withColumn("hits", scoring.group_hits(F.col("_low"), patterns))
-        .where(F.size("hits") > 0)
-        .withColumn("groups", F.array_sort(F.map_keys("hits")))
+        low.where(any_match(c, [p.pattern for p in patterns]))
+        .withColumn("groups", scoring.groups_present(c, patterns))
+        .withColumn("hits", scoring.group_hits(c, patterns))
         .drop("_low")
     )
 

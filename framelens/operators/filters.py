@@ -82,6 +82,18 @@ def current_claims(df: DataFrame, claims: str = "claims") -> DataFrame:
     return out.withColumn(claims, F.when(F.size(preferred) > 0, preferred).otherwise(F.col("_live"))).drop("_live")
 
 
+def current_claim_rows(df: DataFrame, entity: str) -> DataFrame:
+    """:func:`current_claims` for one claim per row (``rank``, ``end``).
+
+    Whether an entity has a preferred claim is one aggregated flag per entity,
+    so a frequent entity is never gathered in one place.
+    """
+    live = df.where((F.col("rank") != "deprecated") & (F.coalesce(F.col("end").cast("string"), F.lit("")) == ""))
+    flags = live.where(F.col("rank") == "preferred").select(entity).distinct().withColumn("_preferred", F.lit(True))
+    marked = lookup_join(live, flags, entity)
+    return marked.where(F.col("_preferred").isNull() | (F.col("rank") == "preferred")).drop("_preferred")
+
+
 def works_a_columns(cap: int = 500) -> list[Column]:
     """Unified columns of a work with an inverted-index abstract."""
     doi = F.coalesce("doi", F.lit(""))

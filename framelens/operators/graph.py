@@ -15,7 +15,7 @@ def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: st
     written out, so a lost executor never replays the whole chain. The edge
     side may have hot parents: it is the salted side of the join.
     """
-    step_edges = edges.select(F.col(parent).alias("node"), F.col(child).alias("_child")).distinct()
+    step_edges = materialize(edges.select(F.col(parent).alias("node"), F.col(child).alias("_child")).distinct(), "edges")
     found = materialize(
         roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure"
     )

@@ -106,13 +106,8 @@ def flag_exists(df: DataFrame, keys: DataFrame, key: str, name: str = "verified"
 
 
 def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work that is not done yet, by composite key.
-
-    Both sides are reduced to one column first, so hot keys can be salted.
-    """
-    left = df.withColumn("_k", F.struct(*keys).cast("string"))
-    right = done.select(F.struct(*keys).cast("string").alias("_k")).distinct()
-    return lookup_join(left, right, "_k", "left_anti").select(*df.columns)
+    """Work that is not done yet, by composite key; a null key is never done."""
+    return lookup_join(df, done.select(*keys).distinct(), list(keys), "left_anti").select(*df.columns)
 
 
 def worklist(subjects: DataFrame, items: DataFrame, entities: Sequence[str], langs: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a scan of few unsplittable files over all cores.
+
+    Compressed shards and single-row-group files give one task each. With at
+    least as many files as cores the scan is left alone, so a large input is
+    never shuffled for this; ``by`` should be unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row]:
     """Collect a table that must be small; raise when it is not."""
     rows = df.limit(max_rows + 1).collect()
@@ -81,7 +93,15 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return got["n"] <= max_rows and (got["bytes"] or 0) <= max_bytes
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+def _one_key(keys: Sequence[str]) -> Column:
+    """A single comparable value for a (composite) key; null when a part is null."""
+    if len(keys) == 1:
+        return F.col(keys[0])
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return F.when(present, F.struct(*keys).cast("string"))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list:
     """Keys that hold at least about ``share`` of the rows.
 
     A bounded sketch per task is merged, so the cost does not depend on the
@@ -90,8 +110,9 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """
     k = max(1, int(1 / share))
     got = (
-        df.where(F.col(key).isNotNull())
-        .agg(F.expr(f"approx_top_k(`{key}`, {k}, {max(1024, k * 20)})").alias("top"), F.count(F.lit(1)).alias("n"))
+        df.select(_one_key(keys).alias("k"))
+        .where(F.col("k").isNotNull())
+        .agg(F.expr(f"approx_top_k(k, {k}, {max(1024, k * 20)})").alias("top"), F.count("*").alias("n"))
         .first()
     )
     floor = (got["n"] or 0) * share
@@ -113,7 +134,7 @@ def _has_map(t: T.DataType) -> bool:
     return False
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = SALTS,
+def salted_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left", salts: int = SALTS,
                 share: float = HOT_SHARE) -> DataFrame:
     """Equi-join on ``key`` that spreads hot and null keys of ``left``.
 
@@ -122,18 +143,20 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = hot_keys(left, key, share)
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    keys = [key] if isinstance(key, str) else list(key)
+    hot = hot_keys(left, keys, share)
+    one = _one_key(keys)
+    is_hot = F.coalesce(one.isin(hot), F.lit(False)) if hot else F.lit(False)
     salt = _spread([(f.name, f.dataType) for f in left.schema.fields], salts)
-    lhs = left.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, salt).otherwise(F.lit(0)))
+    lhs = left.withColumn("_salt", F.when(one.isNull() | is_hot, salt).otherwise(F.lit(0)))
     rhs = right.withColumn(
         "_salt",
         F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
     )
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join a dictionary: broadcast when measured small, salted shuffle join otherwise."""
     if fits_broadcast(right):
         return left.join(F.broadcast(right), key, how)

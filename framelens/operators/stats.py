@@ -19,16 +19,20 @@ from framelens.operators.scale import number_rows
 
 def wilson(k: Column, n: Column, z: float = fixed.Z_95) -> Column:
     """Struct (p, lo, hi) of the Wilson score interval, clamped to [0, 1]; zeros for n = 0."""
-    n = n.cast("double")
-    p = k / F.nullif(n, F.lit(0.0))
-    denom = F.lit(1.0) + F.lit(z * z) / F.nullif(n, F.lit(0.0))
-    centre = (p + F.lit(z * z / 2) / F.nullif(n, F.lit(0.0))) / denom
-    half = F.lit(z) * F.sqrt((p * (F.lit(1.0) - p) + F.lit(z * z / 4) / F.nullif(n, F.lit(0.0))) / F.nullif(n, F.lit(0.0))) / denom
-    zero = F.lit(0.0)
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
+    denom = F.lit(1.0) + F.lit(z * z) / n
+    centre = (p + F.lit(z * z / 2) / n) / denom
+    half = F.lit(z) * F.sqrt((p * (F.lit(1.0) - p) + F.lit(z * z / 4) / n) / n) / denom
+
+    def known(c: Column) -> Column:
+        # least and greatest skip nulls, so an empty sample is caught first.
+        return F.when(n.isNull(), F.lit(0.0)).otherwise(c)
+
     return F.struct(
-        F.coalesce(p, zero).alias("p"),
-        F.coalesce(F.greatest(zero, centre - half), zero).alias("lo"),
-        F.coalesce(F.least(F.lit(1.0), centre + half), zero).alias("hi"),
+        known(p).alias("p"),
+        known(F.greatest(F.lit(0.0), centre - half)).alias("lo"),
+        known(F.least(F.lit(1.0), centre + half)).alias("hi"),
     )
 
 

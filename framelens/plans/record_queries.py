@@ -404,9 +404,7 @@ def _(t):
 @query("flt_08_current_claims", R("claims", """, live AS (SELECT * FROM claims WHERE c_rank <> 'deprecated' AND c_end IS NULL), pf AS (SELECT person, bool_or(c_rank = 'preferred') AS has FROM live GROUP BY person)
 SELECT person, count(*) AS n FROM live JOIN pf USING (person) WHERE NOT has OR c_rank = 'preferred' GROUP BY person"""))
 def _(t):
-    # An entity record carries its claims as an array; here they are folded per person.
-    c = claims(t).groupBy("person").agg(F.collect_list(F.struct("country", F.col("end").cast("string").alias("end"), "rank")).alias("claims"))
-    return fl.current_claims(c).select("person", F.size("claims").cast("long").alias("n")).where("n > 0")
+    return fl.current_claim_rows(claims(t), "person").groupBy("person").agg(F.count("*").alias("n"))
 
 
 @query("fn_22_flatten_claims", R("claims", "SELECT claim_id, person, CASE country WHEN 'A' THEN 'Alpha' WHEN 'B' THEN 'Beta' ELSE country END AS country, c_rank, coalesce(c_start::VARCHAR, '') AS c_start, coalesce(c_end::VARCHAR, '') AS c_end FROM claims"))
@@ -495,8 +493,8 @@ def _(t):
 
 @query("st_01_wilson", """WITH g AS (SELECT source, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source UNION ALL SELECT '(none)', 0, 0),
 w AS (SELECT *, k::DOUBLE / nullif(n, 0) AS p, 1.96::DOUBLE AS z FROM g)
-SELECT source, k, n, coalesce(round(p, 6), 0) AS p, coalesce(round(greatest(0, ((p + z*z/(2*n)) - z*sqrt((p*(1-p) + z*z/(4*n))/n)) / (1 + z*z/n)), 6), 0) AS lo,
-  coalesce(round(least(1, ((p + z*z/(2*n)) + z*sqrt((p*(1-p) + z*z/(4*n))/n)) / (1 + z*z/n)), 6), 0) AS hi FROM w""")
+SELECT source, k, n, coalesce(round(p, 6), 0) AS p, CASE WHEN n = 0 THEN 0 ELSE round(greatest(0, ((p + z*z/(2*n)) - z*sqrt((p*(1-p) + z*z/(4*n))/n)) / (1 + z*z/n)), 6) END AS lo,
+  CASE WHEN n = 0 THEN 0 ELSE round(least(1, ((p + z*z/(2*n)) + z*sqrt((p*(1-p) + z*z/(4*n))/n)) / (1 + z*z/n)), 6) END AS hi FROM w""")
 def _(t):
     g = t.documents.select("doc_id", "source").join(t.labels, "doc_id").groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("*").alias("n"))
     empty = t.labels.agg(F.lit("(none)").alias("source"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n"))

@@ -7,12 +7,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelens.operators.scale import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
+# Tables with much work per row and the unique key that spreads them.
+SPREAD_BY = {
+    "documents": ("doc_id",),
+    "pages": ("page_id",),
+    "lineitem": ("l_orderkey", "l_partkey", "l_linenumber"),
+}
+
+
 @dataclass(frozen=True)
 class Tables:
     """The given tables of one directory, read on access."""
@@ -23,7 +33,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, *SPREAD_BY[name]) if name in SPREAD_BY else df
 
     def derived(self, name: str) -> DataFrame:
         """A record table derived from the given tables by the shared SQL in ``records``."""

@@ -219,7 +219,7 @@ SELECT doc_id, pos, matched, context FROM r WHERE pos <= 5"""
 @query("cls_04_signal_hits", _hits_sql())
 def _(t):
     d = t.documents.select("doc_id", scoring.signal_hits(F.col("text"), HIT_SIGNALS, 5, 50).alias("h"))
-    return d.select("doc_id", F.posexplode("h").alias("p", "v")).select(
+    return d.select("doc_id", F.posexplode_outer("h").alias("p", "v")).where("v IS NOT NULL").select(
         "doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("v.matched").alias("matched"), F.col("v.context").alias("context"))
 
 

@@ -190,7 +190,7 @@ def _(t):
 
 
 def citations(t: Tables) -> DataFrame:
-    d = t.derived("responses").select("response_id", "model", "language", F.explode(urls.extract_urls(F.col("text"))).alias("url"))
+    d = t.derived("responses").select("response_id", "model", "language", F.explode_outer(urls.extract_urls(F.col("text"))).alias("url")).where("url IS NOT NULL")
     return d.withColumn("origin", urls.citation_origin(F.col("url"), ("state1.example.ru", "a3.example.org"), ("gov.example",), COUNTRY_TLDS))
 
 
