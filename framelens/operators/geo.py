@@ -7,6 +7,8 @@ small, salted otherwise) and never a comparison of all pairs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,16 @@ def polygon_parts(df: DataFrame, ident: str, geometry_type: str = "type", polygo
 
 
 def points_in_polygons(points: DataFrame, parts: DataFrame, point_id: str, polygon_id: str, x: str = "x", y: str = "y",
-                       cell: float = 1.0) -> DataFrame:
-    """Pairs (point, polygon) with the point inside; a multi-polygon counts once."""
+                       cell: float | None = None) -> DataFrame:
+    """Pairs (point, polygon) with the point inside; a multi-polygon counts once.
+
+    Without a ``cell`` width the grid is chosen so that the bounding boxes
+    together cover about sixteen cells per polygon.
+    """
+    width = cell if cell is not None else grid_width(parts)
 
     def cell_of(v: Column) -> Column:
-        return F.floor(v / F.lit(cell)).cast("int")
+        return F.floor(v / F.lit(width)).cast("int")
 
     outer = F.get(F.col("rings"), F.lit(0))
     xs, ys = F.transform(outer, lambda p: p[0]), F.transform(outer, lambda p: p[1])
@@ -73,5 +80,14 @@ def points_in_polygons(points: DataFrame, parts: DataFrame, point_id: str, polyg
     )
 
 
+def grid_width(parts: DataFrame) -> float:
+    """Cell width from the summed area of the bounding boxes."""
+    outer = F.get(F.col("rings"), F.lit(0))
+    xs, ys = F.transform(outer, lambda p: p[0]), F.transform(outer, lambda p: p[1])
+    spans = [F.array_max(v) - F.array_min(v) for v in (xs, ys)]
+    got = parts.agg(F.sum(spans[0] * spans[1]).alias("area"), F.count("*").alias("n")).first()
+    return math.sqrt((got["area"] or 0.0) / (16 * max(got["n"], 1))) or 1.0
+
+
 def _cell_key(cx: Column, cy: Column) -> Column:
     return cx.cast("long") * F.lit(1 << 32) + cy.cast("long")

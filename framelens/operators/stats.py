@@ -219,16 +219,22 @@ def spearman(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     )
 
 
-def spearman_small(df: DataFrame, primary: str, others: Sequence[str], order: str, max_rows: int = 100_000) -> list[tuple[str, int, float | None]]:
-    """:func:`spearman` of one column against several, for one row per subject.
+def rank_correlations(df: DataFrame, primary: str, others: Sequence[str], order: str,
+                      max_rows: int = 100_000) -> list[tuple[str, int, float | None]]:
+    """:func:`spearman` of one column against several: (other, rows, rho).
 
-    Subjects are few by nature (their count is checked), so the ranks are
-    computed on the collected columns instead of several jobs per pair.
+    A table of one row per subject is small, which is checked; its ranks are
+    then taken on the collected columns. Larger tables are ranked distributed.
     """
-    from framelens.operators.scale import collect_bounded
-
-    rows = sorted(collect_bounded(df.select(order, primary, *others), max_rows), key=lambda r: r[order])
+    table = df.select(order, primary, *others)
+    rows = table.limit(max_rows + 1).collect()
     out = []
+    if len(rows) > max_rows:
+        for o in others:
+            r = spearman(table, primary, o, order).first()
+            out.append((o, r["n"], r["rho"]))
+        return out
+    rows.sort(key=lambda r: r[order])
     for o in others:
         xy = [(r[primary], r[o]) for r in rows if r[primary] is not None and r[o] is not None]
         if len(xy) < 2:
@@ -247,9 +253,9 @@ def stability(rho: float | None) -> str:
     return "stable" if rho >= 0.9 else "moderate" if rho >= 0.7 else "sensitive"
 
 
-def sensitivity(df: DataFrame, primary: str, others: Sequence[str], order: str) -> DataFrame:
+def sensitivity(df: DataFrame, primary: str, others: Sequence[str], order: str, max_rows: int = 100_000) -> DataFrame:
     """Rank correlation of the primary score with every other one, with a stability band."""
-    rows = [(o, n, r, stability(r)) for o, n, r in spearman_small(df, primary, others, order)]
+    rows = [(o, n, r, stability(r)) for o, n, r in rank_correlations(df, primary, others, order, max_rows)]
     return df.sparkSession.createDataFrame(rows, "metric string, n long, rho double, stability string")
 
 

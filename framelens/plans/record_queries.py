@@ -335,7 +335,7 @@ SELECT vec_id, poly_id FROM pr WHERE (dx >= 0 AND dx < 0.3 AND dy >= 0 AND dy <
 def _(t):
     pts = t.embeddings.select("vec_id", F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
     parts = geo.polygon_parts(polygon_rings(t), "poly_id")
-    return geo.points_in_polygons(pts, parts, "vec_id", "poly_id", cell=0.25)
+    return geo.points_in_polygons(pts, parts, "vec_id", "poly_id")
 
 
 @query("join_14_cross_validate", """WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_nationkey % 2 = 0 THEN 'UA' ELSE 'RU' END AS code FROM supplier), b AS (SELECT c_custkey AS k, CASE WHEN c_nationkey % 2 = 0 THEN 'UA' ELSE 'RU' END AS code FROM customer)
@@ -657,13 +657,12 @@ def _(t):
     return windows.every_nth(t.orders.select("o_orderkey", "o_totalprice"), 3, [F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey")
 
 
-@query("win_09_pick_nested", """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'alias ' || n_name END AS display, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE r_name END AS place FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("win_09_pick_nested", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'alias ' || c_name END AS display, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS place FROM customer""")
 def _(t):
-    d = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    flag = F.when(F.col("n_nationkey") % 3 == 0, "display").otherwise("label")
-    names = F.array(F.struct(F.concat(F.lit("alias "), "n_name").alias("value"), F.array(F.lit("alias")).alias("types")), F.struct(F.col("n_name").alias("value"), F.array(flag).alias("types")))
-    locs = F.when(F.col("n_nationkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("old"), F.col("r_name")))
-    return d.select("n_nationkey", windows.pick_name(names, "display").alias("display"), windows.last_element(locs).alias("place"))
+    flag = F.when(F.col("c_custkey") % 3 == 0, "display").otherwise("label")
+    names = F.array(F.struct(F.concat(F.lit("alias "), "c_name").alias("value"), F.array(F.lit("alias")).alias("types")), F.struct(F.col("c_name").alias("value"), F.array(flag).alias("types")))
+    locs = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("old"), F.col("c_mktsegment")))
+    return t.customer.select("c_custkey", windows.pick_name(names, "display").alias("display"), windows.last_element(locs).alias("place"))
 
 
 @query("win_10_order_languages", R("answers", """, g AS (SELECT language, count(*) FILTER (correct) AS correct, count(*) AS total FROM answers GROUP BY language), p AS (SELECT *, round(100.0::DOUBLE * correct / total, 1) AS pct FROM g)
@@ -765,11 +764,11 @@ def _(t):
     return t.supplier.select("s_suppkey", F.explode(values.spaced_hosts(prefix, 5)).alias("ip"))
 
 
-@query("fn_16_edition_links", "SELECT n_nationkey, n_regionkey::VARCHAR AS lang, n_name AS title FROM nation UNION ALL SELECT n_nationkey, 'x' || n_nationkey, n_name FROM nation")
+@query("fn_16_edition_links", "SELECT c_custkey, 'n' || c_nationkey AS lang, c_name AS title FROM customer UNION ALL SELECT c_custkey, 'x' || c_custkey, c_name FROM customer")
 def _(t):
-    rows = t.nation.select("n_nationkey", F.create_map(F.concat(F.col("n_regionkey").cast("string"), F.lit("wiki")), F.col("n_name"), F.lit("commonswiki"), F.lit("c"),
-                                                       F.concat(F.lit("x"), F.col("n_nationkey").cast("string"), F.lit("wiki")), F.col("n_name"), F.lit("frwikiquote"), F.lit("q")).alias("m"))
-    return rows.select("n_nationkey", F.explode(values.edition_links(F.col("m"))).alias("lang", "title"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"), F.lit("wiki"))
+    links = F.create_map(key("n", "c_nationkey"), F.col("c_name"), F.lit("commonswiki"), F.lit("c"), key("x", "c_custkey"), F.col("c_name"), F.lit("frwikiquote"), F.lit("q"))
+    return t.customer.select("c_custkey", F.explode(values.edition_links(links)).alias("lang", "title"))
 
 
 @query("fn_18_to_json", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS j FROM events")

@@ -50,7 +50,7 @@ def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str,
         schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
         try:
             seen = spark.read.schema(schema).parquet(out).where(F.col("batch") != folder)
-            seen = seen.select(F.struct(*keys).cast("string").alias("_k")).distinct()
+            seen = seen.select(F.struct(*keys).cast("string").alias("_k"))
             first = lookup_join(first, seen, "_k", "left_anti")
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
