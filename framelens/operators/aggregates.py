@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions import fixed
 from framelens.functions.values import percent
-from framelens.operators.scale import lookup_join
+from framelens.operators.scale import lookup_join, top_per_key
 
 
 
@@ -160,15 +160,13 @@ def group_breakdown(df: DataFrame, year: str, venue: str, stage1: str, groups: s
 def top_nested(df: DataFrame, key: str, inner: str, n: int) -> DataFrame:
     """The ``n`` keys with most rows, each with a map of its inner counts.
 
-    Ranks the keys on their totals first; the map is built only for the kept
-    keys, from already counted (key, inner) pairs.
+    ``inner`` is a label vocabulary: a map has one entry per label, folded from
+    already counted (key, inner) pairs in the same pass.
     """
     pairs = df.groupBy(key, inner).agg(F.count("*").alias("_n"))
-    totals = pairs.groupBy(key).agg(F.sum("_n").alias("total"))
-    kept = totals.orderBy(F.col("total").desc(), key).limit(n)
-    joined = pairs.join(F.broadcast(kept), key)
     entries = F.array_sort(F.collect_list(F.struct(F.col(inner), F.col("_n"))))
-    return joined.groupBy(key, "total").agg(F.map_from_entries(entries).alias("counts"))
+    nested = pairs.groupBy(key).agg(F.sum("_n").alias("total"), F.map_from_entries(entries).alias("counts"))
+    return nested.orderBy(F.col("total").desc(), key).limit(n)
 
 
 def cooccurrence(df: DataFrame, n: int, groups: str = "groups") -> DataFrame:
@@ -478,19 +476,28 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
 
 
 def summary_row(df: DataFrame, dims: Sequence[str], top: int = 1000) -> DataFrame:
-    """One row with a nested map of counts per dimension.
+    """One row with the total and a nested map of counts per dimension, in one pass.
 
-    Values are counted distributed; a map holds the ``top`` most frequent
-    values, further ones add up under ``(other)``.
+    A map holds the ``top`` most frequent values; further ones add up under
+    ``(other)``, so nothing is lost and the row stays small.
     """
-    out = df.agg(F.count("*").alias("total"))
-    for d in dims:
-        counts = df.groupBy(F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias("k")).agg(F.count("*").alias("n"))
-        kept = counts.orderBy(F.col("n").desc(), "k").limit(top)
-        entries = F.array_sort(F.collect_list(F.struct("k", "n")))
-        both = kept.agg(F.struct(entries.alias("e"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).alias("v")).scalar()
-        out = out.withColumn("_v", both).withColumn("_rest", F.col("total") - F.col("_v.s"))
-        other = F.array(F.struct(F.lit("(other)").alias("k"), F.col("_rest").alias("n")))
-        all_ = F.when(F.col("_rest") > 0, F.concat("_v.e", other)).otherwise(F.col("_v.e"))
-        out = out.withColumn(d, F.map_from_entries(all_)).drop("_v", "_rest")
-    return out
+    base = df.select(*[F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in dims])
+    cols = [F.col(d) for d in dims]
+    sets = base.groupingSets([*[[c] for c in cols], []], *cols).agg(F.grouping_id().alias("_gid"), F.count("*").alias("n"))
+    full = (1 << len(dims)) - 1
+    names = {full ^ (1 << (len(dims) - 1 - i)): d for i, d in enumerate(dims)} | {full: "(total)"}
+    dim = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("_gid").cast("int")]
+    long = sets.select(dim.alias("dim"), F.coalesce(*cols, F.lit("")).alias("k"), "n")
+    kept = top_per_key(long, ["dim"], [F.col("n").desc(), F.col("k")], top)
+    aggs = [F.coalesce(F.max(F.when(F.col("dim") == "(total)", F.col("n"))), F.lit(0)).alias("total")]
+    for i, d in enumerate(dims):
+        own = F.col("dim") == d
+        aggs.append(F.array_sort(F.collect_list(F.when(own, F.struct("k", "n")))).alias(f"_e{i}"))
+        aggs.append(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias(f"_s{i}"))
+    out = kept.agg(*aggs)
+    maps = []
+    for i, d in enumerate(dims):
+        rest = F.col("total") - F.col(f"_s{i}")
+        other = F.array(F.struct(F.lit("(other)").alias("k"), rest.alias("n")))
+        maps.append(F.map_from_entries(F.when(rest > 0, F.concat(f"_e{i}", other)).otherwise(F.col(f"_e{i}"))).alias(d))
+    return out.select("total", *maps)

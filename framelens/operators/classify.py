@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import scoring, urls
-from framelens.functions.matching import any_contains, any_match
+from framelens.functions.matching import any_contains
 from framelens.lexicon import GroupPattern, Lexicon
+from framelens.operators.scale import compute_once
 
 
 def with_scores(df: DataFrame, lex: Lexicon, text: str = "text", mode: str = "presence") -> DataFrame:
@@ -26,8 +27,8 @@ def with_scores(df: DataFrame, lex: Lexicon, text: str = "text", mode: str = "pr
     scorer = scoring.presence_score if mode == "presence" else scoring.occurrence_score
     low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     c = F.col("_low")
-    return low.withColumns(
-        {"score_a": scorer(c, lex.of_pole(lex.pole_a)), "score_b": scorer(c, lex.of_pole(lex.pole_b))}
+    return compute_once(
+        low, {"score_a": scorer(c, lex.of_pole(lex.pole_a)), "score_b": scorer(c, lex.of_pole(lex.pole_b))}
     ).drop("_low")
 
 
@@ -55,8 +56,8 @@ def classify(df: DataFrame, lex: Lexicon, text: str = "text", url: str | None =
     scorer = scoring.presence_score if mode == "presence" else scoring.occurrence_score
     shift = scoring.override_shift(low, lex.overrides)
     link = F.coalesce(F.col(url), F.lit("")) if url else F.lit("")
-    scored = base.withColumns(
-        {"_a": scorer(low, lex.of_pole(lex.pole_a)), "_b": scorer(low, lex.of_pole(lex.pole_b)), "_shift": shift}
+    scored = compute_once(
+        base, {"_a": scorer(low, lex.of_pole(lex.pole_a)), "_b": scorer(low, lex.of_pole(lex.pole_b)), "_shift": shift}
     ).withColumns(
         {
             "score_a": F.col("_a") + F.col("_shift"),
@@ -110,14 +111,14 @@ def gated_label(df: DataFrame, lex: Lexicon, topic: Column, text: str = "text",
 def detect_groups(df: DataFrame, patterns: Sequence[GroupPattern], text: str = "text") -> DataFrame:
     """Keep documents that hit at least one group; add ``groups`` (sorted names) and ``hits`` (map of counts).
 
-    Rows are kept and groups named by presence, which stops at the first
-    pattern; the counts are only computed when ``hits`` is used.
+    Groups are named by presence, which stops at the first pattern that
+    occurs; the counts are only computed when ``hits`` is used.
     """
     low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     c = F.col("_low")
     return (
-        low.where(any_match(c, [p.pattern for p in patterns]))
-        .withColumn("groups", scoring.groups_present(c, patterns))
+        compute_once(low, {"groups": scoring.groups_present(c, patterns)})
+        .where(F.size("groups") > 0)
         .withColumn("hits", scoring.group_hits(c, patterns))
         .drop("_low")
     )

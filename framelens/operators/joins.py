@@ -107,7 +107,7 @@ def flag_exists(df: DataFrame, keys: DataFrame, key: str, name: str = "verified"
 
 def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work that is not done yet, by composite key; a null key is never done."""
-    return lookup_join(df, done.select(*keys).distinct(), list(keys), "left_anti").select(*df.columns)
+    return lookup_join(df, done.select(*keys), list(keys), "left_anti").select(*df.columns)
 
 
 def worklist(subjects: DataFrame, items: DataFrame, entities: Sequence[str], langs: Sequence[str]) -> DataFrame:

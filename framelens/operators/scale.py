@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -65,6 +65,17 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
 
 
+def compute_once(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
+    """Add expensive columns so that they are evaluated exactly once per row.
+
+    A later filter on a projected column is pushed below the projection with
+    the expression copied into it, once per mention; it cannot be pushed
+    below a generator. The generator here yields one row per input row.
+    """
+    value = F.struct(*[c.alias(name) for name, c in exprs.items()])
+    return df.select("*", F.inline_outer(F.array(value)))
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row]:
     """Collect a table that must be small; raise when it is not."""
     rows = df.limit(max_rows + 1).collect()

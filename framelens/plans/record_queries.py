@@ -13,7 +13,7 @@ from framelens.lexicon import TextRule
 from framelens.operators import aggregates as ag
 from framelens.operators import filters as fl
 from framelens.operators import geo, graph, joins, sets, stats, windows
-from framelens.operators.scale import number_rows
+from framelens.operators.scale import compute_once, number_rows
 from framelens.plans.registry import Tables, query, with_records
 
 R = with_records
@@ -25,7 +25,7 @@ TIERS = ("D", "L", "I", "R")
 
 def classed_answers(t: Tables, **kw) -> DataFrame:
     a = t.derived("answers")
-    return a.withColumn("cls", an.classify_answer(F.col("raw_answer"), F.col("language"), F.col("question_type") == "geography", ENTITY, **kw))
+    return compute_once(a, {"cls": an.classify_answer(F.col("raw_answer"), F.col("language"), F.col("question_type") == "geography", ENTITY, **kw)})
 
 
 _YES = "CASE language WHEN 'fr' THEN 'oui' WHEN 'de' THEN 'ja' WHEN 'es' THEN 's[íi]' ELSE 'yes' END"
@@ -67,7 +67,7 @@ def open_classes(t: Tables) -> DataFrame:
         return F.when(is_a, F.array(*[F.lit(w) for w in x])).otherwise(F.array(*[F.lit(w) for w in y]))
 
     c = an.classify_open(F.col("raw_answer"), words((" with ", " und "), (" pour ",)), words((" was ", " sich "), (" les ",)), ("the and",), ("of to",))
-    return d.withColumn("o", c).select("conv_id", "turn", "o.*")
+    return compute_once(d, {"o": c}).select("conv_id", "turn", "o.*")
 
 
 @query("cls_19_open_class", R("open_answers", _OPEN + "SELECT conv_id, turn, label, hedged, has_a, has_b FROM ol"))

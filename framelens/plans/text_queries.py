@@ -11,6 +11,7 @@ from framelens.operators import aggregates as ag
 from framelens.operators import classify as cl
 from framelens.operators import filters as fl
 from framelens.operators import sets, windows
+from framelens.operators.scale import compute_once
 from framelens.plans.registry import Tables, query, with_records
 
 # A lexicon for the given documents: licence and function words against secrets,
@@ -412,8 +413,7 @@ def _(t):
 @query("agg_27_theme_summary", W(GRP, """, e AS (SELECT 'all' AS tally, 'all' AS value FROM gd UNION ALL SELECT 'source', source FROM gd UNION ALL SELECT 'year', lang FROM gd UNION ALL SELECT 'theme', unnest(groups) FROM gd)
 SELECT tally, value, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents), 1) AS share_pct FROM e GROUP BY 1, 2"""))
 def _(t):
-    low = F.lower("text")
-    d = t.documents.select("source", "lang", scoring.group_hits(low, GROUPS).alias("h")).withColumn("groups", F.map_keys("h")).drop("h")
+    d = compute_once(t.documents, {"groups": scoring.groups_present(F.lower("text"), GROUPS)})
     return ag.theme_summary(d, "source", "lang")
 
 

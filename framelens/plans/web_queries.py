@@ -10,6 +10,7 @@ from framelens.lexicon import DomainRule
 from framelens.operators import aggregates as ag
 from framelens.operators import filters as fl
 from framelens.operators import joins
+from framelens.operators.scale import compute_once
 from framelens.plans.registry import Tables, query, with_records
 
 SANCTIONS = (
@@ -338,7 +339,7 @@ def probed(t: Tables) -> DataFrame:
         "CASE page_id % 9 WHEN 0 THEN 'untested' WHEN 1 THEN 'na' WHEN 2 THEN 'ambiguous' ELSE 'correct' END AS prior",
         "CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS http", "CASE WHEN page_id % 11 = 0 THEN 'B' ELSE 'X' END AS origin")
     d = d.withColumn("title", pages.page_title(F.col("html")))
-    return d.withColumn("p", pages.probe_page(F.col("url"), F.col("title"), F.col("body"), RULES))
+    return compute_once(d, {"p": pages.probe_page(F.col("url"), F.col("title"), F.col("body"), RULES)})
 
 
 @query("cls_25_probe_page", f"WITH {PROBE} SELECT page_id, sig AS url_signal, ta AS title_a, tb AS title_b, topic AS title_topic, na::INT AS a_hits, nb::INT AS b_hits, tz_b, array_to_string(codes, ',') AS codes FROM pb")
