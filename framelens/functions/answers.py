@@ -108,7 +108,28 @@ def strip_reasoning(content: Column, reasoning: Column) -> Column:
     return F.coalesce(F.nullif(visible, F.lit("")), F.trim(reasoning, ws), F.lit(""))
 
 
-def probe_hits(response: Column, markers: Column) -> Column:
-    """Markers that occur in the response."""
+def probe_hits(response: Column, markers: Column, regex: bool = False) -> Column:
+    """Markers (plain text, or patterns with ``regex``) that occur in the response."""
     t = F.lower(F.coalesce(response, F.lit("")))
-    return F.filter(F.coalesce(markers, F.array().cast("array<string>")), lambda m: F.contains(t, F.lower(m)))
+    test = F.regexp_like if regex else F.contains
+    return F.filter(F.coalesce(markers, F.array().cast("array<string>")), lambda m: test(t, F.lower(m)))
+
+
+def probe_report(response: Column, urls: Column, markers: Column, anti: Column, phrases: Column, proxies: Sequence[str],
+                 regex: bool = False) -> Column:
+    """What a contamination probe finds in a response.
+
+    Struct of the claim markers, anti-markers and source phrases found, the
+    cited URLs of listed proxy sites, and whether any claim marker was found.
+    """
+    found = probe_hits(response, markers, regex)
+    cited = F.filter(
+        F.coalesce(urls, F.array().cast("array<string>")), lambda u: any_contains(F.lower(u), [p.lower() for p in proxies])
+    )
+    return F.struct(
+        found.alias("markers"),
+        probe_hits(response, anti, regex).alias("anti_markers"),
+        probe_hits(response, phrases, regex).alias("source_phrases"),
+        cited.alias("proxy_cited"),
+        (F.size(found) > 0).alias("is_hit"),
+    )

@@ -20,11 +20,11 @@ def ring_crossings(ring: Column, x: Column, y: Column) -> Column:
     n = F.size(ring)
 
     def crosses(i: Column) -> Column:
-        p = F.element_at(ring, i)
-        q = F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))
-        xi, yi, xj, yj = p[0], p[1], q[0], q[1]
-        dy = F.when(yj == yi, F.lit(1e-12)).otherwise(yj - yi)
-        return ((yi > y) != (yj > y)) & (x < (xj - xi) * (y - yi) / dy + xi)
+        here, before = F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))
+        # A level edge never straddles the ray, so its null slope does not matter.
+        slope = (before[0] - here[0]) / F.nullif(before[1] - here[1], F.lit(0.0))
+        straddles = (here[1] > y) != (before[1] > y)
+        return straddles & (x < here[0] + slope * (y - here[1]))
 
     edges = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.size(F.filter(edges, crosses))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions import answers as an
 from framelens.functions import fixed, values
+from framelens.functions.urls import extract_urls
 from framelens.lexicon import TextRule
 from framelens.operators import aggregates as ag
 from framelens.operators import filters as fl
@@ -91,20 +92,27 @@ def _(t):
     return t.conversations.select("conv_id", "turn", an.strip_reasoning(c, F.col("role")).alias("answer"))
 
 
-# Probe of a response: the benchmark item its conversation is assigned to; markers are the item's longer words.
-_PROBE = """WITH p AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')) AS markers FROM benchmark),
-nb AS (SELECT count(*) AS n FROM benchmark),
-r AS (SELECT conv_id, turn, lower(text) AS low, conv_id % (SELECT n FROM nb) AS item_id FROM conversations)
-SELECT conv_id, turn, len(list_filter(markers, lambda m: contains(low, m)))::BIGINT AS n_hits, len(list_filter(markers, lambda m: contains(low, m))) > 0 AS is_hit FROM r JOIN p USING (item_id)"""
+# Probe of a response: the benchmark item its conversation is assigned to. Markers are the item's longer words,
+# anti-markers its five-letter words, source phrases its first two words.
+_PROBE = R("responses", """, p AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')) AS mk, list_distinct(regexp_extract_all(lower(text), ' [a-z]{5} ')) AS an,
+  [lower(regexp_extract(text, '^[^ ]+ [^ ]+'))] AS ph FROM benchmark),
+r AS (SELECT response_id, lower(plain) AS low, list_distinct(regexp_extract_all(text, 'https?://[^\\s\\])>"'']+')) AS cited, conv_id % (SELECT count(*) FROM benchmark) AS item_id FROM responses)
+SELECT response_id, len(list_filter(mk, lambda m: contains(low, m)))::BIGINT AS n_markers, len(list_filter(an, lambda m: contains(low, m)))::BIGINT AS n_anti, len(list_filter(ph, lambda m: contains(low, m)))::BIGINT AS n_phrases,
+  len(list_filter(cited, lambda u: contains(u, 'state1.example.ru') OR contains(u, 'a3.example')))::BIGINT AS n_proxy, len(list_filter(mk, lambda m: contains(low, m))) > 0 AS is_hit FROM r JOIN p USING (item_id)""")
 
 
 @query("cls_23_probe_hits", _PROBE)
 def _(t):
     n = t.benchmark.agg(F.count("*").alias("n")).scalar()
-    probes = t.benchmark.select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("markers"))
-    r = t.conversations.withColumn("item_id", F.col("conv_id") % n)
-    d = joins.lookup_join(r, probes, "item_id", "inner").withColumn("h", F.size(an.probe_hits(F.col("text"), F.col("markers"))).cast("long"))
-    return d.select("conv_id", "turn", F.col("h").alias("n_hits"), (F.col("h") > 0).alias("is_hit"))
+    words = lambda p: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)))
+    phrase = F.array(F.lower(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0)))
+    probes = t.benchmark.select("item_id", words("[a-z]{6,}").alias("mk"), words(" [a-z]{5} ").alias("an"), phrase.alias("ph"))
+    r = t.derived("responses").select("response_id", "plain", extract_urls(F.col("text")).alias("cited"), (F.col("conv_id") % n).alias("item_id"))
+    rep = an.probe_report(F.col("plain"), F.col("cited"), F.col("mk"), F.col("an"), F.col("ph"), ("state1.example.ru", "a3.example"))
+    d = compute_once(joins.lookup_join(r, probes, "item_id", "inner"), {"p": rep})
+    size = lambda k: F.size(F.col(f"p.{k}")).cast("long")
+    return d.select("response_id", size("markers").alias("n_markers"), size("anti_markers").alias("n_anti"), size("source_phrases").alias("n_phrases"),
+                    size("proxy_cited").alias("n_proxy"), F.col("p.is_hit").alias("is_hit"))
 
 
 _X = "CASE WHEN classified = 'other' THEN NULL WHEN classified = 'disputed' THEN 0.5::DOUBLE WHEN correct IS NOT NULL THEN correct::INT::DOUBLE ELSE (classified = expected)::INT::DOUBLE END"

@@ -65,6 +65,15 @@ def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str,
     )
 
 
+def dedup_within(stream: DataFrame, keys: Sequence[str], ts: str, watermark: str) -> DataFrame:
+    """Drop repeated keys that arrive within the watermark; the state stays bounded.
+
+    Use :func:`skip_seen` when a key must never come back.
+    """
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    return timed.dropDuplicatesWithinWatermark(list(keys))
+
+
 def running_counts(stream: DataFrame, by: Sequence[str]) -> DataFrame:
     """Running counters; use complete or update mode."""
     return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

@@ -41,6 +41,16 @@ def test_json_and_reasoning(frame):
     assert [x[0] for x in r.select(an.strip_reasoning(F.col("c"), F.col("r"))).collect()] == ["yes", "why", ""]
 
 
+def test_probe_report(frame):
+    d = frame([("In 1939 it was 49.6 %, tatar as a state language", ["http://Proxy.example/x", "http://o.example"], ["49.6", "tatar.*state"], ["absent"], ["it was"])],
+              "r string, u array<string>, m array<string>, a array<string>, p array<string>")
+    args = [F.col(c) for c in "rumap"]
+    p = d.select(an.probe_report(*args, ("proxy.example",), regex=True).alias("p")).first()["p"]
+    assert (p["markers"], p["anti_markers"], p["source_phrases"], p["proxy_cited"], p["is_hit"]) == (
+        ["49.6", "tatar.*state"], [], ["it was"], ["http://Proxy.example/x"], True)
+    assert d.select(an.probe_report(*args, ()).alias("p")).first()["p"]["markers"] == ["49.6"]
+
+
 def test_composites(frame):
     d = frame([("m", "en", 1.0, 0.5, None, 0.0), ("m", "fr", None, None, 0.4, None), ("n", "en", None, None, None, None)], "model string, language string, D double, L double, I double, R double")
     got = {r["model"]: r for r in ag.scheme_scores(d, "model").collect()}

@@ -93,6 +93,15 @@ def test_skip_seen_and_counts(spark, tmp_path):
     assert sorted((r["k"], r["id"]) for r in spark.read.parquet(out).collect()) == [("x", 1), ("y", 3), ("z", 5)]
 
 
+def test_dedup_within_watermark(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    d = spark.sql("SELECT * FROM VALUES ('x', TIMESTAMP_NTZ'2024-01-01 00:00:00'), ('x', TIMESTAMP_NTZ'2024-01-01 00:10:00'), ('y', TIMESTAMP_NTZ'2024-01-01 00:20:00') AS t(k, ts)")
+    d.write.parquet(src)
+    s = streams.dedup_within(streams.file_stream(spark, src, d.schema, "parquet"), ["k"], "ts", "1 hour")
+    streams.drain(lambda: s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out))
+    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["x", "y"]
+
+
 def test_article_framing_and_answer_scores(spark):
     web = spark.createDataFrame([(1, "T", "http://u", "<p>alpha isle</p><script>beta</script>"), (2, "T", "http://u", "<p>beta isle</p>"), (3, "X", "http://w", "<p>beta</p>")],
                                 "pos int, title string, url string, html string")

@@ -121,16 +121,13 @@ def test_points_in_polygons_against_brute_force(frame):
     pts = [(i, (i % 27) * 0.5 - 0.3, (i // 27) * 0.5 - 0.3) for i in range(27 * 10)]
     got = {(r["id"], r["pid"]) for r in geo.points_in_polygons(frame(pts, "id int, x double, y double"), geo.polygon_parts(polys, "pid"), "id", "pid").collect()}
 
-    def ring(px, py, pts_):
-        inside, j = False, len(pts_) - 1
-        for i in range(len(pts_)):
-            (xi, yi), (xj, yj) = pts_[i], pts_[j]
-            if (yi > py) != (yj > py) and px < (xj - xi) * (py - yi) / ((yj - yi) or 1e-12) + xi:
-                inside = not inside
-            j = i
-        return inside
-
-    want = {(i, 1) for i, x, y in pts if ring(x, y, SQUARE) and not ring(x, y, HOLE)} | {(i, 2) for i, x, y in pts if ring(x, y, TRI) or ring(x, y, SQUARE)}
+    def inside(p, corners):
+        """Convex corner lists: the point is on the same side of every edge."""
+        turns = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for a, b in zip(corners, corners[1:] + corners[:1]) if a != b]
+        return all(t > 0 for t in turns) or all(t < 0 for t in turns)
+
+    square, hole, tri = ({i for i, *p in pts if inside(p, shape)} for shape in (SQUARE, HOLE, TRI))
+    want = {(i, 1) for i in square - hole} | {(i, 2) for i in square | tri}
     assert got == want and len(want) > 50
 
 
