@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -30,14 +29,14 @@ HOT_SHARE = 0.01
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by the session.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a local session may leave it unset: it gets a folder in its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="framelens-")
+    root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
