@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.operators.scale import top_per_key
@@ -59,6 +60,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
     return texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text")), totals
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a model of bounded size together with the code of its classes."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(broadcast: Broadcast):
+    return cloudpickle.loads(broadcast.value)
+
+
 class WordHash(dict):
     """xxh64 of byte words, remembered; the memory is cleared when it holds ``limit`` words."""
 
@@ -83,7 +93,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pieces(texts: pd.Series, max_chars: int = 1 << 20) -> Iterator[list[str | None]]:
+def pieces(texts: pd.Series | list, max_chars: int = 1 << 20) -> Iterator[list[str | None]]:
     """Cut a batch into runs of whole texts of about ``max_chars`` characters, so that working memory stays bounded."""
     part: list[str | None] = []
     held = 0

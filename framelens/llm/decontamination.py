@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm.common import mix64, per_batch
+from framelens.llm.common import mix64, per_batch, pieces, share, shared_value
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-_"
 SAMPLED, AGREE = 3, 0.6  # positions per repetition; expected share of equal positions at the distance limit
 LONGEST_RUN = 3
+CLASSES = 256  # the walk's random bits depend on one of so many classes of words
 
 
 @dataclass
@@ -39,7 +40,7 @@ class Items:
     repetitions: int
     run_keys: dict[int, np.ndarray] = field(default_factory=dict)
     run_places: dict[int, list[list[tuple[int, int]]]] = field(default_factory=dict)
-    tables: list[dict[tuple[int, int], list[int]]] = field(default_factory=list)
+    tables: dict[int, tuple] = field(default_factory=dict)  # by size: walks and, for each repetition, sorted keys and their items
 
 
 def tokens(text: str | bytes) -> list[bytes]:
@@ -56,29 +57,30 @@ def run_key(ids: np.ndarray, length: int) -> np.ndarray:
     return key
 
 
-def embed(windows: np.ndarray, size: int, repetition: int) -> np.ndarray:
-    """CGK embeddings (windows, 3 * size) of rows of word numbers, which are padded by -1 on the right."""
-    n = len(windows)
-    padded = np.concatenate([windows, np.full((n, 1), -1)], 1)
-    at = np.zeros(n, np.int64)
-    rows = np.arange(n)
-    out = np.empty((n, 3 * size), np.int64)
-    for step in range(3 * size):
-        symbol = padded[rows, at]
-        out[:, step] = symbol
-        bit = mix64((symbol + 2).astype(np.uint64) * np.uint64(0x9E3779B1) + np.uint64(step * 7919 + repetition * 104729)) >> np.uint64(63)
-        at = np.minimum(at + bit.astype(np.int64), size)
-    return out
+def walks(size: int, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of ``size`` words: the bit of (repetition, step, class of the word), and the sampled steps, sorted."""
+    rng = np.random.default_rng(1000 + size)
+    where = np.stack([np.sort(rng.choice(3 * size, min(SAMPLED, 3 * size), replace=False)) for _ in range(repetitions)])
+    return rng.integers(0, 2, (repetitions, 3 * size, CLASSES), np.int8), where
+
 
+def signatures(windows: np.ndarray, size: int, bits: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """(windows, repetitions): value of the sampled positions of each window's CGK embeddings.
 
-def signature(windows: np.ndarray, size: int, repetition: int) -> np.ndarray:
-    """Value of the sampled embedding positions of one repetition."""
-    rng = np.random.default_rng(1000 * size + repetition)
-    where = rng.choice(3 * size, min(SAMPLED, 3 * size), replace=False)
-    e = embed(windows, size, repetition)[:, where]
-    key = np.full(len(e), repetition, np.uint64)
-    for k in range(e.shape[1]):
-        key = mix64(key + (e[:, k] + 2).astype(np.uint64))
+    Windows are rows of word numbers, padded by -1 on the right; a walk that has read all ``size`` words stays behind them.
+    """
+    n, reps = len(windows), len(bits)
+    padded = np.concatenate([windows, np.full((n, 1), -1)], 1)
+    classes = (mix64((padded + 2).astype(np.uint64)) >> np.uint64(64 - 8)).astype(np.int64)
+    at = np.zeros((n, reps), np.int64)
+    key = np.broadcast_to(np.arange(reps, dtype=np.uint64), (n, reps)).copy()
+    rows, columns = np.arange(n)[:, None], np.arange(reps)[None, :]
+    for step in range(int(where.max()) + 1):
+        wanted = np.flatnonzero((where == step).any(1))
+        if len(wanted):
+            key[:, wanted] = mix64(key[:, wanted] + (padded[rows, at[:, wanted]] + 2).astype(np.uint64))
+        at += bits[columns, step, classes[rows, at]]
+        np.minimum(at, size, out=at)
     return key
 
 
@@ -104,11 +106,14 @@ def build(rows: list[tuple[int, str | None]], max_share: float, recall: float) -
         keys = sorted(table)
         it.run_keys[length] = np.array(keys, np.uint64)
         it.run_places[length] = [table[k] for k in keys]
-    for r in range(reps):
-        table: dict[tuple[int, int], list[int]] = {}
-        for j, ids in enumerate(it.words):
-            table.setdefault((len(ids), int(signature(ids[None, :], len(ids), r)[0])), []).append(j)
-        it.tables.append(table)
+    sizes: dict[int, list[int]] = {}
+    for j, ids in enumerate(it.words):
+        sizes.setdefault(len(ids), []).append(j)
+    for size, members in sizes.items():
+        bits, where = walks(size, reps)
+        keys = signatures(np.stack([it.words[j] for j in members]), size, bits, where)
+        order = np.argsort(keys, axis=0, kind="stable")
+        it.tables[size] = bits, where, np.take_along_axis(keys, order, 0), np.array(members)[order]
     return it
 
 
@@ -168,36 +173,45 @@ class Matcher:
                     out.add((max(0, a - offset), len(it.words[j])))
         return out
 
-    def match(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item id, edits, item words, first word, end word) of each item found, once, at its closest place."""
-        ws = tokens(text) if text else []
-        if not ws:
-            return []
+    def match(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, int]]]:
+        """For each text: (item id, edits, item words, first word, end word) of each item found, once, at its closest place."""
         it = self.items
-        ids = np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws))
-        by_size: dict[int, list[int]] = {}
-        for begin, size in self.windows(ids):
-            by_size.setdefault(size, []).append(begin)
-        tried: set[tuple[int, int]] = set()
-        best: dict[int, tuple[int, int, int]] = {}
-        for size, begins in by_size.items():
-            begins = sorted(begins)
-            block = np.full((len(begins), size), -1, np.int64)
-            for i, b in enumerate(begins):
-                part = ids[b:b + size]
-                block[i, :len(part)] = part
-            for r, table in enumerate(it.tables):
-                for i, key in enumerate(signature(block, size, r).tolist()):
-                    for j in table.get((size, key), ()):
-                        if (begins[i], j) not in tried:
-                            tried.add((begins[i], j))
-        for begin, j in sorted(tried):
-            k, size = it.limit[j], len(it.words[j])
-            lo = max(0, begin - k - 1)
-            d, a, b = edit_distance(it.words[j], ids[lo:begin + size + k + 1])
-            if d <= k and (j not in best or d < best[j][0]):
-                best[j] = (d, lo + a, lo + b)
-        return [(it.ids[j], d, len(it.words[j]), a, b) for j, (d, a, b) in sorted(best.items())]
+        ids: list[np.ndarray] = []
+        places: dict[int, list[tuple[int, int]]] = {}
+        for i, text in enumerate(texts):
+            ws = tokens(text) if text else []
+            ids.append(np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)))
+            for begin, size in self.windows(ids[i]):
+                places.setdefault(size, []).append((i, begin))
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        for size, found in places.items():
+            for i, begin, j in sorted(self.candidates(ids, size, found)):
+                k = it.limit[j]
+                lo = max(0, begin - k - 1)
+                d, a, b = edit_distance(it.words[j], ids[i][lo:begin + size + k + 1])
+                if d <= k and (j not in best[i] or d < best[i][j][0]):
+                    best[i][j] = (d, lo + a, lo + b)
+        return [[(it.ids[j], d, len(it.words[j]), a, b) for j, (d, a, b) in sorted(found.items())] for found in best]
+
+    def candidates(self, ids: list[np.ndarray], size: int, found: list[tuple[int, int]]) -> set[tuple[int, int, int]]:
+        """(text, begin, item) where a window agrees with an item in some repetition. Equal windows are embedded once."""
+        bits, where, keys, members = self.items.tables[size]
+        block = np.full((len(found), size), -1, np.int64)
+        for row, (i, begin) in enumerate(found):
+            part = ids[i][begin:begin + size]
+            block[row, :len(part)] = part
+        distinct, inverse = np.unique(block, axis=0, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        hits: dict[int, set[int]] = {}
+        for lo in range(0, len(distinct), 4096):
+            got = signatures(distinct[lo:lo + 4096], size, bits, where)
+            for r in range(got.shape[1]):
+                left, right = np.searchsorted(keys[:, r], got[:, r], "left"), np.searchsorted(keys[:, r], got[:, r], "right")
+                for w in np.flatnonzero(right > left):
+                    hits.setdefault(lo + int(w), set()).update(members[left[w]:right[w], r].tolist())
+        if not hits:
+            return set()
+        return {(*found[row], j) for row, w in enumerate(inverse.tolist()) for j in hits.get(w, ())}
 
 
 def item_blocks(bench: DataFrame, block_items: int, max_share: float, recall: float, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
@@ -218,12 +232,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, max_share: float = 0.2, reca
     """
     out = None
     for items in item_blocks(bench, block_items, max_share, recall):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = share(docs.sparkSession, items)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = Matcher(shared_value(shared))
             for batch in batches:
-                rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in matcher.match(t.as_py())]
+                found = [m for part in pieces(batch.column(1).to_pylist()) for m in matcher.match(part)]
+                rows = [(i, *m) for i, ms in zip(batch.column(0).to_pylist(), found, strict=True) for m in ms]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "item_words", "first_word", "end_word"])
 
@@ -236,11 +251,11 @@ def match_count(spark: SparkSession, bench: DataFrame, text_col: str = "text", m
     """Number of items that a text holds within the limit; 0 for a null or empty text. A document without any is clean."""
     total = F.lit(0)
     for items in item_blocks(bench, block_items, max_share, recall):
-        shared = spark.sparkContext.broadcast(items)
+        shared = share(spark, items)
 
         def make(shared=shared):
-            matcher = Matcher(shared.value)
-            return lambda texts: pd.Series([len(matcher.match(t)) for t in texts], dtype="int32")
+            matcher = Matcher(shared_value(shared))
+            return lambda texts: pd.Series([len(m) for part in pieces(texts) for m in matcher.match(part)], dtype="int32")
 
         total = total + per_batch(make, "int", F.col(text_col))
     return total

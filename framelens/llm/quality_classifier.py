@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import WordHash, labelled_sample, mix64, per_batch, platt, sigmoid
+from framelens.llm.common import WordHash, labelled_sample, mix64, per_batch, platt, share, shared_value, sigmoid
 
 BITS = 18
 PAIR = np.uint64(0xD1342543DE82EF95)
@@ -132,10 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_ro
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS) -> Column:
     """Score of each text, 0 to 1. A null or empty text is scored by its bias, like any text without known features."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        words, m = WordHash(), shared.value
+        words, m = WordHash(), shared_value(shared)
         return lambda texts: pd.Series([m.score(indicators(t, words, bits)) for t in texts], dtype="float64")
 
     return per_batch(make, "double", F.col(text_col))

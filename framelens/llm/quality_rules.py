@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import WordHash, mix64, per_batch_struct
+from framelens.llm.common import WordHash, mix64, per_batch_struct, share, shared_value
 
 # Fixed values of the base rules.
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -162,10 +162,10 @@ def rules_column(docs: DataFrame, field: Field, text_col: str = "text", least_sh
 
     A null or empty text has zeros, fails the base rule and is not kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
 
     def make():
-        f, known = shared.value, WordHash()
+        f, known = shared_value(shared), WordHash()
 
         def rules(texts: pd.Series) -> pd.DataFrame:
             out = []

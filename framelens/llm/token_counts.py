@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import per_batch_struct
+from framelens.llm.common import per_batch_struct, share, shared_value
 
 
 @dataclass(frozen=True)
@@ -96,10 +96,10 @@ def count_column(docs: DataFrame, automaton: Automaton, text_col: str = "text",
 
     Words are separated by ASCII white space; a word that does not begin its text is counted with one space before it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = share(docs.sparkSession, automaton)
 
     def make():
-        a, known = shared.value, {}
+        a, known = shared_value(shared), {}
 
         def pieces_of(word: bytes) -> int:
             n = known.get(word)

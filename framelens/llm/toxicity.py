@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import labelled_sample, per_batch, pieces, platt, sigmoid
+from framelens.llm.common import labelled_sample, per_batch, pieces, platt, share, shared_value, sigmoid
 
 WINDOW, STRIDE = 40, 32
 VOCABULARY, CHAR_SLOTS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 12, 8, 6, 8
@@ -340,10 +340,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
 
 def score_column(docs: DataFrame, net: Network, text_col: str = "text") -> Column:
     """Score of each whole text, 0 to 1. Null, empty and blank texts get the score of a window without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = share(docs.sparkSession, net)
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared_value(shared))
         return lambda texts: pd.Series(np.concatenate([scorer.scores(p) for p in pieces(texts)] or [np.empty(0)]))
 
     return per_batch(make, "double", F.col(text_col))
