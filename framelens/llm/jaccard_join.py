@@ -167,23 +167,24 @@ def difference_fits(percent: int, a: str, b: str, n: Column, m: Column) -> Colum
     return places * (100 + percent) <= (100 - percent) * (n + m)
 
 
-class Comparison:
-    """Candidate pairs (a, b) of class ids to links: filters by the other orders and the bit maps, then exact."""
-
-    def __init__(self, info: DataFrame, sets: DataFrame, percent: int):
-        self.info, self.sets, self.percent = info, sets, percent
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        one = self.info.select(F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(f"p{k}").alias(f"pa{k}") for k in range(1, ORDERS)], *[F.col(f"b{k}").alias(f"ma{k}") for k in range(MAP_WORDS)])
-        two = self.info.select(F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(f"p{k}").alias(f"pb{k}") for k in range(1, ORDERS)], *[F.col(f"b{k}").alias(f"mb{k}") for k in range(MAP_WORDS)])
-        got = pairs.join(one, "a").join(two, "b").where(difference_fits(self.percent, "ma", "mb", F.col("na"), F.col("nb")))
-        for k in range(1, ORDERS):
-            got = got.where(F.arrays_overlap(f"pa{k}", f"pb{k}"))
-        got = settle(got.select("a", "b", "na", "nb"), "candidates")
-        a, b = self.sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), self.sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        exact = got.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), shared.alias("shared"))
-        return settle(exact.where(100 * F.col("shared") >= self.percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
+def compare(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Candidate pairs (a, b) to links: the other orders' prefixes and the bit maps first, then the whole sets of what is left."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    names = [*[f"p{k}" for k in range(1, ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)]]
+    info = rows.join(wanted, "id", "left_semi").groupBy("id").agg(*[F.first(c).alias(c) for c in ["n", *names]])
+    info = settle(info, "info")
+    one = info.select(F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in names])
+    two = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in names])
+    got = pairs.join(one, "a").join(two, "b").where(difference_fits(percent, "ab", "bb", F.col("na"), F.col("nb")))
+    for k in range(1, ORDERS):
+        got = got.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
+    got = settle(got.select("a", "b", "na", "nb"), "candidates")
+    # Where few texts are left, this small table spares the shuffle of all texts.
+    ids = settle(got.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = settle(whole_sets(docs, ids, width, id_col, text_col), "sets")
+    a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    exact = got.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return settle(exact.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,26 +196,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     rows = settle(digest(docs, width, percent, id_col, text_col), "digest")
     real = rows.where("id IS NOT NULL AND n > 0")
-    rest = [F.first(c).alias(c) for c in ["n", *[f"p{k}" for k in range(ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)]]]
-    classes = real.groupBy("k1", "k2").agg(F.min("id").alias("c"))
-    reps = settle(real.groupBy("k1", "k2").agg(F.min("id").alias("id"), *rest), "classes")
-    postings = reps.select(F.explode("p0").alias("t"), "id", "n")
+    classes = settle(real.groupBy("k1", "k2").agg(F.min("id").alias("id")), "classes")
+    # One row per class: copies never meet.
+    leaders = real.select("id", "k1", "k2", "n", "p0").join(classes, ["id", "k1", "k2"], "left_semi")
+    postings = leaders.select(F.explode("p0").alias("t"), "id", "n")
     shared = postings.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
     meet = settle(postings.join(shared, "t").distinct(), "postings")
     central = meet.groupBy("id").agg(F.count("*").alias("m"))
     hubs = meet.join(central, "id").groupBy("t").agg(F.max(F.struct(F.col("m"), (-F.col("id")).alias("i"), F.col("n").alias("nh"))).alias("h"))
     hubs = settle(hubs.select("t", (-F.col("h.i")).alias("hub"), F.col("h.nh").alias("nh")), "hubs")
     star = meet.join(hubs, "t").where((F.col("id") != F.col("hub")) & near("n", "nh", percent)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    members = settle(meet.select("id").distinct(), "members")
-    info = reps.join(members, "id", "left_semi").select("id", "n", *[f"p{k}" for k in range(1, ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)])
-    compare = Comparison(info, settle(whole_sets(docs, members, width, id_col, text_col), "sets"), percent)
     star = settle(star, "star")
-    links = compare.links(star)
+    links = compare(star, rows, docs, width, percent, id_col, text_col)
     joined = components(links)
 
     named = meet.join(joined, "id", "left").withColumn("g", F.coalesce("component", "id"))
     open_tokens = named.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    bits = info.select("id", *[f"b{k}" for k in range(MAP_WORDS)])
+    bits = rows.select("id", *[f"b{k}" for k in range(MAP_WORDS)]).join(classes, "id", "left_semi").dropDuplicates(["id"])
     left = settle(named.join(open_tokens, "t").join(hubs, "t").join(joined.select(F.col("id").alias("hub"), F.col("component").alias("gh")), "hub", "left")
                   .select("t", "id", "n", "g", (F.col("g") != F.coalesce("gh", "hub")).alias("apart")).join(bits, "id"), "open")
     x = left.where("apart").select("t", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(MAP_WORDS)])
@@ -222,9 +220,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     fits = (F.col("gx") != F.col("gy")) & near("nx", "ny", percent) & difference_fits(percent, "x", "y", F.col("nx"), F.col("ny"))
     more = x.join(y, (F.col("t") == F.col("t2")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(more.join(star, ["a", "b"], "left_anti"), "rest")
-    found = links.union(compare.links(more))
+    found = links.union(compare(more, rows, docs, width, percent, id_col, text_col))
     joined = components(found)
 
-    out = rows.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").join(joined.withColumnRenamed("id", "c"), "c", "left")
+    out = rows.select("id", "n", "k1", "k2").join(classes.withColumnRenamed("id", "c"), ["k1", "k2"], "left").join(joined.withColumnRenamed("id", "c"), "c", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "c")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
