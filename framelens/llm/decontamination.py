@@ -58,9 +58,12 @@ def run_key(ids: np.ndarray, length: int) -> np.ndarray:
 
 
 def walks(size: int, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows of ``size`` words: the bit of (repetition, step, class of the word), and the sampled steps, sorted."""
+    """Of windows of ``size`` words: the bit of (repetition, step, class of the word), and the sampled steps, sorted.
+
+    Steps are sampled where a walk still reads words: it has used up ``size`` words after about twice as many steps.
+    """
     rng = np.random.default_rng(1000 + size)
-    where = np.stack([np.sort(rng.choice(3 * size, min(SAMPLED, 3 * size), replace=False)) for _ in range(repetitions)])
+    where = np.stack([np.sort(rng.choice(max(1, 8 * size // 5), min(SAMPLED, max(1, 8 * size // 5)), replace=False)) for _ in range(repetitions)])
     return rng.integers(0, 2, (repetitions, 3 * size, CLASSES), np.int8), where
 
 
@@ -188,7 +191,10 @@ class Matcher:
             for i, begin, j in sorted(self.candidates(ids, size, found)):
                 k = it.limit[j]
                 lo = max(0, begin - k - 1)
-                d, a, b = edit_distance(it.words[j], ids[i][lo:begin + size + k + 1])
+                passage = ids[i][lo:begin + size + k + 1]
+                if np.isin(it.words[j], passage).sum() < size - k:
+                    continue  # k edits leave at least size - k words of the item
+                d, a, b = edit_distance(it.words[j], passage)
                 if d <= k and (j not in best[i] or d < best[i][j][0]):
                     best[i][j] = (d, lo + a, lo + b)
         return [[(it.ids[j], d, len(it.words[j]), a, b) for j, (d, a, b) in sorted(found.items())] for found in best]

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm.common import WordHash, mix64
-from framelens.operators.scale import materialize
+from framelens.operators.scale import discard, materialize
 
 ORDERS, MAP_WORDS = 3, 16
-HEAVY_TOKENS, CHUNK, CHUNK_LEAST = 1 << 16, 1 << 21, 8
+HEAVY_TOKENS, CHUNK, CHUNK_LEAST = 1 << 19, 1 << 21, 3
 SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -149,7 +149,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))))).where("u > v").distinct()
-        edges = settle(small, "edges")
+        old, edges = edges, settle(small, "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == print_of:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -179,12 +180,15 @@ def compare(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, perc
     for k in range(1, ORDERS):
         got = got.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
     got = settle(got.select("a", "b", "na", "nb"), "candidates")
+    discard(info)
     # Where few texts are left, this small table spares the shuffle of all texts.
     ids = settle(got.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = settle(whole_sets(docs, ids, width, id_col, text_col), "sets")
     a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     exact = got.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return settle(exact.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
+    links = settle(exact.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
+    discard(got, ids, sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,9 +224,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     fits = (F.col("gx") != F.col("gy")) & near("nx", "ny", percent) & difference_fits(percent, "x", "y", F.col("nx"), F.col("ny"))
     more = x.join(y, (F.col("t") == F.col("t2")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(more.join(star, ["a", "b"], "left_anti"), "rest")
-    found = links.union(compare(more, rows, docs, width, percent, id_col, text_col))
-    joined = components(found)
+    more_links = compare(more, rows, docs, width, percent, id_col, text_col)
+    before, joined = joined, components(links.union(more_links))
+    narrow = settle(rows.select("id", "n", "k1", "k2"), "keys")
+    discard(rows, meet, hubs, star, left, more, links, more_links, before)
 
-    out = rows.select("id", "n", "k1", "k2").join(classes.withColumnRenamed("id", "c"), ["k1", "k2"], "left").join(joined.withColumnRenamed("id", "c"), "c", "left")
+    out = narrow.join(classes.withColumnRenamed("id", "c"), ["k1", "k2"], "left").join(joined.withColumnRenamed("id", "c"), "c", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "c")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))

@@ -120,14 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_ro
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out fold (the documented bound of the sample)."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def features(texts: pd.Series) -> pd.Series:
         words = WordHash()
-        return texts.map(lambda t: indicators(t, words, bits).astype(np.int32), na_action=None)
+        return texts.map(lambda t: indicators(t, words, bits).astype(np.int32).tobytes(), na_action=None)
 
     sample, totals = labelled_sample(docs, labels, target, sample_rows, id_col, text_col)
     got = sample.select("id", "y", features("text").alias("f")).orderBy("id").collect()
-    return fit([np.asarray(r["f"], np.int64) for r in got], np.array([r["y"] for r in got], int), totals, bits)
+    return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["y"] for r in got], int), totals, bits)
 
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS) -> Column:
