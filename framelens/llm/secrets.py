@@ -7,10 +7,13 @@ identifier characters by the log-likelihood ratio of two first-order Markov mode
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelens.llm.common import fresh
+
 # The base patterns in the order of their kinds. Longer minimum runs give the same spans as dropping short ones.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -65,19 +68,22 @@ def transitions(tokens: DataFrame) -> DataFrame:
     return tokens.where("token <> ''").select(F.inline(pairs)).where("a >= 0 AND b >= 0").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def fit(random: DataFrame, ordinary: DataFrame, smooth: float = 1.0) -> list[float]:
-    """Log-likelihood ratios by a * alphabet + b, from two tables of labelled tokens. The model has a fixed size."""
+def fit(random: DataFrame, ordinary: DataFrame, smooth: float = 1.0, strength: float = 5.0) -> list[float]:
+    """Log-likelihood ratios by a * alphabet + b, from two tables of labelled tokens. The model has a fixed size.
+
+    A transition is smoothed towards the share of its second character, so that rare neighbours still tell something.
+    """
     n = len(ALPHABET)
-    counts = []
+    models = []
     for tokens in (random, ordinary):
-        c = [[smooth] * n for _ in range(n + 1)]
+        c = [[0.0] * n for _ in range(n + 1)]
         for r in transitions(tokens).collect():
             c[r["a"]][r["b"]] += r["n"]
-        counts.append(c)
-    from math import log
-
-    one, two = counts
-    return [log(one[a][b] / sum(one[a])) - log(two[a][b] / sum(two[a])) for a in range(n + 1) for b in range(n)]
+        total = sum(map(sum, c)) + smooth * n
+        share = [(sum(row[b] for row in c) + smooth) / total for b in range(n)]
+        models.append([[(row[b] + strength * share[b]) / (sum(row) + strength) for b in range(n)] for row in c])
+    one, two = models
+    return [log(one[a][b] / two[a][b]) for a in range(n + 1) for b in range(n)]
 
 
 def train(docs: DataFrame, sample_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
@@ -113,7 +119,8 @@ def scan(docs: DataFrame, table: Sequence[float], least_ratio: float = 0.4, text
     """Add ``out_col``: every span as (start, kind, stop, text), by start, then kind; kinds number ``KINDS``.
 
     Base spans always stay. A run of at least 20 identifier characters outside them is added where its mean ratio per
-    character reaches ``least_ratio`` and its sum 10. Null and empty texts have no span.
+    character reaches ``least_ratio`` and its sum 10. Null and empty texts have no span. Other columns
+    stay; one called ``out_col`` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = base_spans(text)
@@ -128,8 +135,9 @@ def scan(docs: DataFrame, table: Sequence[float], least_ratio: float = 0.4, text
         return test
 
     # Each list is computed once: a generator over one element keeps later projections from repeating it.
-    rows = docs.select("*", F.inline(F.array(F.struct(base.alias("_base"), runs.alias("_runs")))))
-    return rows.withColumn(out_col, F.array_sort(F.concat("_base", F.filter("_runs", keep(F.col("_base")))))).drop("_base", "_runs")
+    b, r = fresh(docs, "_base"), fresh(docs, "_runs")
+    rows = docs.select("*", F.inline(F.array(F.struct(base.alias(b), runs.alias(r)))))
+    return rows.withColumn(out_col, F.array_sort(F.concat(b, F.filter(r, keep(F.col(b)))))).drop(b, r)
 
 
 def listing(column: str, kinds: int) -> Column:
