@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from framelens.functions import fixed
 from framelens.functions.matching import any_contains, any_true, first_case, total
 
-BODY_CAP = 200_000
 MIN_BODY_HITS = 5
 
 
@@ -29,7 +28,7 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", " ")
 
 
-def html_to_text(html: Column, cap: int | None = 5000, entities: bool = True) -> Column:
+def html_to_text(html: Column, cap: int | None = None, entities: bool = True) -> Column:
     """Readable text: boilerplate blocks dropped, tags to spaces, entities decoded, white space squeezed.
 
     ``cap=3000, entities=False`` is the variant used before a model reads the page.
@@ -40,6 +39,12 @@ def html_to_text(html: Column, cap: int | None = 5000, entities: bool = True) ->
     return t if cap is None else F.left(t, F.lit(cap))
 
 
+def head(body: Column, cap: int | None) -> Column:
+    """The whole body, or its first ``cap`` characters; a null body is empty."""
+    s = F.coalesce(body, F.lit(""))
+    return s if cap is None else F.left(s, F.lit(cap))
+
+
 def page_title(html: Column, cap: int = 200) -> Column:
     raw = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     return F.left(F.trim(decode_entities(raw), F.lit(" \n\r\t")), F.lit(cap))
@@ -62,9 +67,9 @@ def breadcrumb(html: Column) -> Column:
     return F.coalesce(ld, F.left(squeeze(strip_tags(element)), F.lit(200)))
 
 
-def ordered_codes(body: Column, limit: int = 20) -> Column:
+def ordered_codes(body: Column, limit: int = 20, cap: int | None = None) -> Column:
     """Country codes of a JSON-like body in order: quoted fields first, then ``country=XX``."""
-    s = F.left(F.coalesce(body, F.lit("")), F.lit(BODY_CAP))
+    s = head(body, cap)
     jsonish = F.regexp_like(s, F.lit(r"^\s*[\[{]")) | F.contains(F.lower(s), F.lit("country="))
     codes = F.concat(
         F.regexp_extract_all(s, F.lit(r"\x22country\x22\s*:\s*\x22([A-Z]{2})\x22"), F.lit(1)),
@@ -102,22 +107,22 @@ def mentions(text: Column, patterns: Sequence[str]) -> Column:
     return any_true(F.regexp_like(text, F.lit(p)) for p in patterns)
 
 
-def body_hits(body: Column, patterns: Sequence[str]) -> Column:
-    s = F.left(F.coalesce(body, F.lit("")), F.lit(BODY_CAP))
+def body_hits(body: Column, patterns: Sequence[str], cap: int | None = None) -> Column:
+    s = head(body, cap)
     return total((F.regexp_count(s, F.lit(p)) for p in patterns), F.lit(0))
 
 
-def probe_page(url: Column, title: Column, body: Column, rules: PageRules) -> Column:
+def probe_page(url: Column, title: Column, body: Column, rules: PageRules, cap: int | None = None) -> Column:
     """Struct of everything :func:`page_status` looks at."""
-    s = F.left(F.coalesce(body, F.lit("")), F.lit(BODY_CAP))
+    s = head(body, cap)
     never = F.lit(False)
     return F.struct(
         url_signal(url, rules).alias("url_signal"),
         mentions(title, rules.a_patterns).alias("title_a"),
         mentions(title, rules.b_patterns).alias("title_b"),
         F.regexp_like(title, F.lit(rules.topic_pattern)).alias("title_topic"),
-        body_hits(body, rules.a_patterns).alias("a_hits"),
-        body_hits(body, rules.b_patterns).alias("b_hits"),
+        body_hits(body, rules.a_patterns, cap).alias("a_hits"),
+        body_hits(body, rules.b_patterns, cap).alias("b_hits"),
         (F.regexp_like(s, F.lit(rules.tz_a)) if rules.tz_a else never).alias("tz_a"),
         (F.regexp_like(s, F.lit(rules.tz_b)) if rules.tz_b else never).alias("tz_b"),
         ordered_codes(body).alias("codes"),

@@ -475,11 +475,11 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def summary_row(df: DataFrame, dims: Sequence[str], top: int = 1000) -> DataFrame:
+def summary_row(df: DataFrame, dims: Sequence[str], top: int | None = None) -> DataFrame:
     """One row with the total and a nested map of counts per dimension, in one pass.
 
-    A map holds the ``top`` most frequent values; further ones add up under
-    ``(other)``, so nothing is lost and the row stays small.
+    Maps hold every value, or with ``top`` the most frequent ones; further ones
+    then add up under ``(other)``.
     """
     base = df.select(*[F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in dims])
     cols = [F.col(d) for d in dims]
@@ -488,7 +488,7 @@ def summary_row(df: DataFrame, dims: Sequence[str], top: int = 1000) -> DataFram
     names = {full ^ (1 << (len(dims) - 1 - i)): d for i, d in enumerate(dims)} | {full: "(total)"}
     dim = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("_gid").cast("int")]
     long = sets.select(dim.alias("dim"), F.coalesce(*cols, F.lit("")).alias("k"), "n")
-    kept = top_per_key(long, ["dim"], [F.col("n").desc(), F.col("k")], top)
+    kept = long if top is None else top_per_key(long, ["dim"], [F.col("n").desc(), F.col("k")], top)
     aggs = [F.coalesce(F.max(F.when(F.col("dim") == "(total)", F.col("n"))), F.lit(0)).alias("total")]
     for i, d in enumerate(dims):
         own = F.col("dim") == d

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.operators.scale import lookup_join, materialize
+from framelens.operators.scale import discard, lookup_join, materialize
 
 
-def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent", max_depth: int = 1_000) -> DataFrame:
-    """All nodes below each root: columns ``root``, ``node``, ``depth`` (shortest).
+def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent", max_depth: int | None = None) -> DataFrame:
+    """All nodes below each root: columns ``root``, ``node``, ``depth`` (shortest), to the last level or ``max_depth``.
 
     Only the new pairs of a level are joined with the edges, and each level is
     written out, so a lost executor never replays the whole chain. The edge
@@ -19,8 +19,9 @@ def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: st
     found = materialize(
         roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure"
     )
-    fresh = found
-    for depth in range(1, max_depth + 1):
+    fresh, levels, depth = found, [found], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         reached = (
             lookup_join(step_edges, fresh.select("node", "root"), "node", "inner")
             .select("root", F.col("_child").alias("node"))
@@ -28,7 +29,10 @@ def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: st
         )
         new = reached.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         fresh = materialize(new, "closure")
+        levels.append(fresh)
         if fresh.isEmpty():
             break
         found = found.unionByName(fresh)
-    return found.where(F.col("depth") > 0)
+    out = materialize(found.where(F.col("depth") > 0), "closure")
+    discard(step_edges, *levels)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import urls, values
-from framelens.operators.scale import fits_broadcast, lookup_join, top_per_key
+from framelens.operators.scale import lookup_join, top_per_key
 
 
 def lookup_host(df: DataFrame, directory: DataFrame, value_cols: Sequence[str], host: str = "host") -> DataFrame:
@@ -113,18 +113,11 @@ def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 def worklist(subjects: DataFrame, items: DataFrame, entities: Sequence[str], langs: Sequence[str]) -> DataFrame:
     """Every subject × item × (entity when the item is a template) × language.
 
-    The item table is small (its size is checked) and arrives as one array
-    value, so each subject row expands in place without a join or a shuffle.
+    The product is the feature; nothing is collected, and neither table is bounded.
     """
-    if not fits_broadcast(items, 100_000):
-        raise ValueError("the item table of a work list must be small")
-    cols = items.columns
-    every = items.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("v")).scalar()
-    opened = subjects.withColumn("_item", F.explode(every))
-    slots = F.when(F.col("_item.is_template"), F.array(*[F.lit(e) for e in entities])).otherwise(F.array(F.lit("")))
-    return opened.select(
-        *subjects.columns, *[F.col(f"_item.{c}").alias(c) for c in cols], F.explode(slots).alias("entity")
-    ).withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
+    slots = F.when(F.col("is_template"), F.array(*[F.lit(e) for e in entities])).otherwise(F.array(F.lit("")))
+    opened = subjects.crossJoin(items.withColumn("entity", F.explode(slots)))
+    return opened.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
 
 
 def worklist_size(subjects: DataFrame, items: DataFrame, n_entities: int, n_langs: int) -> DataFrame:

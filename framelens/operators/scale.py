@@ -63,17 +63,6 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Spread a scan of few unsplittable files over all cores.
-
-    Compressed shards and single-row-group files give one task each. With at
-    least as many files as cores the scan is left alone, so a large input is
-    never shuffled for this; ``by`` should be unique.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
-
-
 def compute_once(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
     """Add expensive columns so that they are evaluated exactly once per row.
 
@@ -113,15 +102,15 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return got["n"] <= max_rows and (got["bytes"] or 0) <= max_bytes
 
 
-def _one_key(keys: Sequence[str]) -> Column:
+def _one_key(keys: Sequence[Column]) -> Column:
     """A single comparable value for a (composite) key; null when a part is null."""
     if len(keys) == 1:
-        return F.col(keys[0])
-    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return F.when(present, F.struct(*keys).cast("string"))
+        return keys[0]
+    present = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+    return F.when(present, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).cast("string"))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list:
+def hot_keys(df: DataFrame, keys: Sequence[str | Column], share: float = HOT_SHARE) -> list:
     """Keys that hold at least about ``share`` of the rows.
 
     A bounded sketch per task is merged, so the cost does not depend on the
@@ -130,7 +119,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> li
     """
     k = max(1, int(1 / share))
     got = (
-        df.select(_one_key(keys).alias("k"))
+        df.select(_one_key([F.col(k) if isinstance(k, str) else k for k in keys]).alias("k"))
         .where(F.col("k").isNotNull())
         .agg(F.expr(f"approx_top_k(k, {k}, {max(1024, k * 20)})").alias("top"), F.count("*").alias("n"))
         .first()
@@ -139,19 +128,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> li
     return [t["item"] for t in (got["top"] or []) if t["count"] >= floor and t["count"] > 1]
 
 
-def _spread(columns: Sequence[tuple[str, T.DataType]], salts: int) -> Column:
-    usable = [F.col(f"`{c}`") for c, t in columns if not _has_map(t)]
-    return F.pmod(F.xxhash64(*usable), F.lit(salts)).cast("int")
-
-
-def _has_map(t: T.DataType) -> bool:
-    if isinstance(t, (T.MapType, T.VariantType)):
-        return True
-    if isinstance(t, T.ArrayType):
-        return _has_map(t.elementType)
-    if isinstance(t, T.StructType):
-        return any(_has_map(f.dataType) for f in t.fields)
-    return False
+def _common(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """The keys in the types that both sides' values compare in."""
+    both = left.select(*keys).limit(0).union(right.select(*keys).limit(0))
+    return [F.col(k).cast(both.schema[k].dataType) for k in keys]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left", salts: int = SALTS,
@@ -159,15 +139,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how
     """Equi-join on ``key`` that spreads hot and null keys of ``left``.
 
     Rows of ``right`` that carry a hot key are repeated ``salts`` times, rows of
-    ``left`` with that key get one of the salts from a hash of the whole row.
+    ``left`` with that key take the salts in turn, so equal rows are spread too.
+    Keys are compared in the type that both sides have in common.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     keys = [key] if isinstance(key, str) else list(key)
-    hot = hot_keys(left, keys, share)
-    one = _one_key(keys)
+    typed = _common(left, right, keys)
+    hot = hot_keys(left, typed, share)
+    one = _one_key(typed)
     is_hot = F.coalesce(one.isin(hot), F.lit(False)) if hot else F.lit(False)
-    salt = _spread([(f.name, f.dataType) for f in left.schema.fields], salts)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     lhs = left.withColumn("_salt", F.when(one.isNull() | is_hot, salt).otherwise(F.lit(0)))
     rhs = right.withColumn(
         "_salt",

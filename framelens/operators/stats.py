@@ -219,32 +219,11 @@ def spearman(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     )
 
 
-def rank_correlations(df: DataFrame, primary: str, others: Sequence[str], order: str,
-                      max_rows: int = 100_000) -> list[tuple[str, int, float | None]]:
-    """:func:`spearman` of one column against several: (other, rows, rho).
-
-    A table of one row per subject is small, which is checked; its ranks are
-    then taken on the collected columns. Larger tables are ranked distributed.
-    """
+def rank_correlations(df: DataFrame, primary: str, others: Sequence[str], order: str) -> list[tuple[str, int, float | None]]:
+    """:func:`spearman` of one column against several: (other, rows, rho). Ranks are always distributed."""
     table = df.select(order, primary, *others)
-    rows = table.limit(max_rows + 1).collect()
-    out = []
-    if len(rows) > max_rows:
-        for o in others:
-            r = spearman(table, primary, o, order).first()
-            out.append((o, r["n"], r["rho"]))
-        return out
-    rows.sort(key=lambda r: r[order])
-    for o in others:
-        xy = [(r[primary], r[o]) for r in rows if r[primary] is not None and r[o] is not None]
-        if len(xy) < 2:
-            out.append((o, len(xy), None))
-            continue
-        m = np.array(xy, dtype=float)
-        ranks = np.argsort(np.argsort(m, axis=0, kind="stable"), axis=0, kind="stable")
-        n, d2 = len(xy), float(np.sum((ranks[:, 0] - ranks[:, 1]) ** 2))
-        out.append((o, n, 1 - 6 * d2 / (n * (n * n - 1))))
-    return out
+    found = [(o, spearman(table, primary, o, order).first()) for o in others]
+    return [(o, r["n"], r["rho"]) for o, r in found]
 
 
 def stability(rho: float | None) -> str:
@@ -253,9 +232,9 @@ def stability(rho: float | None) -> str:
     return "stable" if rho >= 0.9 else "moderate" if rho >= 0.7 else "sensitive"
 
 
-def sensitivity(df: DataFrame, primary: str, others: Sequence[str], order: str, max_rows: int = 100_000) -> DataFrame:
+def sensitivity(df: DataFrame, primary: str, others: Sequence[str], order: str) -> DataFrame:
     """Rank correlation of the primary score with every other one, with a stability band."""
-    rows = [(o, n, r, stability(r)) for o, n, r in rank_correlations(df, primary, others, order, max_rows)]
+    rows = [(o, n, r, stability(r)) for o, n, r in rank_correlations(df, primary, others, order)]
     return df.sparkSession.createDataFrame(rows, "metric string, n long, rho double, stability string")
 
 

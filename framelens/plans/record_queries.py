@@ -473,7 +473,7 @@ def _(t):
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT CASE WHEN contains(lower(pob), 'nation_1') THEN 'One' WHEN contains(lower(pob), 'nation') THEN 'Nation' WHEN contains(lower(pob), 'low') THEN 'Low' ELSE 'Other' END AS pob_label, count(*) AS n FROM r WHERE pob <> '' GROUP BY 1""")
 def _(t):
-    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("nat. x; POB  "), "n_name", F.lit(", "), "o_orderpriority", F.lit("; DOB 1"))).when(
         F.col("o_orderkey") % 3 == 1, F.lit("DOB 2")).otherwise(F.concat(F.lit("POB "), "o_orderpriority"))
     return ag.birthplace_labels(d.withColumn("remarks", text), "remarks", (("nation_1", "One"), ("nation", "Nation"), ("low", "Low")))

@@ -45,9 +45,8 @@ RECORDS: dict[str, str] = {
           CASE WHEN l.l_quantity = 50 THEN NULL ELSE l.l_discount < 0.05 END AS correct,
           CASE CAST(l.l_quantity AS int) % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'disputed' WHEN 3 THEN 'other'
             WHEN 4 THEN 'yes' ELSE 'no' END AS classified,
-          CASE l.l_linenumber % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'L' WHEN 2 THEN 'I' ELSE 'R' END AS tier,
-          o.o_orderpriority AS priority
-        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
+          CASE l.l_linenumber % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'L' WHEN 2 THEN 'I' ELSE 'R' END AS tier
+        FROM {lineitem} l""",
     # Open-ended answers.
     "open_answers": """
         SELECT conv_id, turn, text AS raw_answer,

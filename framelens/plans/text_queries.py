@@ -176,7 +176,7 @@ def _(t):
 
 @query("flt_11_place_filter", "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(s_name), '00007') OR contains(lower(n_name), 'nation_1')")
 def _(t):
-    d = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    d = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return fl.place_filter(d, ("00007", "Nation_1"), "s_name", "n_name").select("s_suppkey", "s_name", "n_name")
 
 

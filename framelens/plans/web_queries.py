@@ -270,10 +270,10 @@ for _raw, _ch in fixed.HTML_ENTITIES:
     _ENT = f"replace({_ENT}, '{_raw}', '{_ch.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("fn_02_html_to_text", f"SELECT page_id, left(trim(regexp_replace({_ENT}, '[\\s\\p{{Z}}]+', ' ', 'g')), 5000) AS text, left(trim(regexp_replace({_NOTAG}, '[\\s\\p{{Z}}]+', ' ', 'g')), 3000) AS short_text FROM pages")
+@query("fn_02_html_to_text", f"SELECT page_id, left(trim(regexp_replace({_ENT}, '[\\s\\p{{Z}}]+', ' ', 'g')), 5000) AS text, trim(regexp_replace({_ENT}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS whole_text, left(trim(regexp_replace({_NOTAG}, '[\\s\\p{{Z}}]+', ' ', 'g')), 3000) AS short_text FROM pages")
 def _(t):
     h = F.col("html")
-    return t.pages.select("page_id", pages.html_to_text(h).alias("text"), pages.html_to_text(h, 3000, entities=False).alias("short_text"))
+    return t.pages.select("page_id", pages.html_to_text(h, 5000).alias("text"), pages.html_to_text(h).alias("whole_text"), pages.html_to_text(h, 3000, entities=False).alias("short_text"))
 
 
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
@@ -303,7 +303,7 @@ _CODES_BODY = """CASE WHEN page_id % 4 = 0 THEN concat('{"q": 1, "country": "UA"
   WHEN page_id % 4 = 1 THEN concat(html, '<a href="?country=RU&z=1">') WHEN page_id % 4 = 2 THEN concat('"country":"UA" ', html) ELSE html END"""
 
 
-@query("fn_05_ordered_codes", f"""WITH p AS (SELECT page_id, left({_CODES_BODY}, 200000) AS s FROM pages)
+@query("fn_05_ordered_codes", f"""WITH p AS (SELECT page_id, {_CODES_BODY} AS s FROM pages)
 SELECT page_id, CASE WHEN starts_with(trim(s), '{{') OR starts_with(trim(s), '[') OR contains(lower(s), 'country=') THEN
   array_to_string(list_concat(regexp_extract_all(s, '"country"\\s*:\\s*"([A-Z]{{2}})"', 1), regexp_extract_all(s, 'country=([A-Z]{{2}})\\b', 1))[1:20], ',') ELSE '' END AS codes FROM p""")
 def _(t):
@@ -324,7 +324,7 @@ RULES = pages.PageRules(
 )
 _CNT_A = "len(regexp_extract_all(s, '(?i) with ')) + len(regexp_extract_all(s, '(?i) und ')) + len(regexp_extract_all(s, '[> ]The[ <]'))"
 _CNT_B = "len(regexp_extract_all(s, '(?i) was ')) + len(regexp_extract_all(s, '(?i) les ')) + len(regexp_extract_all(s, '[> ]Le[ <]'))"
-PROBE = f"""pg AS (SELECT page_id, url, {_TITLE} AS title, left({_CODES_BODY}, 200000) AS s, CASE page_id % 9 WHEN 0 THEN 'untested' WHEN 1 THEN 'na' WHEN 2 THEN 'ambiguous' ELSE 'correct' END AS prior,
+PROBE = f"""pg AS (SELECT page_id, url, {_TITLE} AS title, {_CODES_BODY} AS s, CASE page_id % 9 WHEN 0 THEN 'untested' WHEN 1 THEN 'na' WHEN 2 THEN 'ambiguous' ELSE 'correct' END AS prior,
   CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS http, CASE WHEN page_id % 11 = 0 THEN 'B' ELSE 'X' END AS origin FROM pages),
 pb AS (SELECT *, CASE WHEN regexp_matches(lower(url), '/de/|/fr/4|country=ua\\b') THEN 'a' WHEN regexp_matches(lower(url), '/es/|/fr/8') THEN 'b' END AS sig,
   regexp_matches(title, '(?i) with | und ') OR regexp_matches(title, '[> ]The[ <]') AS ta, regexp_matches(title, '(?i) was | les ') OR regexp_matches(title, '[> ]Le[ <]') AS tb, regexp_matches(title, '(?i)tion') AS topic,

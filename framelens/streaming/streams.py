@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framelens.lexicon import Lexicon
 from framelens.operators.classify import classify
-from framelens.operators.scale import lookup_join
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", glob: str | None = None,
@@ -32,30 +33,28 @@ def classify_stream(docs: DataFrame, lex: Lexicon, out: str, checkpoint: str, **
     )
 
 
-def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str, order: Sequence[str] = (),
-              first_batch: int = 0) -> StreamingQuery:
-    """Append only rows whose key was not written before, also across restarts.
+def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
+    """Append only rows whose key was not written before, also across restarts and by other queries on the same output.
 
-    Each batch goes to its own folder, so a replayed batch overwrites itself
-    and compares only with the other batches. A query with a fresh checkpoint
-    that continues an existing output starts its batch numbers at ``first_batch``.
+    Keys compare column by column, null with null. Each batch has its own folder, named by its checkpoint and number, so a
+    replayed batch overwrites only itself and a fresh checkpoint never touches what another one wrote.
     """
     by = list(order) or list(keys)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, folder = batch.sparkSession, first_batch + batch_id
-        first = batch.withColumn("_k", F.struct(*keys).cast("string")).groupBy("_k").agg(
-            F.min_by(F.struct(*batch.columns), F.struct(*by)).alias("_r")
-        )
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        spark = batch.sparkSession
+        first = batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*batch.columns), F.struct(*by)).alias("_r"))
+        schema = T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
         try:
-            seen = spark.read.schema(schema).parquet(out).where(F.col("batch") != folder)
-            seen = seen.select(F.struct(*keys).cast("string").alias("_k"))
-            first = lookup_join(first, seen, "_k", "left_anti")
+            seen = spark.read.schema(schema).parquet(out).where((F.col("run") != run) | (F.col("batch") != batch_id))
+            seen = seen.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)])
+            same = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(f"_s{i}")) for i in range(len(keys))])
+            first = first.join(seen, same, "left_anti")
         except Exception as e:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        first.select("_r.*").write.mode("overwrite").parquet(f"{out}/batch={folder}")
+        first.select("_r.*").write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)

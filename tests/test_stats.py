@@ -83,7 +83,7 @@ def test_spearman_published(spark, frame):
     d = frame(SCORES, "pos int, primary double, uniform double, free_only double, harmonic_mean double")
     assert round(stats.spearman(d, "primary", "uniform", "pos").first()["rho"], 4) == 0.9774
     s = {r["metric"]: (r["n"], round(r["rho"], 4), r["stability"]) for r in stats.sensitivity(d, "primary", ["uniform", "free_only", "harmonic_mean"], "pos").collect()}
-    wide = stats.rank_correlations(d, "primary", ["uniform", "free_only"], "pos", max_rows=5)
+    wide = stats.rank_correlations(d, "primary", ["uniform", "free_only"], "pos")
     assert [(o, n, round(r, 4)) for o, n, r in wide] == [("uniform", 31, 0.9774), ("free_only", 16, -0.3853)], "distributed ranks agree"
     assert s == {"uniform": (31, 0.9774, "stable"), "free_only": (16, -0.3853, "sensitive"), "harmonic_mean": (21, 0.8351, "moderate")}
 
