@@ -74,7 +74,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_rows(read(spark, sf_dir, "documents"), shards=24)
-    law = [F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
+    law = [F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
     return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", *law)
 
 
