@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from framelens.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
+from framelens.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, queries, secrets, sharding, token_counts, toxicity
 from framelens.llm.common import WordHash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,6 +159,12 @@ def test_shards_are_even_and_gapless(docs, rows, spark):
     assert max(n.values()) - min(n.values()) < 40
 
 
+def test_sharding_query_has_the_columns_of_its_contract(spark):
+    got = queries.op10_sharding(spark, "/root/testdata/sf0.001")
+    want = {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    assert dict(got.dtypes) == want
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(1)
     words = [f"w{k}" for k in range(400)]
