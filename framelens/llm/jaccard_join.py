@@ -17,30 +17,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import WordHash, mix64
+from framelens.llm.common import mix64
 from framelens.operators.scale import discard, materialize
 
 ORDERS, MAP_WORDS = 3, 16
-HEAVY_TOKENS, CHUNK, CHUNK_LEAST = 1 << 19, 1 << 21, 3
+HEAVY_TOKENS, CHUNK, CHUNK_LEAST = 1 << 18, 1 << 21, 3
+BLOCK = 1 << 20
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BYTE = mix64(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(BASE))
 SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def shingles(text: str | None, width: int, words: WordHash) -> np.ndarray:
-    """Sorted distinct token hashes: runs of ``width`` words, the whole sequence if it is shorter, none without a word."""
-    if not text:
-        return np.empty(0, np.uint64)
-    ids = words.of(text.encode("utf-8", "surrogatepass").lower().split())
-    if not len(ids):
-        return ids
-    n = max(1, len(ids) - width + 1)
-    key = np.full(n, min(width, len(ids)), np.uint64)
-    for k in range(min(width, len(ids))):
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word of the texts whose bytes stand in ``data`` from one bound to the next.
+
+    A polynomial over the bytes, read off prefix sums; A-Z count as a-z. Working memory is bounded by blocks of whole words.
+    """
+    solid = ~SEPARATES[data]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE[data[lo:hi]] * powers(BASE, hi - lo), out=total[1:])
+        begin = starts[i:j] - lo
+        out[i:j] = mix64((total[ends[i:j] - lo] - total[begin]) * powers(INVERSE, hi - lo)[begin])
+        i = j
+    return out, np.searchsorted(bounds, starts, "right") - 1
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2 ** 64."""
+    table = np.full(n, base, np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
+def fold_words(ids: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each run of ``width`` words."""
+    n = len(ids) - width + 1
+    key = np.full(n, width, np.uint64)
+    for k in range(width):
         key = mix64(key * np.uint64(31) + ids[k:k + n])
-    return np.unique(key)
+    return key
+
+
+def token_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct token hashes: runs of ``width`` words, the whole sequence if it is shorter, none without a word."""
+    if not len(texts):
+        return
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = min(len(texts), max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, "right")) - 1))
+        ids, owner = words(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i])
+        held = np.bincount(owner, minlength=j - i)
+        key, at = np.empty(0, np.uint64), owner[:0]
+        if len(ids) >= width:
+            key, at = fold_words(ids, width), owner[:len(ids) - width + 1]
+            whole = at == owner[width - 1:]
+            key, at = key[whole], at[whole]
+        ends = np.cumsum(np.bincount(at, minlength=j - i))
+        word_ends = np.cumsum(held)
+        for k in range(j - i):
+            n = int(held[k])
+            if n >= width:
+                s = np.sort(key[ends[k] - (n - width + 1):ends[k]])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            else:
+                yield fold_words(ids[word_ends[k] - n:word_ends[k]], n) if n else np.empty(0, np.uint64)
+        i = j
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    return next(token_sets(pa.array([text], pa.string()), width))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -59,7 +126,7 @@ def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = WordHash(), [], 0
+        held, size = [], 0
 
         def report() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -67,8 +134,7 @@ def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["t", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                s = shingles(t.as_py(), width, words)
+            for s in token_sets(batch.column(0), width):
                 held.append(s)
                 size += len(s)
                 if size >= CHUNK:
@@ -77,9 +143,18 @@ def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
         if held:
             yield report()
 
-    got = docs.select(text_col).mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    rows = got.orderBy(F.desc("n"), "t").limit(HEAVY_TOKENS).select("t").toPandas()["t"]
-    return np.sort(rows.to_numpy(np.int64).view(np.uint64))
+    level = F.floor(8 * F.log2("n")).cast("int").alias("level")
+    got = settle(docs.select(text_col).mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).select("t", level), "heavy")
+    # Some 400 levels at most. The highest whose tokens fit together are taken whole.
+    taken, least = 0, 1 << 20
+    for r in sorted(got.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        taken += r["count"]
+        if taken > HEAVY_TOKENS:
+            break
+        least = r["level"]
+    tokens = got.where(F.col("level") >= least).select("t").toArrow().column(0).to_numpy()
+    discard(got)
+    return np.sort(tokens.view(np.uint64))
 
 
 def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -91,13 +166,12 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     names = ["id", "n", "k1", "k2", *[f"p{k}" for k in range(ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, often = WordHash(), heavy.value
+        often = heavy.value
         for batch in batches:
             ids, sizes, keys = batch.column(0), [], []
             prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
             maps = np.zeros((batch.num_rows, MAP_WORDS * 64), np.uint8)
-            for i, t in enumerate(batch.column(1)):
-                s = shingles(t.as_py(), width, words)
+            for i, s in enumerate(token_sets(batch.column(1), width)):
                 n = len(s)
                 sizes.append(n)
                 keys.append(np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64))
@@ -126,22 +200,25 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
     """(id, s): the sorted token sets of the texts with the given ids."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for batch in batches:
-            sets = [shingles(t.as_py(), width, words).view(np.int64) for t in batch.column(1)]
+            sets = [s.view(np.int64) for s in token_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
     return texts.mapInArrow(make, "id long, s array<long>")
 
 
+def fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable, for ids in links (a, b), by alternating large and small stars.
 
     Each round moves edges to smaller ends; edges are written between rounds. It ends when a round changes nothing.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    print_of = None
+    print_of = fingerprint(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -151,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))))).where("u > v").distinct()
         old, edges = edges, settle(small, "edges")
         discard(old)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        now = fingerprint(edges)
         if now == print_of:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         print_of = now
@@ -225,7 +302,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     more = x.join(y, (F.col("t") == F.col("t2")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(more.join(star, ["a", "b"], "left_anti"), "rest")
     more_links = compare(more, rows, docs, width, percent, id_col, text_col)
-    before, joined = joined, components(links.union(more_links))
+    before, joined = joined, components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links))
     narrow = settle(rows.select("id", "n", "k1", "k2"), "keys")
     discard(rows, meet, hubs, star, left, more, links, more_links, before)
 
