@@ -106,6 +106,19 @@ def token_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         i = j
 
 
+def grouped(sets: Iterator[np.ndarray], size: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Runs of whole sets with about ``size`` tokens."""
+    group, held = [], 0
+    for s in sets:
+        group.append(s)
+        held += len(s)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     return next(token_sets(pa.array([text], pa.string()), width))
 
@@ -171,18 +184,24 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
             ids, sizes, keys = batch.column(0), [], []
             prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
             maps = np.zeros((batch.num_rows, MAP_WORDS * 64), np.uint8)
-            for i, s in enumerate(token_sets(batch.column(1), width)):
-                n = len(s)
-                sizes.append(n)
-                keys.append(np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64))
-                maps[i, (s >> np.uint64(64 - 10)).astype(np.int64)] = 1
-                take = n - (percent * n + 99) // 100 + 1 if n else 0
-                at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
-                late = often[at] == s if len(often) else np.zeros(n, bool)
-                for k, salt in enumerate(SALTS):
-                    rank = (mix64(s ^ salt) >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-                    first = np.argpartition(rank, take - 1)[:take] if take < n else np.arange(n)
-                    prefixes[k].append((s[first] >> np.uint64(22)).astype(np.uint32).view(np.int32))
+            i = 0
+            for group in grouped(token_sets(batch.column(1), width)):
+                every = np.concatenate(group)
+                at = np.minimum(np.searchsorted(often, every), max(0, len(often) - 1))
+                late = (often[at] == every).astype(np.uint64) << np.uint64(63) if len(often) else np.uint64(0)
+                ranks = [(mix64(every ^ salt) >> np.uint64(1)) | late for salt in SALTS]
+                cut = (every >> np.uint64(22)).astype(np.uint32).view(np.int32)
+                places = (every >> np.uint64(64 - 10)).astype(np.int64)
+                lo = 0
+                for s in group:
+                    n, hi = len(s), lo + len(s)
+                    sizes.append(n)
+                    keys.append(np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64))
+                    maps[i, places[lo:hi]] = 1
+                    take = n - (percent * n + 99) // 100 + 1 if n else 0
+                    for k, rank in enumerate(ranks):
+                        prefixes[k].append(cut[lo:hi][np.argpartition(rank[lo:hi], take - 1)[:take]] if take < n else cut[lo:hi])
+                    i, lo = i + 1, hi
             bits = np.packbits(maps, axis=1).view(np.int64)
             pair = np.array(keys, np.int64).reshape(-1, 2)
             lists = []
@@ -278,11 +297,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     rows = settle(digest(docs, width, percent, id_col, text_col), "digest")
     real = rows.where("id IS NOT NULL AND n > 0")
     classes = settle(real.groupBy("k1", "k2").agg(F.min("id").alias("id")), "classes")
-    # One row per class: copies never meet.
-    leaders = real.select("id", "k1", "k2", "n", "p0").join(classes, ["id", "k1", "k2"], "left_semi")
-    postings = leaders.select(F.explode("p0").alias("t"), "id", "n")
-    shared = postings.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
+    # One row per class: copies never meet. All members of a class have the same size and prefixes.
+    leaders = settle(real.select("id", "k1", "k2", "n", "p0").join(classes, ["id", "k1", "k2"], "left_semi").select("id", "n", "p0"), "leaders")
+    # Both uses read the same three columns dealt by token, so Spark shuffles the postings once.
+    postings = leaders.select(F.explode("p0").alias("t"), "id", "n").repartition("t")
+    shared = postings.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("n").alias("most")).where("lo <> hi AND most > 0").select("t")
     meet = settle(postings.join(shared, "t").distinct(), "postings")
+    discard(leaders)
     central = meet.groupBy("id").agg(F.count("*").alias("m"))
     hubs = meet.join(central, "id").groupBy("t").agg(F.max(F.struct(F.col("m"), (-F.col("id")).alias("i"), F.col("n").alias("nh"))).alias("h"))
     hubs = settle(hubs.select("t", (-F.col("h.i")).alias("hub"), F.col("h.nh").alias("nh")), "hubs")
