@@ -315,3 +315,15 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, str(sf))
         assert out.columns == docs.columns, name
     assert 0 < corpus_pipeline.run(spark, str(sf)).count() and start > 0
+
+
+def test_token_sets_count_distinct_runs_of_words():
+    import pyarrow as pa
+
+    texts = ["", None, " \t", "a", "A b", "a b c d", "a b c d e", "a b c d a b c d a b c d", "\x0ba\x0c", "é ü x", "x" * 1_200_000 + " b c d e", "a b c d"]
+    sets = list(jaccard_join.token_sets(pa.array(texts, pa.string()), 4))
+    for text, got in zip(texts, sets, strict=True):
+        w = (text or "").encode().lower().split()
+        assert len(got) == (len({tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))}) if w else 0)
+    assert list(sets[5]) == list(sets[11]) and list(sets[3]) == list(sets[8])
+    assert list(jaccard_join.shingles("x  B\ny", 4)) == list(jaccard_join.shingles("X b Y", 4)) != list(jaccard_join.shingles("x b", 4))
