@@ -185,6 +185,24 @@ def test_decontamination_finds_edited_items(spark):
     assert decontamination.contaminated(d, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 15, 38, 59, 100, 180, 300])
+def test_decontamination_reaches_its_recall_at_the_limit(size):
+    rng = random.Random(size)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, text_of(rng, size, words)) for k in range(60)]
+    matcher = decontamination.Matcher(decontamination.build(items, 0.2, 0.98))
+    for kind in ("substitutions", "deletions", "insertions", "mixed"):
+        texts = []
+        for _, t in items:
+            w = t.split()
+            gone = set(rng.sample(range(size), size // 5))
+            how = {p: rng.choice(("substitutions", "deletions", "insertions")) if kind == "mixed" else kind for p in gone}
+            new = [x for p, v in enumerate(w) for x in {None: [v], "substitutions": ["other"], "deletions": [], "insertions": [v, "other"]}[how.get(p)]]
+            texts.append(" ".join([text_of(rng, 50, words), *new, text_of(rng, 50, words)]))
+        found = [any(m[0] == k for m in got) for k, got in enumerate(matcher.match(texts))]
+        assert sum(found) >= 57, (kind, sum(found))
+
+
 def test_edit_distance():
     assert decontamination.edit_distance(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 4, 9]))[0] == 1
     assert decontamination.edit_distance(np.array([1, 2, 3]), np.array([7, 1, 2, 3, 7])) == (0, 1, 4)
