@@ -51,8 +51,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    got = docs.select("doc_id", held_out("doc_id"), language_id.predict_column(docs, language_id.train(docs)).alias("p"))
-    return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+    got = language_id.predict(docs, language_id.train(docs), ["doc_id"])
+    return got.select("doc_id", held_out("doc_id"), "p.lang_pred", "p.score", "p.rejected")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -264,6 +264,24 @@ def test_language_models(spark):
     assert {r["p"]["lang_pred"] for r in docs.select(language_id.predict_column(docs, none).alias("p")).collect()} == {"und"}
 
 
+def test_language_models_beyond_the_broadcast_bound_keep_every_gram(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "".join(chr(0x4E00 + k) for k in range(500)) + "\uffee\u9999"}
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(1, 7))) for _ in range(300)] for x, a in alphabets.items()}
+    rows = [(i, text_of(rng, 25, words[x] + words["aa"][:30]), x) for i, x in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(500, None, "aa"), (501, " 12 ", None), (502, "zzz efgh 漢字", None), (None, rows[0][1], "aa"), (3, rows[3][1], "aa")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole, tables = language_id.train(d), language_id.train(d, max_grams=100)
+    assert isinstance(tables, language_id.Tables) and tables.temperature == whole.temperature and np.allclose(tables.reject, whole.reject)
+    for k in range(language_id.ORDER):
+        n = tables.grams[k].selectExpr("sum(size(n))").first()[0]
+        assert n == sum(len(levels[k].gram) for levels in whole.levels)
+    want, got = ([(r["doc_id"] or -1, *r["p"]) for r in language_id.predict(d, m, ["doc_id"], chunk_chars=2000).collect()] for m in (whole, tables))
+    assert len(got) == len(rows)
+    for a, b in zip(sorted(want, key=str), sorted(got, key=str), strict=True):
+        assert a[:2] == b[:2] and a[4] == b[4] and np.allclose(np.array(a[2:4], float), np.array(b[2:4], float), equal_nan=True) and (a[3] is None) == (b[3] is None)
+
+
 def test_classifiers_learn_and_handle_odd_rows(spark, docs, labels):
     rng = random.Random(5)
     words = [f"word{k}" for k in range(200)]
