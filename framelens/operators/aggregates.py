@@ -95,6 +95,11 @@ def accuracy_matrix(df: DataFrame, rows: str, col: str, values: Sequence[str], c
     return df.groupBy(rows).agg(*aggs)
 
 
+def accuracy_long(df: DataFrame, rows: str, col: str, correct: str = "correct") -> DataFrame:
+    """Accuracy per row key and column value as rows, for every value that occurs."""
+    return df.groupBy(rows, col).agg(F.count("*").alias("n"), F.round(F.lit(100.0) * n_if(F.col(correct)) / F.count("*"), 1).alias("pct"))
+
+
 SUB_TYPES = ("assertive_pure", "assertive_structured", "reportage_news", "reportage_attribution")
 
 
@@ -321,9 +326,9 @@ def finding_summary(df: DataFrame) -> DataFrame:
     return out.select(name[F.col("_gid").cast("int")].alias("tally"), "category", "status", "method", "n")
 
 
-def consensus(df: DataFrame, key: str, cls: str, a: str, b: str) -> DataFrame:
+def consensus(df: DataFrame, key: str | Sequence[str], cls: str, a: str, b: str) -> DataFrame:
     """Majority code per group; ``tied`` on equal counts, ``no_data`` without A and B."""
-    out = df.groupBy(key).agg(
+    out = df.groupBy(*([key] if isinstance(key, str) else key)).agg(
         n_if(F.col(cls) == a).alias("n_a"), n_if(F.col(cls) == b).alias("n_b"), F.count("*").alias("total")
     )
     return out.withColumn(

@@ -168,6 +168,11 @@ def _(t):
     return ag.accuracy_matrix(t.derived("answers").where("city <> ''"), "city", "language", ("en", "fr", "de", "es"))
 
 
+@query("agg_04_matrix_long", R("answers", "SELECT city, language, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (correct) / count(*), 1) AS pct FROM answers WHERE city <> '' GROUP BY city, language"))
+def _(t):
+    return ag.accuracy_long(t.derived("answers").where("city <> ''"), "city", "language")
+
+
 _MEANS = ", ".join(f"avg(x) FILTER (tier = '{k}') AS {k}" for k in TIERS)
 CELLS = SCORED + f", ce AS (SELECT model, language, {_MEANS}, count(x) AS n_scored FROM s GROUP BY model, language)"
 # One language lacks tier R in the cells, so that weights have to be renormalised.
@@ -436,6 +441,12 @@ def _(t):
     return ag.consensus(t.derived("findings").where("category = 'error'"), "platform", "code", "A", "B")
 
 
+@query("agg_21_consensus_all", R("findings", """, g AS (SELECT category, platform, count(*) FILTER (code = 'A') AS n_a, count(*) FILTER (code = 'B') AS n_b, count(*) AS total FROM findings GROUP BY category, platform)
+SELECT *, CASE WHEN n_a = 0 AND n_b = 0 THEN 'no_data' WHEN n_a > n_b THEN 'A' WHEN n_b > n_a THEN 'B' ELSE 'tied' END AS consensus FROM g"""))
+def _(t):
+    return ag.consensus(t.derived("findings"), ["category", "platform"], "code", "A", "B")
+
+
 FOLD = """, kv AS (SELECT asn, arg_max(value, line_no) FILTER (k = 'created') AS created, arg_max(value, line_no) FILTER (k = 'status') AS status, arg_min(value, line_no) FILTER (k = 'org') AS org,
   arg_max(value, line_no) FILTER (k = 'remarks') AS remarks FROM registry_kv GROUP BY asn)"""
 

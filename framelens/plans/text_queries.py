@@ -153,6 +153,14 @@ def _(t):
     return fl.row_contains(t.part, ("red", "economy"), ("p_name", "p_brand", "p_type")).select("p_partkey", "p_name")
 
 
+_PART = "lower(concat_ws(' ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice))"
+
+
+@query("flt_06_row_contains_all", f"SELECT p_partkey, p_name FROM part WHERE contains({_PART}, 'red') OR contains({_PART}, 'economy') OR contains({_PART}, '77')")
+def _(t):
+    return fl.row_contains(t.part, ("red", "economy", "77")).select("p_partkey", "p_name")
+
+
 @query("flt_07_tier_filter", with_records(["papers", "journal_tiers"], """
 SELECT p.paper_id, trim(p.journal) AS journal, coalesce(j.quartile, 'unknown') AS quartile
 FROM papers p LEFT JOIN journal_tiers j ON trim(p.journal) = j.journal
@@ -162,6 +170,14 @@ def _(t):
         "paper_id", "journal", "quartile")
 
 
+@query("flt_07_tier_filter_all", with_records(["papers", "journal_tiers"], """
+SELECT p.paper_id, trim(p.journal) AS journal, coalesce(j.quartile, 'unknown') AS quartile
+FROM papers p LEFT JOIN journal_tiers j ON trim(p.journal) = j.journal
+WHERE coalesce(j.quartile, 'unknown') IN ('Q1', 'unknown')"""))
+def _(t):
+    return fl.tier_filter(t.derived("papers"), t.derived("journal_tiers"), "journal", ("Q1", "unknown")).select("paper_id", "journal", "quartile")
+
+
 @query("flt_10_foreign_violators", with_records("articles", """, c AS (SELECT *, CASE source WHEN 'src1' THEN 'Home' WHEN 'src2' THEN '' ELSE 'Away' END AS country,
   CASE WHEN contains(lower(text), ' was ') AND NOT contains(lower(text), ' with ') THEN 'b' ELSE 'a' END AS label FROM articles)
 SELECT 'strict' AS mode, doc_id FROM c WHERE label = 'b' AND country NOT IN ('Home', '')
@@ -204,26 +220,35 @@ def _(t):
 HIT_SIGNALS = (SIGNALS[0], SIGNALS[3], SIGNALS[10], SIGNALS[11], SIGNALS[12])
 
 
-def _hits_sql() -> str:
+def _hits_sql(signals=HIT_SIGNALS, kept: str = " WHERE pos <= 5") -> str:
     """Positions counted from the text between matches, one branch per signal."""
     parts = []
-    for i, s in enumerate(HIT_SIGNALS):
+    for i, s in enumerate(signals):
         parts.append(f"""SELECT doc_id, {i} AS s, text, regexp_extract_all(text, '(?i){s.pattern}') AS m, string_split_regex(text, '(?i){s.pattern}') AS p FROM documents""")
     return f"""WITH h AS ({' UNION ALL '.join(parts)}),
 o AS (SELECT doc_id, s, text, m, p, unnest(range(1, len(m) + 1)) AS i FROM h WHERE len(m) > 0),
 po AS (SELECT doc_id, s, i, m[i] AS matched, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS st, text FROM o),
 r AS (SELECT doc_id, matched, trim(substr(text, greatest(st - 50, 0)::BIGINT + 1, (st + length(matched) + 50 - greatest(st - 50, 0))::BIGINT), E' \\n\\r\\t') AS context,
   row_number() OVER (PARTITION BY doc_id ORDER BY s, i) AS pos FROM po)
-SELECT doc_id, pos, matched, context FROM r WHERE pos <= 5"""
+SELECT doc_id, pos, matched, context FROM r{kept}"""
 
 
-@query("cls_04_signal_hits", _hits_sql())
-def _(t):
-    d = t.documents.select("doc_id", scoring.signal_hits(F.col("text"), HIT_SIGNALS, 5, 50).alias("h"))
+def _hits(t: Tables, signals, k: int | None):
+    d = t.documents.select("doc_id", scoring.signal_hits(F.col("text"), signals, k, 50).alias("h"))
     return d.select("doc_id", F.posexplode_outer("h").alias("p", "v")).where("v IS NOT NULL").select(
         "doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("v.matched").alias("matched"), F.col("v.context").alias("context"))
 
 
+@query("cls_04_signal_hits", _hits_sql())
+def _(t):
+    return _hits(t, HIT_SIGNALS, 5)
+
+
+@query("cls_04_signal_hits_all", _hits_sql(SIGNALS, ""))
+def _(t):
+    return _hits(t, SIGNALS, None)
+
+
 @query("cls_05_override", W(CLS, "SELECT doc_id, score_a, score_b FROM cls"))
 def _(t):
     return cl.apply_overrides(cl.with_scores(t.documents, LEX), LEX).select("doc_id", "score_a", "score_b")

@@ -39,6 +39,16 @@ def test_query(spark, duck, name):
     assert compare(rows, df.columns, cur.fetchall(), [d[0] for d in cur.description]) is None
 
 
+@pytest.mark.parametrize("part", ["agg_04_matrix", "cls_04_signal_hits", "flt_06_row_contains", "flt_07_tier_filter", "agg_21_consensus"])
+def test_whole_forms_read_what_the_short_forms_leave_out(spark, part):
+    sf = str(SF.parent / "sf0.01") if part == "flt_07_tier_filter" else str(SF)  # the smallest tables stay under its limit
+    whole = queries()[part + ("_long" if part == "agg_04_matrix" else "_all")](spark, sf).collect()
+    short = queries()[part](spark, sf).collect()
+    assert len(whole) > len(short)
+    if part == "agg_04_matrix":
+        assert {r["language"] for r in whole} == {"en", "fr", "de", "es", "xx"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
