@@ -149,11 +149,17 @@ def repeat_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
+def sequences_of(text: str, lines: int = 400) -> list[list[list[int]]]:
+    """Features of all lines of a text, as consecutive sequences of at most so many lines."""
+    features = lines_of(text)[1]
+    return [features[k:k + lines] for k in range(0, len(features), lines)]
+
+
 def train(docs: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on the lines of at most ``sample_rows`` texts, the first by the hash of their id (the documented bound)."""
+    """Fit on all lines of at most ``sample_rows`` texts, the first by the hash of their id (the documented bound)."""
     ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
-    sequences = [lines_of(r["text"] or "")[1][:400] for r in got.orderBy("id").collect()]
+    sequences = [s for r in got.orderBy("id").collect() for s in sequences_of(r["text"] or "")]
     return fit(sequences, [[evident(f) for f in s] for s in sequences])
 
 

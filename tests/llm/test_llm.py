@@ -234,6 +234,16 @@ def test_quality_measures(docs, rows):
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), len(covered), failed) and not (failed and r["kept"])
 
 
+def test_field_is_fitted_on_the_ends_of_long_texts(spark, monkeypatch):
+    text = "\n".join(f"line {k} of a long text" if k % 7 else "the same footer" for k in range(1_001))
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit", lambda sequences, labels: seen.extend(zip(sequences, labels, strict=True)))
+    quality_rules.train(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "one line")], "doc_id long, text string"))
+    want = quality_rules.lines_of(text)[1]
+    assert sum((s for s, _ in seen), []) == want + quality_rules.lines_of("one line")[1]
+    assert all(len(s) == len(y) <= 400 for s, y in seen)
+
+
 def test_field_decodes_the_best_labels():
     rng = np.random.default_rng(0)
     f = quality_rules.Field(rng.normal(size=(quality_rules.N_FEATURES, 2)), rng.normal(size=(2, 2)))
