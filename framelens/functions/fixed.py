@@ -133,7 +133,7 @@ ACADEMIC_HOSTS = (
 )
 
 # --- fixed values: DOI and citation formats --------------------------------
-DOI_PATTERN = r"\b10\.[0-9]{4,}/[^\s\])}>\x22]+"
+DOI_PATTERN = r"\b10\.\d{4,}/[^\s\]>)}\x22]+"
 DOI_TRAILING = ".,;:"
 DOI_RESOLVERS = ("https://doi.org/", "http://doi.org/")
 CITATION_PATTERNS = (
@@ -214,10 +214,6 @@ HTML_ENTITIES = (
 # --- fixed values: wikis that are no encyclopaedia edition -----------------
 NON_EDITIONS = ("commonswiki", "mediawikiwiki", "metawiki", "specieswiki", "wikidatawiki")
 
-# --- fixed values: finding vocabulary --------------------------------------
-FINDING_STATUSES = ("correct", "ambiguous", "incorrect", "blocked", "n/a")
-FINDING_METHODS = ("manual", "automated_api", "automated_data", "source_code")
-
 # --- fixed values: tier weights by scheme ----------------------------------
 WEIGHT_SCHEMES = {
     "primary": {"D": 0.10, "L": 0.50, "I": 0.20, "R": 0.20},

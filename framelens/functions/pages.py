@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from framelens.functions import fixed
-from framelens.functions.matching import any_contains, any_true, first_case, total
+from framelens.functions.matching import any_contains, any_true, first_case, let, total
 
 MIN_BODY_HITS = 5
 
@@ -56,15 +56,72 @@ def feed_titles(xml: Column, skip: str = "Search Results") -> Column:
     return F.filter(got, lambda t: (t != "") & ~F.contains(t, F.lit(skip)))
 
 
+# A tag, whose quoted attribute values may hold any character, or the text up to the next one.
+_TOKEN = r"""(?s)<(?:"[^"]*"|'[^']*'|[^'">])*>|<[^<]*|[^<]+"""
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_CLASS = r"""(?is)^<[a-z](?:[^"'>]|"[^"]*"|'[^']*')*?\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_LABEL = r"""(?is)^<nav\b(?:[^"'>]|"[^"]*"|'[^']*')*?\saria-label\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def breadcrumb(html: Column) -> Column:
-    """JSON-LD breadcrumb block, else the text of an element with a breadcrumb class, else empty."""
+    """JSON-LD breadcrumb block, else the text of the first element with a breadcrumb class, else of such a ``nav`` label, else empty.
+
+    The page is a sequence of tags and texts. The element ends where its own end tag, or the end tag of one that holds it,
+    stands; elements of the same name inside do not end it.
+    """
     h = F.coalesce(html, F.lit(""))
     blocks = F.regexp_extract_all(
-        h, F.lit(r"(?is)<script[^>]*type=[\x22']application/ld\+json[\x22'][^>]*>(.*?)</script>"), F.lit(1)
+        h, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1)
     )
     ld = F.left(F.get(F.filter(blocks, lambda b: F.contains(b, F.lit("BreadcrumbList"))), F.lit(0)), F.lit(400))
-    element = F.regexp_extract(h, r"(?is)<([a-z0-9]+)[^>]*class=\x22[^\x22]*breadcrumb[^\x22]*\x22[^>]*>(.*?)</\1>", 2)
-    return F.coalesce(ld, F.left(squeeze(strip_tags(element)), F.lit(200)))
+    # Most pages name no breadcrumb at all and are not cut into tokens.
+    shown = F.regexp_replace(h, r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->", " ")
+    element = F.when(F.contains(F.lower(h), F.lit("breadcrumb")), let(F.regexp_extract_all(shown, F.lit(_TOKEN), F.lit(0)), _crumb_text))
+    return F.coalesce(ld, F.left(squeeze(F.coalesce(element, F.lit(""))), F.lit(200)))
+
+
+def _attribute(tag: Column, pattern: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def _tag(token: Column) -> tuple[Column, Column, Column]:
+    """Name of a tag (empty for text), whether it is an end tag, and whether it holds nothing."""
+    name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
+    return name, F.startswith(token, F.lit("</")), name.isin(*_VOID) | F.endswith(token, F.lit("/>"))
+
+
+def _after(stack: Column, token: Column) -> Column:
+    """The open elements, innermost first, after a token: an end tag closes all up to its own; one that is not open closes nothing."""
+    name, ends, empty = _tag(token)
+    at = F.array_position(stack, name)
+    return F.when((name == "") | (~ends & empty), stack).when(~ends, F.concat(F.array(name), stack)).when(
+        at > 0, F.slice(stack, (at + 1).cast("int"), F.size(stack))).otherwise(stack)
+
+
+def _crumb_text(tokens: Column) -> Column:
+    """Text of the element that the first matching tag opens, as one string; null without such a tag."""
+    by_class = F.transform(tokens, lambda x: F.startswith(x, F.lit("<")) & F.contains(_attribute(x, _CLASS), F.lit("breadcrumb")))
+    by_label = F.transform(tokens, lambda x: F.startswith(x, F.lit("<")) & F.contains(F.lower(_attribute(x, _LABEL)), F.lit("breadcrumb")))
+    first = F.coalesce(F.nullif(F.array_position(by_class, True), F.lit(0)), F.nullif(F.array_position(by_label, True), F.lit(0))).cast("int")
+    none = F.array().cast("array<string>")
+    parts = F.struct(F.slice(tokens, first, F.size(tokens)).alias("rest"), F.aggregate(F.slice(tokens, 1, first - 1), none, _after).alias("around"))
+    return F.when(first.isNotNull(), let(parts, lambda p: _element_text(p["rest"], p["around"])))
+
+
+def _element_text(tokens: Column, around: Column) -> Column:
+    """Text between the first token, a start tag, and the end of its element; entities stand as characters."""
+    state = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(s: Column, token: Column) -> Column:
+        name, ends, _ = _tag(token)
+        after = _after(s["open"], token)
+        outer = ends & (F.array_position(s["open"], name) == 0) & (F.array_position(around, name) > 0)
+        over = s["done"] | (F.size(after) == 0) | outer
+        return F.struct(F.when(over, s["open"]).otherwise(after).alias("open"), F.when(over, s["n"]).otherwise(s["n"] + 1).alias("n"), over.alias("done"))
+
+    inside = F.slice(tokens, 1, F.aggregate(tokens, state, step, lambda s: s["n"]))
+    texts = F.filter(inside, lambda x: ~F.startswith(x, F.lit("<")))
+    return decode_entities(F.array_join(texts, " "))
 
 
 def ordered_codes(body: Column, limit: int = 20, cap: int | None = None) -> Column:
@@ -72,7 +129,7 @@ def ordered_codes(body: Column, limit: int = 20, cap: int | None = None) -> Colu
     s = head(body, cap)
     jsonish = F.regexp_like(s, F.lit(r"^\s*[\[{]")) | F.contains(F.lower(s), F.lit("country="))
     codes = F.concat(
-        F.regexp_extract_all(s, F.lit(r"\x22country\x22\s*:\s*\x22([A-Z]{2})\x22"), F.lit(1)),
+        F.regexp_extract_all(s, F.lit(r'"country"\s*:\s*"([A-Z]{2})"'), F.lit(1)),
         F.regexp_extract_all(s, F.lit(r"country=([A-Z]{2})\b"), F.lit(1)),
     )
     return F.when(jsonish, F.slice(codes, 1, limit)).otherwise(F.array().cast("array<string>"))
@@ -145,6 +202,11 @@ def page_status(prior: Column, http: Column, origin: Column, probe: Column, rule
         ((status_http == 0) | (status_http >= 400), "unreachable", F.format_string("http=%d", status_http)),
         (from_b & sig_a & (na > nb), "correct", F.concat(F.lit("origin B, switched; "), hits)),
         (from_b, "incorrect", F.concat(F.lit("origin B; "), hits)),
+        (
+            (first == rules.code_a) & F.array_contains(codes, F.lit(rules.code_b)),
+            "correct",
+            F.concat(F.lit("first code A; "), F.array_join(codes, ","), F.lit("; dual listing with B")),
+        ),
         (first == rules.code_a, "correct", F.concat(F.lit("first code A; "), F.array_join(codes, ","))),
         (first == rules.code_b, "incorrect", F.concat(F.lit("first code B; "), F.array_join(codes, ","))),
         (sig_b | (tb & ~ta), "incorrect", F.concat(F.lit("URL or title B; "), hits)),

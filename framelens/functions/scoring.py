@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from framelens.functions.matching import (
     any_true,
     count_matches,
     first_case,
+    is_literal,
     let,
     matches,
     rules_case,
@@ -28,17 +29,38 @@ CONFIDENCE_CAP = 0.95
 
 def presence_score(low: Column, signals: Sequence[Signal]) -> Column:
     """Sum of the weights of the signals that occur at least once."""
-    return total((F.when(matches(low, s.pattern), F.lit(s.weight)).otherwise(F.lit(0.0)) for s in signals), F.lit(0.0))
+    return let(low, lambda t: _sum_signals(t, signals, F.contains, matches))
 
 
 def occurrence_score(low: Column, signals: Sequence[Signal]) -> Column:
     """Sum over signals of weight times number of matches."""
-    return total((count_matches(low, s.pattern) * F.lit(s.weight) for s in signals), F.lit(0.0))
+    return let(low, lambda t: _sum_signals(t, signals, _count_plain, count_matches))
 
 
-def signal_count(low: Column, signals: Sequence[Signal]) -> Column:
-    """Total number of signal matches."""
-    return total((count_matches(low, s.pattern) for s in signals), F.lit(0))
+def _sum_signals(text: Column, signals: Sequence[Signal], plain: Callable[[Column, Column], Column], regex: Callable[[Column, str], Column]) -> Column:
+    """Weighted sum over a lexicon of any size.
+
+    Plain patterns are one array literal that a higher-order function walks, so neither the plan nor the generated code grows
+    with them. A regex must be a literal of the plan to be compiled once for each task; inside a lambda it is evaluated without
+    generated code, whose methods the JVM stops compiling beyond 8,000 bytes.
+    """
+    words = [s for s in signals if is_literal(s.pattern)]
+    parts = [_weight(regex(text, s.pattern), s.weight) for s in signals if not is_literal(s.pattern)]
+    if words:
+        lexicon = F.array(*[F.struct(F.lit(s.pattern).alias("p"), F.lit(float(s.weight)).alias("w")) for s in words])
+        parts.append(F.aggregate(lexicon, F.lit(0.0), lambda acc, s: acc + _weight(plain(text, s["p"]), s["w"])))
+    return total(parts, F.lit(0.0))
+
+
+def _weight(hit: Column, weight: float | Column) -> Column:
+    """The weight times a count, or once where a condition is true; zero for null."""
+    return F.coalesce(hit.cast("double"), F.lit(0.0)) * (weight if isinstance(weight, Column) else F.lit(float(weight)))
+
+
+def _count_plain(text: Column, word: Column) -> Column:
+    """Non-overlapping leftmost occurrences of a plain word, by what their removal takes from the text."""
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))
+    return F.when(F.contains(text, word), gone / F.octet_length(word)).otherwise(F.lit(0.0))
 
 
 def override_shift(low: Column, overrides: Sequence[Override]) -> Column:

@@ -177,7 +177,7 @@ def infer_country(declared: Column, url: Column, table: Mapping[str, str] = fixe
 
 def extract_urls(text: Column) -> Column:
     """Distinct URLs cited in free text, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s\])>\x22']+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""https?://[^\s\)\"\'>\]]+"""), F.lit(0)))
 
 
 def citation_origin(url: Column, flagged: Sequence[str], government: Sequence[str],

@@ -27,6 +27,25 @@ def rebuild_text(index: Column) -> Column:
     return F.coalesce(let(F.array_sort(placed), last_words), F.lit(""))
 
 
+def word_positions(words: Column) -> Column:
+    """Map of word to its positions from 0, built within the row; the inverse of :func:`rebuild_text`."""
+
+    def runs(pairs: Column) -> Column:
+        """Equal words stand together after sorting; each run of them is an entry."""
+        n = F.size(pairs)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(pairs, i - 1)["w"] != F.get(pairs, i)["w"], F.lit(True)))
+
+        def entry(here: Column, following: Column) -> Column:
+            run = F.slice(pairs, here + 1, F.coalesce(following, n) - here)
+            return F.struct(F.get(pairs, here)["w"].alias("w"), F.transform(run, lambda x: x["p"]).alias("ps"))
+
+        return F.map_from_entries(let(starts, lambda s: F.transform(s, lambda here, k: entry(here, F.get(s, k + 1)))))
+
+    pairs = F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<int>>"))
+    return F.when(F.size(words) > 0, let(pairs, runs)).otherwise(none)
+
+
 def find_doi(text: Column) -> Column:
     """First DOI in the text without trailing punctuation, else null."""
     raw = F.regexp_extract(F.coalesce(text, F.lit("")), fixed.DOI_PATTERN, 0)

@@ -129,7 +129,8 @@ def census(df: DataFrame, pole_a: str, pole_b: str, tiers: Sequence[str], by: Se
 def crosstab(df: DataFrame, a: str, b: str, top: int | None = None) -> DataFrame:
     """Cell counts with percent of all rows; ``top`` keeps the largest cells."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    whole = df.agg(F.count("*").alias("n")).scalar()
+    # The total adds the cells up: Spark reuses their exchange, so the input is computed once.
+    whole = cells.agg(F.sum("n")).scalar()
     out = cells.withColumn("pct", F.round(F.lit(100.0) * F.col("n") / whole, 4))
     return out if top is None else out.orderBy(F.col("n").desc(), a, b).limit(top)
 
@@ -162,16 +163,24 @@ def group_breakdown(df: DataFrame, year: str, venue: str, stage1: str, groups: s
     )
 
 
+def nested_counts(df: DataFrame, key: str, inner: str) -> DataFrame:
+    """Counts of every (key, inner) pair in long form: the whole of what :func:`top_nested` cuts to its largest keys."""
+    return df.groupBy(key, inner).agg(F.count("*").alias("n"))
+
+
 def top_nested(df: DataFrame, key: str, inner: str, n: int) -> DataFrame:
     """The ``n`` keys with most rows, each with a map of its inner counts.
 
-    ``inner`` is a label vocabulary: a map has one entry per label, folded from
-    already counted (key, inner) pairs in the same pass.
+    Keys are ranked by their totals first; only the pairs of the chosen ones are nested. Both read the pairs' one exchange.
+    ``inner`` is a label vocabulary: a map has one entry per label.
     """
-    pairs = df.groupBy(key, inner).agg(F.count("*").alias("_n"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col(inner), F.col("_n"))))
-    nested = pairs.groupBy(key).agg(F.sum("_n").alias("total"), F.map_from_entries(entries).alias("counts"))
-    return nested.orderBy(F.col("total").desc(), key).limit(n)
+    pairs = nested_counts(df, key, inner)
+    top = pairs.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "_key").limit(n)
+    # At most n narrow rows. The null-safe join adds no filter, which would make the two reads of the pairs differ.
+    kept = pairs.join(F.broadcast(top), F.col(key).eqNullSafe(F.col("_key")))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(inner), F.col("n"))))
+    nested = kept.groupBy(key).agg(F.max("total").alias("total"), F.map_from_entries(entries).alias("counts"))
+    return nested.orderBy(F.col("total").desc(), key)
 
 
 def cooccurrence(df: DataFrame, n: int, groups: str = "groups") -> DataFrame:
@@ -250,25 +259,30 @@ def journal_report(df: DataFrame, verdicts: Sequence[str], tropes: Sequence[str]
     )
 
 
-def person_facts(claims: DataFrame, a: str, b: str, old: Sequence[str], cut: str, person: str = "person") -> DataFrame:
-    """One row per person from its dated claims, with flags instead of a collected list."""
+def person_facts(claims: DataFrame, a: str, b: str, old: Sequence[str] | Mapping[str, Sequence[str]], cut: str, person: str = "person") -> DataFrame:
+    """One row per person from its dated claims, with flags instead of a collected list.
+
+    ``old`` lists the codes of a former state, or maps names of several to theirs; each has a flag ``has_<name>``.
+    """
     code = F.col("country")
+    former = old if isinstance(old, Mapping) else {"old": old}
     return claims.groupBy(person).agg(
         F.max("death").alias("death"),
         F.coalesce(F.bool_or(code == a), F.lit(False)).alias("has_a"),
         F.coalesce(F.bool_or(code == b), F.lit(False)).alias("has_b"),
-        F.coalesce(F.bool_or(code.isin(*old)), F.lit(False)).alias("has_old"),
+        *[F.coalesce(F.bool_or(code.isin(*codes)), F.lit(False)).alias(f"has_{name}") for name, codes in former.items()],
         F.count(code).alias("n_claims"),
         F.coalesce(F.bool_or((code == b) & (F.col("start") >= F.lit(cut).cast("date"))), F.lit(False)).alias("b_started"),
         F.coalesce(F.bool_or((code == a) & (F.col("end") >= F.lit(cut).cast("date"))), F.lit(False)).alias("a_ended"),
     )
 
 
-def cohort_summary(people: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+def cohort_summary(people: DataFrame, cutoffs: Sequence[str], old: Sequence[str] = ("old",)) -> DataFrame:
     """Per death cohort the citizenship classes and transition flags.
 
     ``people`` comes from :func:`person_facts`; cohorts are before the first
-    cut-off, between the two, after, and alive or unknown.
+    cut-off, between the two, after, and alive or unknown. ``old`` names the
+    former states in the order in which they decide: one class for each.
     """
     first, second = (F.lit(c).cast("date") for c in cutoffs)
     cohort = (
@@ -281,17 +295,17 @@ def cohort_summary(people: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
         F.when(F.col("has_a") & F.col("has_b"), "both")
         .when(F.col("has_a"), "a_only")
         .when(F.col("has_b"), "b_only")
-        .when(F.col("has_old"), "old_only")
-        .when(F.col("n_claims") == 0, "missing")
-        .otherwise("other")
     )
+    for name in old:
+        cls = cls.when(F.col(f"has_{name}"), f"{name}_only")
+    cls = cls.when(F.col("n_claims") == 0, "missing").otherwise("other")
     return (
         people.withColumn("cohort", cohort)
         .withColumn("cls", cls)
         .groupBy("cohort")
         .agg(
             F.count("*").alias("n"),
-            *[n_if(F.col("cls") == c).alias(c) for c in ("a_only", "b_only", "both", "old_only", "missing", "other")],
+            *[n_if(F.col("cls") == c).alias(c) for c in ("a_only", "b_only", "both", *[f"{name}_only" for name in old], "missing", "other")],
             n_if(F.col("b_started")).alias("b_started"),
             n_if(F.col("a_ended")).alias("a_ended"),
             n_if(F.col("a_ended") & ~F.col("b_started")).alias("invisible_transition"),
@@ -391,14 +405,21 @@ def consistency(df: DataFrame, key: str, place: str, cls: str) -> DataFrame:
 
 
 def rate_compare(a: DataFrame, b: DataFrame, hit: str, any_hit: str, cut: Column) -> DataFrame:
-    """Rates of two corpora per 10,000, share among documents with any group, ratio, before/after counts.
+    """:func:`rate_split` of two corpora that lie in two tables."""
+    part = lambda df, side: df.select(F.col(hit).alias("hit"), F.col(any_hit).alias("any"), cut.alias("cut"), F.lit(side).alias("side"))
+    return rate_split(part(a, True).unionByName(part(b, False)), F.col("side"), "hit", "any", F.col("cut"))
+
 
-    The second corpus is one row of counts and enters as a scalar subquery.
+def rate_split(df: DataFrame, first: Column, hit: str, any_hit: str, cut: Column) -> DataFrame:
+    """Rates of the rows with ``first`` and of the others per 10,000, share among documents with any group, ratio, before/after counts.
+
+    One conditional aggregate over one pass.
     """
-    counts = {"docs": F.count("*"), "hits": n_if(F.col(hit)), "any": n_if(F.col(any_hit)), "before": n_if(F.col(hit) & cut)}
-    other = b.agg(F.struct(*[v.alias(k) for k, v in counts.items()]).alias("s")).scalar()
-    both = a.agg(*[v.alias(f"{k}_x") for k, v in counts.items()]).withColumn("_y", other)
-    both = both.select("*", *[F.col(f"_y.{k}").alias(f"{k}_y") for k in counts]).drop("_y")
+    aggs = []
+    for t, side in (("x", F.coalesce(first, F.lit(False))), ("y", ~F.coalesce(first, F.lit(False)))):
+        aggs += [n_if(side).alias(f"docs_{t}"), n_if(side & F.col(hit)).alias(f"hits_{t}"), n_if(side & F.col(any_hit)).alias(f"any_{t}"),
+                 n_if(side & F.col(hit) & cut).alias(f"before_{t}")]
+    both = df.agg(*aggs)
     for t in ("x", "y"):
         docs, hits, some = F.col(f"docs_{t}"), F.col(f"hits_{t}"), F.col(f"any_{t}")
         both = both.withColumns(
@@ -412,23 +433,24 @@ def rate_compare(a: DataFrame, b: DataFrame, hit: str, any_hit: str, cut: Column
 
 
 def theme_summary(df: DataFrame, source: str, year: str, groups: str = "groups") -> DataFrame:
-    """Themed sub-corpus by source, year and (overlapping) theme type, in long form."""
-    themed = df.where(F.size(groups) > 0)
-    flat = themed.select(
-        F.explode_outer(
-            F.concat(
-                F.array(
-                    F.struct(F.lit("all").alias("tally"), F.lit("all").alias("value")),
-                    F.struct(F.lit("source").alias("tally"), F.col(source).cast("string").alias("value")),
-                    F.struct(F.lit("year").alias("tally"), F.col(year).cast("string").alias("value")),
-                ),
-                F.transform(groups, lambda g: F.struct(F.lit("theme").alias("tally"), g.alias("value"))),
-            )
-        ).alias("t")
-    )
-    whole = df.agg(F.count("*").alias("n")).scalar()
-    counted = flat.groupBy(F.col("t.tally").alias("tally"), F.col("t.value").alias("value")).agg(F.count("*").alias("n"))
-    return counted.withColumn("share_pct", F.round(F.lit(100.0) * F.col("n") / whole, 1))
+    """Themed sub-corpus by source, year and (overlapping) theme type, in long form, with shares of all documents.
+
+    Every document also counts once under no tally, so that the total comes from the same pass.
+    """
+    def entry(tally: str | None, value: Column) -> Column:
+        return F.struct(F.lit(tally).cast("string").alias("tally"), value.cast("string").alias("value"))
+
+    whole, themed = entry(None, F.lit(None)), F.concat(
+        F.array(entry("all", F.lit("all")), entry("source", F.col(source)), entry("year", F.col(year))),
+        F.transform(groups, lambda g: entry("theme", g)))
+    entries = F.concat(F.array(whole), F.when(F.size(groups) > 0, themed).otherwise(F.array().cast("array<struct<tally:string,value:string>>")))
+    flat = df.select(F.explode_outer(entries).alias("t"))
+    counted = flat.groupBy(F.col("t.tally").alias("tally"), F.col("t.value").alias("value")).agg(
+        F.count("*").alias("n"), F.max(F.col("t.tally").isNull()).alias("_whole"))
+    # Filters on aggregates are not pushed below them, so both reads of the counts share their exchange.
+    docs = counted.agg(F.max(F.when(F.col("_whole"), F.col("n")))).scalar()
+    shares = counted.withColumn("share_pct", F.round(F.lit(100.0) * F.col("n") / docs, 1))
+    return shares.where(~F.col("_whole")).drop("_whole")
 
 
 def birthplace_labels(df: DataFrame, remarks: str, rules: Sequence[tuple[str, str]], default: str = "Other") -> DataFrame:
@@ -480,20 +502,38 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def summary_row(df: DataFrame, dims: Sequence[str], top: int | None = None) -> DataFrame:
-    """One row with the total and a nested map of counts per dimension, in one pass.
+def funnel_of_firsts(df: DataFrame, key: str, order: Sequence[str], stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """:func:`funnel` whose first stage, ``deduped``, keeps the first row of each key, in one pass.
 
-    Maps hold every value, or with ``top`` the most frequent ones; further ones
-    then add up under ``(other)``.
+    A key's first row is a partial aggregate of the stages' conditions, so copies neither travel nor meet.
     """
+    marks = F.struct(*[F.coalesce(c, F.lit(False)).alias(name) for name, c in stages])
+    firsts = df.groupBy(key).agg(F.count("*").alias("_n"), F.min_by(marks, F.struct(*order)).alias("_s"))
+    aggs, cond = [F.coalesce(F.sum("_n"), F.lit(0)).alias("collected"), F.count("*").alias("deduped")], F.lit(True)
+    for name, _ in stages:
+        cond = cond & F.col(f"_s.{name}")
+        aggs.append(n_if(cond).alias(name))
+    return firsts.agg(*aggs)
+
+
+def summary_long(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Counts of every value of each dimension as rows (dim, k, n), with the total under ``(total)``, in one pass."""
     base = df.select(*[F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in dims])
     cols = [F.col(d) for d in dims]
     sets = base.groupingSets([*[[c] for c in cols], []], *cols).agg(F.grouping_id().alias("_gid"), F.count("*").alias("n"))
     full = (1 << len(dims)) - 1
     names = {full ^ (1 << (len(dims) - 1 - i)): d for i, d in enumerate(dims)} | {full: "(total)"}
     dim = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("_gid").cast("int")]
-    long = sets.select(dim.alias("dim"), F.coalesce(*cols, F.lit("")).alias("k"), "n")
-    kept = long if top is None else top_per_key(long, ["dim"], [F.col("n").desc(), F.col("k")], top)
+    return sets.select(dim.alias("dim"), F.coalesce(*cols, F.lit("")).alias("k"), "n")
+
+
+def summary_row(df: DataFrame, dims: Sequence[str], top: int = 1_000) -> DataFrame:
+    """One row with the total and a nested map of counts per dimension, in one pass.
+
+    Maps hold the ``top`` most frequent values of each dimension, ranked before anything is nested; further ones add up under
+    ``(other)``. One row cannot hold an unbounded dimension: :func:`summary_long` has every value.
+    """
+    kept = top_per_key(summary_long(df, dims), ["dim"], [F.col("n").desc(), F.col("k")], top)
     aggs = [F.coalesce(F.max(F.when(F.col("dim") == "(total)", F.col("n"))), F.lit(0)).alias("total")]
     for i, d in enumerate(dims):
         own = F.col("dim") == d

@@ -11,6 +11,7 @@ from framelens.functions import fixed, urls
 from framelens.functions.matching import any_contains, any_true
 from framelens.functions.values import rebuild_text
 from framelens.operators.scale import lookup_join
+from framelens.operators.sets import union_dedup
 
 
 def topic_filter(df: DataFrame, terms: Sequence[str], col: str = "text", whole_words: bool = False) -> DataFrame:
@@ -135,6 +136,15 @@ def foreign_violators(df: DataFrame, pole_b: str, home: str, label: str = "label
     return df.where((F.col(label) == pole_b) & outside)
 
 
+def search_places(results: Sequence[DataFrame], places: Sequence[str], ident: str = "id", name: str = "name", city: str = "city",
+                  order: Sequence[str] = ()) -> DataFrame:
+    """Results of several searches: the first row of each identifier, then :func:`place_filter`.
+
+    Searches come in their order; ``order`` decides between equal identifiers of one search. Rows without an identifier go.
+    """
+    return place_filter(union_dedup(results, ident, order), places, name, city).drop("branch")
+
+
 def place_filter(df: DataFrame, places: Sequence[str], name: str = "name", city: str = "city") -> DataFrame:
     """Registry rows whose name or city contains a listed place."""
     wanted = [p.lower() for p in places]

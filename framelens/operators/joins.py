@@ -1,7 +1,8 @@
 """Enrichment joins.
 
 Dictionaries go through :func:`framelens.operators.scale.lookup_join`, which
-measures before it broadcasts and salts hot keys otherwise.
+broadcasts what its plan says is small and salts hot keys otherwise. Nothing
+runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -30,27 +31,30 @@ def lookup_host(df: DataFrame, directory: DataFrame, value_cols: Sequence[str],
     return picked.select(*df.columns, *[F.col(f"_entry.{c}").alias(c) for c in value_cols])
 
 
-def lookup_index(df: DataFrame, index: DataFrame, whitelist: Sequence[str], url: str = "url") -> DataFrame:
+def lookup_index(df: DataFrame, index: DataFrame, whitelist: Sequence[str], url: str = "url",
+                 fields: Sequence[str] | None = None) -> DataFrame:
     """Index entry of a cited URL with a whitelist veto at each level.
 
-    ``index`` has ``domain`` and ``entries`` (array of structs with
-    ``entity_name``); the first entry counts. Host veto, host hit, parent veto,
+    ``index`` has ``domain`` and ``entries`` (array of structs, such as of
+    ``entity_name``, ``datasets`` and ``country``); the first entry counts and
+    gives all its fields, or the named ones. Host veto, host hit, parent veto,
     parent hit, in this order.
     """
-    first = F.get(F.col("entries"), F.lit(0))["entity_name"]
-    idx = index.select("domain", first.alias("_name"))
+    fields = fields or index.schema["entries"].dataType.elementType.names
+    entry = F.get(F.col("entries"), F.lit(0))
+    idx = index.select("domain", F.struct(*[entry[f].alias(f) for f in fields]).alias("_entry"))
     base = df.withColumn("_h", urls.netloc(F.col(url))).withColumn("_p", urls.parent(F.col("_h")))
-    hit = lookup_join(base, idx.select(F.col("domain").alias("_h"), F.col("_name").alias("_n1")), "_h")
-    hit = lookup_join(hit, idx.select(F.col("domain").alias("_p"), F.col("_name").alias("_n2")), "_p")
+    hit = lookup_join(base, idx.select(F.col("domain").alias("_h"), F.col("_entry").alias("_n1")), "_h")
+    hit = lookup_join(hit, idx.select(F.col("domain").alias("_p"), F.col("_entry").alias("_n2")), "_p")
     ok_h, ok_p = ~F.col("_h").isin(*whitelist), ~F.col("_p").isin(*whitelist)
     by_host = ok_h & F.col("_n1").isNotNull()
     by_parent = ok_h & ok_p & F.col("_n2").isNotNull()
     return hit.withColumns(
         {
             "hit_domain": F.when(by_host, F.col("_h")).when(by_parent, F.col("_p")),
-            "entity_name": F.when(by_host, F.col("_n1")).when(by_parent, F.col("_n2")),
+            "_hit": F.when(by_host, F.col("_n1")).when(by_parent, F.col("_n2")),
         }
-    ).select(*df.columns, "hit_domain", "entity_name")
+    ).select(*df.columns, "hit_domain", *[F.col(f"_hit.{f}").alias(f) for f in fields])
 
 
 def merge_labels(df: DataFrame, labels: DataFrame, order: Sequence[str], key: str = "url",

@@ -1,10 +1,10 @@
 """What keeps the other operators safe on large and skewed data.
 
-* a side is broadcast only after its rows and bytes were measured;
+* a side is broadcast only if its plan says that it is small;
 * beyond that bound a lookup is a shuffle join in which frequent keys of the
   large side are salted, so no task receives a whole hot key;
 * "first row per key" uses a ranked window that Spark limits per key before
-  the shuffle (``WindowGroupLimit``);
+  the shuffle (``WindowGroupLimit``, for up to 1,000 rows per key);
 * numbering rows globally is a range partitioning plus per-partition offsets,
   never one sorted partition.
 """
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
-HOT_SHARE = 0.01
+# Of files, so compressed: the rows take some times that in memory.
+BROADCAST_BYTES = 32 * 1024 * 1024
+ROWS_PER_SALT = 100_000
+NULL_SALTS = 64
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -53,6 +53,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path``, in whatever store it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote. Nothing that is still to be computed may read them."""
     for df in tables:
@@ -82,50 +88,9 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list[Row]:
     return rows
 
 
-def _width(field: T.StructField) -> Column:
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(16)
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + F.lit(32)
-    return F.lit(8)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure at most ``max_rows + 1`` rows and decide whether ``df`` may be broadcast."""
-    width = sum((_width(f) for f in df.schema.fields), F.lit(0))
-    got = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes"))
-        .first()
-    )
-    return got["n"] <= max_rows and (got["bytes"] or 0) <= max_bytes
-
-
-def _one_key(keys: Sequence[Column]) -> Column:
-    """A single comparable value for a (composite) key; null when a part is null."""
-    if len(keys) == 1:
-        return keys[0]
-    present = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
-    return F.when(present, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).cast("string"))
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str | Column], share: float = HOT_SHARE) -> list:
-    """Keys that hold at least about ``share`` of the rows.
-
-    A bounded sketch per task is merged, so the cost does not depend on the
-    number of distinct keys. The list only steers salting; results do not
-    depend on it being exact.
-    """
-    k = max(1, int(1 / share))
-    got = (
-        df.select(_one_key([F.col(k) if isinstance(k, str) else k for k in keys]).alias("k"))
-        .where(F.col("k").isNotNull())
-        .agg(F.expr(f"approx_top_k(k, {k}, {max(1024, k * 20)})").alias("top"), F.count("*").alias("n"))
-        .first()
-    )
-    floor = (got["n"] or 0) * share
-    return [t["item"] for t in (got["top"] or []) if t["count"] >= floor and t["count"] > 1]
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's upper estimate of a table's size, from its files or rows; nothing runs. A table of unknown size counts as very large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _common(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
@@ -134,33 +99,40 @@ def _common(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Colu
     return [F.col(k).cast(both.schema[k].dataType) for k in keys]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left", salts: int = SALTS,
-                share: float = HOT_SHARE) -> DataFrame:
-    """Equi-join on ``key`` that spreads hot and null keys of ``left``.
+def salted_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Equi-join on ``key`` that spreads hot and null keys of ``left``; nothing runs while the plan is built.
 
-    Rows of ``right`` that carry a hot key are repeated ``salts`` times, rows of
-    ``left`` with that key take the salts in turn, so equal rows are spread too.
-    Keys are compared in the type that both sides have in common.
+    Equal rows of ``left`` are grouped with their count first, in each task before the shuffle, and large groups are cut into
+    pieces of ``rows_per_salt`` rows. A key with more rows than that gets a salt for each ``rows_per_salt`` of them; a piece
+    takes its salt from a hash of its row and its number, so a repeated task finds the same one. Rows of ``right`` with such
+    a key are repeated for its salts. Both the keys' counts and the join read the grouped rows, whose exchange Spark reuses.
+    Keys are compared in the type that both sides have in common. Rows of maps cannot be grouped by hash: use other columns.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     keys = [key] if isinstance(key, str) else list(key)
-    typed = _common(left, right, keys)
-    hot = hot_keys(left, typed, share)
-    one = _one_key(typed)
-    is_hot = F.coalesce(one.isin(hot), F.lit(False)) if hot else F.lit(False)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    lhs = left.withColumn("_salt", F.when(one.isNull() | is_hot, salt).otherwise(F.lit(0)))
-    rhs = right.withColumn(
-        "_salt",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
+    typed = [c.alias(f"_k{i}") for i, c in enumerate(_common(left, right, keys))]
+    on, n = [f"_k{i}" for i in range(len(keys))], F.lit(rows_per_salt).cast("long")
+    grouped = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_m"))
+    pieces = grouped.select("*", *typed, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / n))).alias("_i"))
+    pieces = pieces.withColumn("_m", F.least(n, F.col("_m") - n * F.col("_i")))
+    # At most one row for each `rows_per_salt` rows of the table.
+    hot = pieces.groupBy(*on).agg(F.sum("_m").alias("_n")).where(F.col("_n") > n).select(*on, F.ceil(F.col("_n") / n).alias("_salts"))
+    absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    mark = F.xxhash64(*left.columns) + F.col("_i")
+    salt = F.when(absent, F.pmod(mark, F.lit(NULL_SALTS))).otherwise(F.pmod(mark, F.coalesce("_salts", F.lit(1))))
+    lhs = pieces.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts", "_i")
+    others = [c for c in right.columns if c not in keys] if how in ("left", "inner") else []
+    rhs = right.select(*typed, *others).join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1))).drop("_salts")
+    joined = lhs.join(rhs, [*on, "_salt"], how)
+    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
+    return copies.select(*keys, *[c for c in left.columns if c not in keys], *others)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
-    """Join a dictionary: broadcast when measured small, salted shuffle join otherwise."""
-    if fits_broadcast(right):
+    """Join a dictionary: broadcast when its plan is known to be small, salted shuffle join otherwise."""
+    if plan_bytes(right) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), key, how)
     return salted_join(left, right, key, how)
 
@@ -174,25 +146,24 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "rn", partitions: int | None = None) -> DataFrame:
     """Exact 1-based position of every row in ``order``, without a single-partition sort.
 
-    Rows are range-partitioned by all order columns (make the last one unique),
-    written once, and each partition's offset is the row count of those before.
+    Rows are range-partitioned by all order columns (make the last one unique) and written once, so that a repeated task
+    finds the same partitions. Positions are two prefix sums: the place in the partition, and the rows of the partitions
+    before, of which the second sorts one row for each partition.
     """
-    spark = df.sparkSession
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     # monotonically_increasing_id packs (partition, position in partition).
     packed = ranged.sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    fixed = materialize(packed, "numbered")
-    pid = F.shiftright(F.col("_mid"), 33)
-    sizes = fixed.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per shuffle partition: bounded by the partition count of the job above.
-    offset, pairs = 0, []
-    for r in sorted(collect_bounded(sizes, 100_000), key=lambda r: r["_pid"]):
-        pairs.append((r["_pid"], offset))
-        offset += r["_n"]
-    offsets = spark.createDataFrame(pairs, "_pid long, _off long")
+    fixed = materialize(packed, "numbered").withColumn("_pid", F.shiftright("_mid", 33))
+    sizes = fixed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
-        fixed.withColumn("_pid", pid)
-        .join(F.broadcast(offsets), "_pid")
+        fixed.join(F.broadcast(offsets), "_pid")
         .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(1))
         .drop("_pid", "_off", "_mid")
     )
+
+
+def number_few(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
+    """1-based position in ``order`` of the rows of a table that is small by nature, such as one row for each model: one sort, nothing written."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))

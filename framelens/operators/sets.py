@@ -60,9 +60,19 @@ def union_with_defaults(parts: Sequence[DataFrame], columns: Sequence[str], numb
     return both.select(*out)
 
 
-def master_summary(manifests: Mapping[str, DataFrame], metric: str = "findings") -> DataFrame:
-    """One row per manifest with its availability, and the derived totals in ``summary``."""
-    parts = union_sources(manifests, "name")
-    return parts.groupBy("name").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(F.col(metric), F.lit(0))).alias("total")
-    )
+def master_summary(manifests: Mapping[str, DataFrame | None], metric: str = "findings") -> DataFrame:
+    """One row per manifest with its availability, rows and summed metric, and the totals of all under ``(all)``.
+
+    An absent manifest is None; it and an empty one count nothing. A manifest without the metric adds zero.
+    """
+    spark = next(df for df in manifests.values() if df is not None).sparkSession
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(df is not None).alias("available")) for n, df in manifests.items()])
+    names = spark.range(1).select(F.inline(listed))
+    some = {n: df.select(F.col(metric).cast("long").alias("m") if metric in df.columns else F.lit(0).cast("long").alias("m")) for n, df in manifests.items() if df is not None}
+    per = union_sources(some, "name").groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce("m", F.lit(0))).alias("total"))
+    each = names.join(per, "name", "left")
+    name = F.col("name")
+    out = each.groupingSets([[name], []], name).agg(
+        F.bool_and("available").alias("available"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
+        F.count_if("available").alias("n_available"), F.grouping_id().alias("_all"))
+    return out.withColumn("name", F.when(F.col("_all") == 1, "(all)").otherwise(name)).drop("_all")

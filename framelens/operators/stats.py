@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framelens.functions import fixed
 from framelens.functions.matching import first_case
 from framelens.operators.aggregates import n_if
-from framelens.operators.scale import number_rows
+from framelens.operators.scale import number_few, number_rows
 
 
 def wilson(k: Column, n: Column, z: float = fixed.Z_95) -> Column:
@@ -204,14 +204,15 @@ def logit_table(df: DataFrame, y: str, xs: Sequence[str], **kw) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, coef double, odds_ratio double, n long, status string")
 
 
-def spearman(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, order: str, few: bool = False) -> DataFrame:
     """Rank correlation by position: ties are broken by ``order``, not averaged.
 
-    Rows with a missing value are dropped; fewer than two rows give null.
+    Rows with a missing value are dropped; fewer than two rows give null. ``few``: see :func:`correlation_table`.
     """
     both = df.select(order, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ra = number_rows(both, [F.col(a).asc(), F.col(order).asc()], "_ra")
-    rb = number_rows(ra, [F.col(b).asc(), F.col(order).asc()], "_rb")
+    number = number_few if few else number_rows
+    ra = number(both, [F.col(a).asc(), F.col(order).asc()], "_ra")
+    rb = number(ra, [F.col(b).asc(), F.col(order).asc()], "_rb")
     diff = (F.col("_ra") - F.col("_rb")).cast("double")
     n = F.col("n").cast("double")
     return rb.agg(F.count(F.lit(1)).alias("n"), F.sum(diff * diff).alias("d2")).withColumn(
@@ -219,23 +220,41 @@ def spearman(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     )
 
 
-def rank_correlations(df: DataFrame, primary: str, others: Sequence[str], order: str) -> list[tuple[str, int, float | None]]:
-    """:func:`spearman` of one column against several: (other, rows, rho). Ranks are always distributed."""
-    table = df.select(order, primary, *others)
-    found = [(o, spearman(table, primary, o, order).first()) for o in others]
-    return [(o, r["n"], r["rho"]) for o, r in found]
+def correlation_table(df: DataFrame, primary: str, others: Sequence[str], order: str, few: bool = False) -> DataFrame:
+    """:func:`spearman` of one column against several: (metric, n, rho), all in one pass over the table in long form.
+
+    With the metric first in the order, both positions of a row count from the same start, so their difference is that of the
+    ranks. ``few`` says that the table is small by nature (a row for each model): then nothing is written and nothing runs here.
+    """
+    def as_double(c: str) -> Column:
+        return F.col(c).cast("double")
+
+    pair = F.array(*[F.struct(F.lit(o).alias("metric"), as_double(o).alias("b")) for o in others])
+    long = df.select(F.col(order).alias("o"), as_double(primary).alias("a"), F.explode(pair).alias("p")).select("o", "a", "p.metric", "p.b")
+    long = long.where("a IS NOT NULL AND b IS NOT NULL")
+    number = number_few if few else number_rows
+    rb = number(number(long, [F.col("metric"), F.col("a"), F.col("o")], "ra"), [F.col("metric"), F.col("b"), F.col("o")], "rb")
+    diff, n = (F.col("ra") - F.col("rb")).cast("double"), F.col("n").cast("double")
+    sums = rb.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum(diff * diff).alias("d2"))
+    # Metrics without a complete row count nothing.
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(o) for o in others])).alias("metric"))
+    rho = F.when(n >= 2, F.lit(1.0) - F.lit(6.0) * F.col("d2") / (n * (n * n - F.lit(1.0))))
+    return every.join(sums, "metric", "left").select("metric", F.coalesce("n", F.lit(0)).cast("long").alias("n"), rho.alias("rho"))
+
+
+def rank_correlations(df: DataFrame, primary: str, others: Sequence[str], order: str, few: bool = False) -> list[tuple[str, int, float | None]]:
+    """:func:`correlation_table` as a list in the order of ``others``: (other, rows, rho)."""
+    got = {r["metric"]: (r["n"], r["rho"]) for r in correlation_table(df, primary, others, order, few).collect()}
+    return [(o, *got[o]) for o in others]
 
 
-def stability(rho: float | None) -> str:
-    if rho is None:
-        return "undefined"
-    return "stable" if rho >= 0.9 else "moderate" if rho >= 0.7 else "sensitive"
+def stability(rho: Column) -> Column:
+    return F.when(rho.isNull(), "undefined").when(rho >= 0.9, "stable").when(rho >= 0.7, "moderate").otherwise("sensitive")
 
 
-def sensitivity(df: DataFrame, primary: str, others: Sequence[str], order: str) -> DataFrame:
+def sensitivity(df: DataFrame, primary: str, others: Sequence[str], order: str, few: bool = False) -> DataFrame:
     """Rank correlation of the primary score with every other one, with a stability band."""
-    rows = [(o, n, r, stability(r)) for o, n, r in rank_correlations(df, primary, others, order)]
-    return df.sparkSession.createDataFrame(rows, "metric string, n long, rho double, stability string")
+    return correlation_table(df, primary, others, order, few).withColumn("stability", stability(F.col("rho")))
 
 
 def pc1_weights(df: DataFrame, cols: Sequence[str], digits: int = 4) -> list[float] | None:

@@ -10,14 +10,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from framelens.operators.scale import number_rows, top_per_key
+from framelens.operators.scale import number_few, number_rows, top_per_key
 
 
 def dedup_first(df: DataFrame, key: Sequence[str] | Column, order: Sequence[Column], keep_blank: bool = False) -> DataFrame:
     """First row per key. With ``keep_blank`` rows with an empty key are all kept.
 
-    Blank keys are split off before the window, so they never meet in one task.
+    Rows with a blank key are spread by all their columns, so they never meet in one task; ``df`` is computed once.
     """
     if isinstance(key, Column):
         keyed, names = df.withColumn("_key", key), ["_key"]
@@ -26,7 +27,11 @@ def dedup_first(df: DataFrame, key: Sequence[str] | Column, order: Sequence[Colu
     if not keep_blank:
         return top_per_key(keyed, names, order).drop("_key")
     blank = F.coalesce(F.col(names[0]).cast("string"), F.lit("")) == ""
-    return top_per_key(keyed.where(~blank), names, order).unionByName(keyed.where(blank)).drop("_key")
+    spread = F.when(blank, F.struct(*keyed.columns))
+    # Blank rows meet only equal rows, with which they tie: the rank keeps all, and is limited per task as a row number is.
+    by = Window.partitionBy(*names, "_spread").orderBy(*order)
+    first = keyed.withColumn("_spread", spread).withColumn("_rank", F.rank().over(by)).where("_rank <= 1")
+    return first.withColumn("_rn", F.row_number().over(by)).where((F.col("_rn") == 1) | blank).drop("_key", "_spread", "_rank", "_rn")
 
 
 def upsert_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -52,10 +57,10 @@ def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str]) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *tie).limit(k)
 
 
-def ranked(df: DataFrame, by: str, tie: str, name: str = "position", descending: bool = True) -> DataFrame:
-    """Position of every row by ``by``, nulls last."""
+def ranked(df: DataFrame, by: str, tie: str, name: str = "position", descending: bool = True, few: bool = False) -> DataFrame:
+    """Position of every row by ``by``, nulls last. ``few`` says that the table is small by nature: one sort, nothing written."""
     first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    return number_rows(df, [first, F.col(tie).asc()], name)
+    return (number_few if few else number_rows)(df, [first, F.col(tie).asc()], name)
 
 
 def every_nth(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
@@ -95,5 +100,5 @@ def order_languages(df: DataFrame, lang: str, correct: Column, worst_first: bool
         F.sum(F.when(correct, 1).otherwise(0)).alias("correct"), F.count(F.lit(1)).alias("total")
     ).withColumn("pct", F.round(F.lit(100.0) * F.col("correct") / F.col("total"), 1))
     first = F.col("pct").asc() if worst_first else F.col("pct").desc()
-    out = number_rows(per, [first, F.col(lang).asc()], "position")
+    out = number_few(per, [first, F.col(lang).asc()], "position")  # a row for each language
     return out if split is None else out.withColumn("block", F.when(F.col("position") <= split, 1).otherwise(2))

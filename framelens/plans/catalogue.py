@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import framelens.plans.composed_queries  # noqa: F401
 import framelens.plans.io_queries  # noqa: F401
 import framelens.plans.record_queries  # noqa: F401
 import framelens.plans.text_queries  # noqa: F401

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelens.operators import aggregates as ag
+from framelens.operators import classify as cl
 from framelens.operators.scale import checkpoint_root
 from framelens.plans.registry import Tables, query, with_records
 from framelens.plans.text_queries import CLS, LEX, W, classified
@@ -142,6 +143,14 @@ def _(t):
     return readers.read_jsonl(t.spark, path, "url string, label string, score_a double, score_b double").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("agg_06_per_file", W(CLS, "SELECT 'documents.parquet' AS file, label, count(*) AS n FROM cls GROUP BY label"))
+def _(t):
+    path = folder(t, "counted")
+    named = t.documents.withColumn("url", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string"))).withColumn("file", F.col("_metadata.file_name"))
+    rows = cl.classify(named, LEX).select("file", "url", "label", "score_a", "score_b")
+    return writers.write_counted(rows, ["file", "label"], lambda d: writers.write_jsonl(d, path))
+
+
 @query("snk_02_write_dataset", "SELECT vec_id, label, len(embedding)::BIGINT AS n, true AS is_text FROM embeddings")
 def _(t):
     path = folder(t, "dataset")
@@ -165,6 +174,12 @@ def _(t):
     return d.select("total", text("label"), text("lang"))
 
 
+@query("snk_04_summary_long", W(CLS, """SELECT 'label' AS dim, label AS k, count(*) AS n FROM cls GROUP BY label UNION ALL SELECT 'lang', lang, count(*) FROM cls GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM cls GROUP BY source UNION ALL SELECT '(total)', '', count(*) FROM cls"""))
+def _(t):
+    return ag.summary_long(classified(t), ["label", "lang", "source"])
+
+
 @query("snk_05_write_splits", "SELECT 'full' AS split, count(*) AS n, sum(p_size)::BIGINT AS size FROM part UNION ALL SELECT 'verified', count(*), sum(p_size)::BIGINT FROM part WHERE p_brand = 'Brand#3'")
 def _(t):
     path = folder(t, "splits")
@@ -206,5 +221,6 @@ def _(t):
 @query("str_04_windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     out = folder(t, "windowed")
-    streams.run_to_table(streams.windowed_counts(_stream(t, "events", t.events.schema), "ts", "1 day", ["event_type"]), out, folder(t, "ckpt"), "complete")
-    return t.spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counts = streams.windowed_counts(_stream(t, "events", t.events.schema), "ts", "1 day", ["event_type"])
+    streams.drain(lambda: streams.run_to_windows(counts, out, folder(t, "ckpt"), ["event_type"]))
+    return t.spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

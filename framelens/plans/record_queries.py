@@ -14,7 +14,7 @@ from framelens.lexicon import TextRule
 from framelens.operators import aggregates as ag
 from framelens.operators import filters as fl
 from framelens.operators import geo, graph, joins, sets, stats, windows
-from framelens.operators.scale import compute_once, number_rows
+from framelens.operators.scale import compute_once, number_few
 from framelens.plans.registry import Tables, query, with_records
 
 R = with_records
@@ -408,6 +408,19 @@ def _(t):
     return ag.cohort_summary(ag.person_facts(claims(t), "A", "B", ("S",), "1997-01-01"), ("1991-01-01", "1999-01-01"))
 
 
+FACTS_TWO = """, f AS (SELECT person, max(death) AS death, coalesce(bool_or(country = 'A'), false) AS a, coalesce(bool_or(country = 'B'), false) AS b, coalesce(bool_or(country = 'S'), false) AS s,
+  coalesce(bool_or(country = 'E'), false) AS e, count(country) AS n FROM (SELECT * REPLACE (CASE WHEN claim_id % 10 = 2 THEN 'E' ELSE country END AS country) FROM claims) GROUP BY person)"""
+
+
+@query("agg_18_cohorts_two_states", R("claims", FACTS_TWO + """, c AS (SELECT *, CASE WHEN death IS NULL THEN 'alive_or_unknown' WHEN death < DATE '1991-01-01' THEN 'died_before' WHEN death < DATE '1999-01-01' THEN 'died_between' ELSE 'died_after' END AS cohort,
+  CASE WHEN a AND b THEN 'both' WHEN a THEN 'a_only' WHEN b THEN 'b_only' WHEN s THEN 'union_only' WHEN e THEN 'empire_only' WHEN n = 0 THEN 'missing' ELSE 'other' END AS cls FROM f)
+SELECT cohort, count(*) AS n, count(*) FILTER (cls = 'union_only') AS union_only, count(*) FILTER (cls = 'empire_only') AS empire_only, count(*) FILTER (cls = 'missing') AS missing, count(*) FILTER (cls = 'other') AS other FROM c GROUP BY cohort"""))
+def _(t):
+    d = claims(t).withColumn("country", F.when(F.col("claim_id") % 10 == 2, "E").otherwise(F.col("country")))
+    facts = ag.person_facts(d, "A", "B", {"union": ("S",), "empire": ("E",)}, "1997-01-01")
+    return ag.cohort_summary(facts, ("1991-01-01", "1999-01-01"), ("union", "empire")).select("cohort", "n", "union_only", "empire_only", "missing", "other")
+
+
 @query("agg_19_claim_coverage", R("claims", """, p AS (SELECT c_custkey, count(*) FILTER (country = 'A') AS a, count(*) FILTER (country = 'B') AS b, count(country) AS n FROM customer LEFT JOIN claims ON person = c_custkey GROUP BY 1)
 SELECT sum(a)::BIGINT AS claims_a, sum(b)::BIGINT AS claims_b, sum(n - a - b)::BIGINT AS claims_other, count(*) FILTER (a > 0) AS entities_a, count(*) FILTER (b > 0) AS entities_b, count(*) FILTER (n = 0) AS entities_none FROM p"""))
 def _(t):
@@ -484,7 +497,7 @@ def _(t):
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT CASE WHEN contains(lower(pob), 'nation_1') THEN 'One' WHEN contains(lower(pob), 'nation') THEN 'Nation' WHEN contains(lower(pob), 'low') THEN 'Low' ELSE 'Other' END AS pob_label, count(*) AS n FROM r WHERE pob <> '' GROUP BY 1""")
 def _(t):
-    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    d = joins.lookup_join(t.orders, t.customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "inner").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("nat. x; POB  "), "n_name", F.lit(", "), "o_orderpriority", F.lit("; DOB 1"))).when(
         F.col("o_orderkey") % 3 == 1, F.lit("DOB 2")).otherwise(F.concat(F.lit("POB "), "o_orderpriority"))
     return ag.birthplace_labels(d.withColumn("remarks", text), "remarks", (("nation_1", "One"), ("nation", "Nation"), ("low", "Low")))
@@ -573,10 +586,21 @@ def _(t):
     return r.withColumns({"chi2": F.round("chi2", 5), "cramers_v": F.round("cramers_v", 5)})
 
 
-@query("st_07_logit")
+# Newton steps on one coefficient at a time over the folded table, far more of them than six places need.
+_LOGIT = """WITH RECURSIVE f AS MATERIALIZED (SELECT CASE WHEN lang = 'en' THEN 1 ELSE 0 END::DOUBLE AS x1, CASE WHEN length(text) > 1000 THEN 1 ELSE 0 END::DOUBLE AS x2, toxic::DOUBLE AS x3,
+  count(*)::DOUBLE AS m, sum(quality)::DOUBLE AS s FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL AND text IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2, 3),
+it AS (SELECT 0 AS k, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2, 0::DOUBLE AS b3 UNION ALL
+  SELECT k + 1, b0 + CASE WHEN k % 4 = 0 THEN sum(s - m * p) / sum(m * p * (1 - p)) ELSE 0 END, b1 + CASE WHEN k % 4 = 1 THEN sum(x1 * (s - m * p)) / sum(x1 * m * p * (1 - p)) ELSE 0 END,
+    b2 + CASE WHEN k % 4 = 2 THEN sum(x2 * (s - m * p)) / sum(x2 * m * p * (1 - p)) ELSE 0 END, b3 + CASE WHEN k % 4 = 3 THEN sum(x3 * (s - m * p)) / sum(x3 * m * p * (1 - p)) ELSE 0 END
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM it, f WHERE k < 600) GROUP BY k, b0, b1, b2, b3),
+c AS (SELECT unnest(['intercept', 'is_en', 'is_long', 'toxic']) AS term, unnest([b0, b1, b2, b3]) AS coef FROM it WHERE k = 600)
+SELECT term, round(coef, 6) AS coef, round(exp(coef), 6) AS odds_ratio, (SELECT sum(m)::BIGINT FROM f) AS n, 'converged' AS status FROM c"""
+
+
+@query("st_07_logit", _LOGIT)
 def _(t):
     d = t.documents.select("doc_id", (F.col("lang") == "en").cast("int").alias("is_en"), (F.length("text") > 1000).cast("int").alias("is_long")).join(t.labels, "doc_id")
-    return stats.logit_table(d, "quality", ["is_en", "is_long", "toxic"])
+    return stats.logit_table(d, "quality", ["is_en", "is_long", "toxic"], tol=1e-9).withColumns({"coef": F.round("coef", 6), "odds_ratio": F.round("odds_ratio", 6)})
 
 
 _RANKS = """, p AS (SELECT model, "primary" AS x, uniform AS y FROM mw), r AS (SELECT row_number() OVER (ORDER BY x, model) AS ra, row_number() OVER (ORDER BY y, model) AS rb FROM p)
@@ -596,7 +620,7 @@ def model_scores(t: Tables) -> DataFrame:
 
 @query("st_08_spearman_models", R("answers", MODELS + _RANKS))
 def _(t):
-    return stats.spearman(ag.scheme_scores(gappy(t), "model"), "primary", "uniform", "model").withColumn("rho", F.round("rho", 6))
+    return stats.spearman(ag.scheme_scores(gappy(t), "model"), "primary", "uniform", "model", few=True).withColumn("rho", F.round("rho", 6))
 
 
 def _pc1_sql(data: str) -> str:
@@ -631,7 +655,7 @@ _OTHERS = [s for s in fixed.WEIGHT_SCHEMES if s != "primary"] + ["min", "harmoni
 @query("st_10_sensitivity", R("answers", MODELS + ROBUST + ", ms AS (SELECT * FROM mw JOIN rm USING (model)), z AS (" + " UNION ALL ".join(_rho(o) for o in _OTHERS)
        + ") SELECT metric, n, rho, CASE WHEN rho >= 0.9 THEN 'stable' WHEN rho >= 0.7 THEN 'moderate' ELSE 'sensitive' END AS stability FROM z"))
 def _(t):
-    return stats.sensitivity(model_scores(t), "primary", _OTHERS, "model").withColumn("rho", F.round("rho", 6))
+    return stats.sensitivity(model_scores(t), "primary", _OTHERS, "model", few=True).withColumn("rho", F.round("rho", 6))
 
 
 @query("st_11_pre_post", R("papers", """, g AS (SELECT count(*) FILTER (year < 2015 AND o) AS pre_yes, count(*) FILTER (year < 2015 AND NOT o) AS pre_no, count(*) FILTER (year >= 2015 AND o) AS post_yes, count(*) FILTER (year >= 2015 AND NOT o) AS post_no FROM (SELECT year, brand IN ('Brand#1', 'Brand#2', 'Brand#3') AS o FROM papers))
@@ -652,7 +676,7 @@ def _(t):
 @query("win_03_rank_order", R("verdicts", """, g AS (SELECT quartile, count(*) AS n FROM verdicts GROUP BY quartile) SELECT quartile, n, CASE quartile WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 9 END AS rk, row_number() OVER (ORDER BY CASE quartile WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 9 END, n DESC, quartile) AS position FROM g"""))
 def _(t):
     g = t.derived("verdicts").groupBy("quartile").agg(F.count("*").alias("n")).withColumn("rk", windows.rank_of(F.col("quartile"), ("R", "A")))
-    return number_rows(g, [F.col("rk"), F.col("n").desc(), F.col("quartile")], "position").select("quartile", "n", "rk", "position")
+    return number_few(g, [F.col("rk"), F.col("n").desc(), F.col("quartile")], "position").select("quartile", "n", "rk", "position")
 
 
 @query("win_04_top_k", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 15")
@@ -663,7 +687,7 @@ def _(t):
 @query("win_05_rank_models", R("answers", MODELS + ' SELECT model, "primary" AS score, row_number() OVER (ORDER BY "primary" DESC NULLS LAST, model) AS position FROM mw'))
 def _(t):
     d = ag.scheme_scores(gappy(t), "model").select("model", F.col("primary").alias("score"))
-    return windows.ranked(d, "score", "model")
+    return windows.ranked(d, "score", "model", few=True)
 
 
 @query("win_06_upsert_last", R("findings", "SELECT platform, category, status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY platform, category ORDER BY event_id DESC) AS rn FROM findings) WHERE rn = 1"))
@@ -708,9 +732,13 @@ def _(t):
     return sets.union_dedup([s("o_orderstatus = 'P'"), s("o_orderpriority = '5-LOW'"), c], "k", ["id"]).select("k", "branch", "id")
 
 
-@query("set_05_master", """SELECT 'parts' AS name, count(*) AS rows, sum(p_size)::BIGINT AS total FROM part UNION ALL SELECT 'pages', count(*), 0 FROM pages UNION ALL SELECT 'labels', count(*), sum(quality)::BIGINT FROM labels""")
+@query("set_05_master", """WITH m AS (SELECT 'parts' AS name, true AS available, count(*) AS rows, sum(p_size)::BIGINT AS total FROM part UNION ALL SELECT 'pages', true, count(*), 0 FROM pages
+  UNION ALL SELECT 'labels', true, count(*), sum(quality)::BIGINT FROM labels UNION ALL SELECT 'empty', true, 0, 0 UNION ALL SELECT 'absent', false, 0, 0)
+SELECT name, available, rows, total, CASE WHEN available THEN 1 ELSE 0 END::BIGINT AS n_available FROM m
+UNION ALL SELECT '(all)', bool_and(available), sum(rows)::BIGINT, sum(total)::BIGINT, count(*) FILTER (available) FROM m""")
 def _(t):
-    m = {"parts": t.part.select(F.col("p_size").cast("long").alias("findings")), "pages": t.pages.select("page_id"), "labels": t.labels.select(F.col("quality").cast("long").alias("findings"))}
+    m = {"parts": t.part.select(F.col("p_size").cast("long").alias("findings")), "pages": t.pages.select("page_id"), "labels": t.labels.select(F.col("quality").cast("long").alias("findings")),
+         "empty": t.part.select(F.col("p_size").alias("findings")).where("findings < 0"), "absent": None}
     return sets.master_summary(m)
 
 
@@ -726,9 +754,8 @@ def _(t):
 
 @query("fn_01_rebuild_text", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS rebuilt FROM documents")
 def _(t):
-    words = t.documents.select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("p", "w"))
-    # The index of one document: bounded by its own text.
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("idx"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    index = t.documents.select("doc_id", values.word_positions(words).alias("idx"))
     got = index.select("doc_id", values.rebuild_text(F.col("idx")).alias("rebuilt"))
     return t.documents.select("doc_id").join(got, "doc_id", "left").withColumn("rebuilt", F.coalesce("rebuilt", F.lit("")))
 

@@ -196,6 +196,14 @@ def _(t):
     return fl.place_filter(d, ("00007", "Nation_1"), "s_name", "n_name").select("s_suppkey", "s_name", "n_name")
 
 
+@query("flt_11_search_places", """WITH s AS (SELECT s_suppkey % 50 AS id, s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+r AS (SELECT 0 AS b, * FROM s WHERE s_suppkey % 2 = 0 UNION ALL SELECT 1, * FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b, s_suppkey) AS rn FROM r)
+SELECT id, s_suppkey, s_name, n_name FROM f WHERE rn = 1 AND (contains(lower(s_name), '00007') OR contains(lower(n_name), 'nation_1'))""")
+def _(t):
+    d = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") % 50).alias("id"), "s_suppkey", "s_name", "n_name")
+    return fl.search_places([d.where("s_suppkey % 2 = 0"), d], ("00007", "Nation_1"), "id", "s_name", "n_name", ["s_suppkey"])
+
+
 # ---- scoring --------------------------------------------------------------
 
 
@@ -365,6 +373,15 @@ def _(t):
     return t.derived("findings").select("event_id", scoring.listing_status(c, "UA", "RU").alias("status"), scoring.listed_first(c, "UA", "RU").alias("first_code"))
 
 
+@query("cls_28_encoding_status", with_records("findings", """, g AS (SELECT platform, category, count(*) FILTER (codes = 'UA') AS n_a, count(*) FILTER (codes = 'RU') AS n_b, count(*) FILTER (codes = 'RU' AND status = 'blocked') AS extra FROM findings GROUP BY ALL)
+SELECT *, CASE WHEN n_b > 0 AND n_a > 0 AND extra > 0 THEN 'incorrect' WHEN n_a > 0 AND n_b = 0 THEN 'correct' WHEN n_b > 0 AND n_a = 0 THEN 'incorrect' ELSE 'na' END AS encoding FROM g"""))
+def _(t):
+    only = lambda c: F.col("codes") == c
+    g = t.derived("findings").groupBy("platform", "category").agg(
+        F.count_if(only("UA")).alias("n_a"), F.count_if(only("RU")).alias("n_b"), F.count_if(only("RU") & (F.col("status") == "blocked")).alias("extra"))
+    return g.select("*", scoring.encoding_status(F.col("n_a"), F.col("n_b"), F.col("extra")).alias("encoding"))
+
+
 @query("cls_29_majority_status", with_records("findings", """, g AS (SELECT platform, count(*) FILTER (code = 'A') AS n_a, count(*) FILTER (code = 'B') AS n_b FROM findings GROUP BY platform)
 SELECT platform, n_a, n_b, CASE WHEN n_a > n_b THEN 'correct' WHEN n_b > n_a THEN 'incorrect' ELSE 'ambiguous' END AS status,
   CASE WHEN n_b > n_a THEN 'incorrect' ELSE 'correct' END AS status_tie_ok FROM g"""))
@@ -416,6 +433,11 @@ def _(t):
     return d.select("source", "total", text.alias("counts"))
 
 
+@query("agg_09_nested_long", W(CLS, "SELECT source, label, count(*) AS n FROM cls GROUP BY source, label"))
+def _(t):
+    return ag.nested_counts(classified(t), "source", "label")
+
+
 @query("agg_10_cooccurrence", W(GRP, "SELECT array_to_string(groups, '|') AS groups, count(*) AS n FROM gd GROUP BY 1 ORDER BY n DESC, groups LIMIT 20"))
 def _(t):
     return ag.cooccurrence(cl.detect_groups(t.documents, GROUPS), 20)
@@ -432,7 +454,7 @@ def _(t):
     hits = scoring.group_hits(low, GROUPS)
     d = t.documents.select("lang", "n_chars", hits.alias("h")).select(
         "lang", "n_chars", F.map_contains_key("h", F.lit("junk")).alias("hit"), (F.size("h") > 0).alias("anyg"))
-    return ag.rate_compare(d.where("lang = 'en'"), d.where("lang <> 'en'"), "hit", "anyg", F.col("n_chars") < 1000)
+    return ag.rate_split(d.where("lang IS NOT NULL"), F.col("lang") == "en", "hit", "anyg", F.col("n_chars") < 1000)
 
 
 @query("agg_27_theme_summary", W(GRP, """, e AS (SELECT 'all' AS tally, 'all' AS value FROM gd UNION ALL SELECT 'source', source FROM gd UNION ALL SELECT 'year', lang FROM gd UNION ALL SELECT 'theme', unnest(groups) FROM gd)
@@ -448,10 +470,7 @@ SELECT count(*) AS collected, count(*) FILTER (uniq) AS deduped, count(*) FILTER
 def _(t):
     d = docs(t).withColumns({"_m": F.md5(F.lower("text")), "gate": F.regexp_like(F.lower("text"), F.lit(" the | der | que "))})
     c = cl.classify(d, LEX).select("doc_id", "_m", "gate", "label")
-    # First document of each group of copies: a partial aggregate, then a join on the unique id.
-    first = c.groupBy("_m").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("uniq"))
-    flagged = c.join(first, "doc_id", "left")
-    return ag.funnel(flagged, [("deduped", F.col("uniq")), ("gated", F.col("gate")), ("classified", F.col("label") != "no_signal"), ("pole_b", F.col("label") == "b")])
+    return ag.funnel_of_firsts(c, "_m", ["doc_id"], [("gated", F.col("gate")), ("classified", F.col("label") != "no_signal"), ("pole_b", F.col("label") == "b")])
 
 
 @query("win_01_dedup_first", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY md5(trim(lower(source || text))) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")

@@ -234,11 +234,17 @@ def _(t):
 p AS (SELECT *, CASE WHEN len(string_split(h, '.')) >= 2 THEN string_split(h, '.')[-2] || '.' || string_split(h, '.')[-1] ELSE h END AS par FROM n),
 wl AS (SELECT * FROM (VALUES ('example.com'), ('m.example.org'), ('spam-farm.example.org')) v(d))
 SELECT page_id, CASE WHEN h IN (SELECT d FROM wl) THEN NULL WHEN d1.name IS NOT NULL THEN h WHEN par IN (SELECT d FROM wl) THEN NULL WHEN d2.name IS NOT NULL THEN par END AS hit_domain,
-  CASE WHEN h IN (SELECT d FROM wl) THEN NULL WHEN d1.name IS NOT NULL THEN d1.name WHEN par IN (SELECT d FROM wl) THEN NULL ELSE d2.name END AS entity_name
+  CASE WHEN h IN (SELECT d FROM wl) THEN NULL WHEN d1.name IS NOT NULL THEN d1.name WHEN par IN (SELECT d FROM wl) THEN NULL ELSE d2.name END AS entity_name,
+  CASE WHEN h IN (SELECT d FROM wl) THEN NULL WHEN d1.name IS NOT NULL THEN 'list/' || d1.type WHEN par IN (SELECT d FROM wl) THEN NULL ELSE 'list/' || d2.type END AS datasets,
+  CASE WHEN h IN (SELECT d FROM wl) THEN NULL WHEN d1.name IS NOT NULL THEN left(d1.name, 8) WHEN par IN (SELECT d FROM wl) THEN NULL ELSE left(d2.name, 8) END AS country
 FROM p LEFT JOIN dir d1 ON h = d1.domain LEFT JOIN dir d2 ON par = d2.domain"""))
 def _(t):
-    index = directory(t).select("domain", F.array(F.struct(F.col("name").alias("entity_name"))).alias("entries"))
-    return joins.lookup_index(links(t), index, ("example.com", "m.example.org", "spam-farm.example.org")).select("page_id", "hit_domain", "entity_name")
+    entry = F.struct(F.col("name").alias("entity_name"), F.array(F.lit("list"), F.col("type")).alias("datasets"), F.array(F.left("name", F.lit(8))).alias("country"))
+    other = F.struct(F.lit("second").alias("entity_name"), F.array(F.lit("x")).alias("datasets"), F.array(F.lit("y")).alias("country"))
+    index = directory(t).select("domain", F.array(entry, other).alias("entries"))
+    got = joins.lookup_index(links(t), index, ("example.com", "m.example.org", "spam-farm.example.org"))
+    return got.select("page_id", "hit_domain", "entity_name", F.concat_ws("/", "datasets").alias("d"), F.concat_ws("/", "country").alias("c")).select(
+        "page_id", "hit_domain", "entity_name", F.nullif("d", F.lit("")).alias("datasets"), F.nullif("c", F.lit("")).alias("country"))
 
 
 @query("agg_07_crosstab", with_records(["links", "directory"], SITE + "SELECT origin, site_type, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM st), 4) AS pct FROM st GROUP BY 1, 2 ORDER BY n DESC, origin, site_type LIMIT 25"))
@@ -299,6 +305,21 @@ def _(t):
     return t.pages.selectExpr("page_id", f"{_CRUMB_HTML} AS html").select("page_id", pages.breadcrumb(F.col("html")).alias("crumb"))
 
 
+# Elements of several kinds, whose text is known: quotes of all kinds, a label, elements of the same name inside, texts after the end.
+_CRUMB_KINDS = """CASE page_id % 6
+  WHEN 0 THEN concat('<div class="nav Breadcrumb"></div><div data-x="a > b" class="x breadcrumbs"><div>Home</div> <div>to <div>', url, '</div></div></div><div>after</div>', html)
+  WHEN 1 THEN concat('<p>no</p><section class=''my breadcrumb it"s''>Home &amp; <br><section>', url, '</section></section> after', html)
+  WHEN 2 THEN concat('<p>no</p><nav id=n aria-label="Page Breadcrumb"><nav>Home</nav><script>var x = "</nav>";</script> ', url, '</nav><nav>after</nav>', html)
+  WHEN 3 THEN concat('<ul><li class=breadcrumb>Home<!-- </li> --> <b>', url, '</ul> after', html)
+  WHEN 4 THEN concat('<nav aria-label=breadcrumb>label</nav><ol class="breadcrumb"><li>Home<li>', url, '</i></ol> after', html) ELSE html END"""
+
+
+@query("fn_04_breadcrumb_elements", """SELECT page_id, left(CASE page_id % 6 WHEN 0 THEN 'Home to ' || url WHEN 1 THEN 'Home & ' || url WHEN 2 THEN 'Home ' || url WHEN 3 THEN 'Home ' || url
+  WHEN 4 THEN 'Home ' || url ELSE '' END, 200) AS crumb FROM pages""")
+def _(t):
+    return t.pages.selectExpr("page_id", f"{_CRUMB_KINDS} AS html").select("page_id", pages.breadcrumb(F.col("html")).alias("crumb"))
+
+
 _CODES_BODY = """CASE WHEN page_id % 4 = 0 THEN concat('{"q": 1, "country": "UA", "x": "country=RU", "country":"', CASE WHEN page_id % 3 = 0 THEN 'RU' ELSE 'DE' END, '"} ', html)
   WHEN page_id % 4 = 1 THEN concat(html, '<a href="?country=RU&z=1">') WHEN page_id % 4 = 2 THEN concat('"country":"UA" ', html) ELSE html END"""
 
@@ -368,6 +389,22 @@ def _(t):
     return statuses(t).select("page_id", "status", (F.length("reason") > 0).alias("has_reason"))
 
 
+_HITS = "'hits=' || na || '/' || nb"
+_REASON = f"""CASE WHEN prior = 'untested' THEN 'not probed by design' WHEN http = 0 OR http >= 400 THEN 'http=' || http
+  WHEN origin = 'B' AND sig = 'a' AND na > nb THEN 'origin B, switched; ' || {_HITS} WHEN origin = 'B' THEN 'origin B; ' || {_HITS}
+  WHEN codes[1] = 'UA' THEN 'first code A; ' || array_to_string(codes, ',') || CASE WHEN list_contains(codes, 'RU') THEN '; dual listing with B' ELSE '' END
+  WHEN codes[1] = 'RU' THEN 'first code B; ' || array_to_string(codes, ',')
+  WHEN sig = 'b' OR (tb AND NOT ta) THEN 'URL or title B; ' || {_HITS}
+  WHEN sig = 'a' THEN CASE WHEN ta THEN 'URL and title A; ' WHEN topic AND NOT tb THEN 'URL A, title names topic only; ' ELSE 'URL A, title neutral; ' END || {_HITS}
+  WHEN ta AND NOT tb THEN 'title A; ' || {_HITS} WHEN topic THEN 'title names topic only; ' || {_HITS} WHEN prior = 'na' THEN 'not covered; ' || {_HITS}
+  WHEN na >= 5 AND na > nb * 2 THEN 'body A; ' || {_HITS} WHEN nb >= 5 AND nb > na * 2 THEN 'body B; ' || {_HITS} ELSE 'no clear signal; ' || {_HITS} END"""
+
+
+@query("cls_26_page_reason", f"WITH {PROBE} SELECT page_id, {_STATUS} AS status, {_REASON} AS reason FROM pb")
+def _(t):
+    return statuses(t).select("page_id", "status", "reason")
+
+
 @query("join_15_compare_status", f"WITH {PROBE}, st AS (SELECT page_id, prior, {_STATUS} AS now FROM pb) SELECT *, prior = now OR (prior = 'ambiguous' AND now = 'url_correct_ui_ambiguous') AS agrees FROM st")
 def _(t):
     d = statuses(t).select("page_id", "prior", F.col("status").alias("now"))

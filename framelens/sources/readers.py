@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelens.operators.scale import exists
+
 CORPUS = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -70,17 +72,20 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return df if limit is None else df.limit(limit)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, header: bool = True) -> DataFrame:
-    """CSV with quotes and embedded line breaks; positional columns when ``header`` is off."""
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, header: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV with quotes; positional columns when ``header`` is off.
+
+    A record is a line, so a large file is read by many tasks. ``multi_line`` allows line breaks within quotes; then one task reads a file.
+    """
     return (
-        spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+        spark.read.schema(schema).option("header", header).option("multiLine", multi_line).option("escape", '"').csv(path)
     )
 
 
-def read_registry_csv(spark: SparkSession, path: str | Sequence[str], columns: int) -> DataFrame:
+def read_registry_csv(spark: SparkSession, path: str | Sequence[str], columns: int, multi_line: bool = False) -> DataFrame:
     """Headerless CSV as ``c0 … cN`` plus ``remarks``, the last non-null column of the row."""
     names = [f"c{i}" for i in range(columns)]
-    df = read_csv(spark, path, ", ".join(f"{n} string" for n in names), header=False)
+    df = read_csv(spark, path, ", ".join(f"{n} string" for n in names), False, multi_line)
     return df.withColumn("remarks", F.coalesce(*[F.col(n) for n in reversed(names)]))
 
 
@@ -117,38 +122,38 @@ def find_field(spark: SparkSession, path: str | Sequence[str], keyword: str, sep
 
 
 def read_manifests(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Small JSON documents kept under their name; a missing file gives an unavailable row."""
+    """Small JSON documents, a row for each file, kept under their name; a name without a file gives an unavailable row."""
     parts = []
     for name, path in paths.items():
-        # A glob with ignoreMissingFiles makes an absent path an empty frame instead of an error.
         folder, _, base = path.rpartition("/")
-        try:
-            found = spark.read.option("wholetext", True).option("pathGlobFilter", base).text(folder)
-        except Exception as e:  # an absent folder is an absent manifest
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            found = spark.createDataFrame([], "value string")
-        parts.append(
-            found.agg(F.max("value").alias("manifest")).select(
-                F.lit(name).alias("name"), F.col("manifest").isNotNull().alias("available"), "manifest"
-            )
-        )
+        if exists(spark, folder):
+            files = spark.read.option("wholetext", True).option("pathGlobFilter", base).text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("manifest"))
+        else:
+            files = spark.createDataFrame([], "file string, manifest string")
+        # The files of one manifest are few and small by nature; the outer explode keeps a row where there is none.
+        found = files.agg(F.array_sort(F.collect_list(F.struct("file", "manifest"))).alias("f")).select(F.inline_outer("f"))
+        parts.append(found.select(F.lit(name).alias("name"), F.col("manifest").isNotNull().alias("available"), "file", "manifest"))
     return reduce(DataFrame.unionByName, parts)
 
 
-FEATURES = """features array<struct<properties: map<string,string>,
-    geometry: struct<type: string, coordinates: string>>>"""
+FEATURE = "struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
 RING = "array<array<array<double>>>"
 
 
-def read_geojson(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Feature collection as rows: ``properties``, ``type`` and ``polygons``.
+def read_geojson(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """Features as rows: ``properties``, ``type`` and ``polygons``.
 
     ``polygons`` is an array of polygons (arrays of rings of points) for
-    Polygon and MultiPolygon geometries and null for other types.
+    Polygon and MultiPolygon geometries and null for other types. A feature
+    collection is one document, which one task reads; with ``lines`` each line
+    is a feature (RFC 8142, with or without its record separator), and a large
+    file is read by many tasks. Lines that are no feature are dropped.
     """
-    raw = spark.read.option("multiLine", True).schema(FEATURES).json(path)
-    f = raw.select(F.explode("features").alias("f"))
+    if lines:
+        text = spark.read.text(path).select(F.translate("value", "\x1e", "").alias("v"))
+        f = text.select(F.from_json("v", FEATURE).alias("f")).where("f.geometry IS NOT NULL OR f.properties IS NOT NULL")
+    else:
+        f = spark.read.option("multiLine", True).schema(f"features array<{FEATURE}>").json(path).select(F.explode("features").alias("f"))
     coords, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     one = F.from_json(coords, RING)
     many = F.from_json(coords, f"array<{RING}>")

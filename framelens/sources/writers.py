@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,3 +47,22 @@ def write_splits(df: DataFrame, path: str, verified: Column, mode: str = "overwr
 def write_summary(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A one-row nested summary as one JSON document."""
     df.coalesce(1).write.mode(mode).json(path)
+
+
+def write_counted(df: DataFrame, by: Sequence[str], write: Callable[[DataFrame], None], groups: int = 50_000) -> DataFrame:
+    """Write ``df`` and return the rows written for each value of ``by`` (as text), counted by the writing job itself.
+
+    The counters are metrics that the job observes on its way, merged from one small table in each task. They are exact for up
+    to ``groups`` values, such as a file with a label, which is checked by their sum; beyond that it raises after the write.
+    """
+    spark, seen = df.sparkSession, Observation()
+    key = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k{i}") for i, c in enumerate(by)]))
+    keyed = df.withColumn("_key", key)
+    watched = keyed.observe(seen, F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_key, {groups}, {2 * groups})").alias("top"))
+    write(watched.drop("_key"))
+    got = seen.get
+    rows = [(t["item"], t["count"]) for t in got["top"] or []]
+    if sum(n for _, n in rows) != got["n"]:
+        raise ValueError(f"more than {groups} groups: the rows are written, count them from there")
+    parsed = F.from_json("k", ", ".join(f"k{i} string" for i in range(len(by))))
+    return spark.createDataFrame(rows, "k string, n long").select(*[parsed[f"k{i}"].alias(c) for i, c in enumerate(by)], "n")

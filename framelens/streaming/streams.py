@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framelens.lexicon import Lexicon
 from framelens.operators.classify import classify
+from framelens.operators.scale import discard, exists, materialize
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", glob: str | None = None,
@@ -33,35 +37,51 @@ def classify_stream(docs: DataFrame, lex: Lexicon, out: str, checkpoint: str, **
     )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB: on disk, read and written by key. A query copies the setting when it starts."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def skip_seen(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
     """Append only rows whose key was not written before, also across restarts and by other queries on the same output.
 
-    Keys compare column by column, null with null. Each batch has its own folder, named by its checkpoint and number, so a
-    replayed batch overwrites only itself and a fresh checkpoint never touches what another one wrote.
+    The keys are keyed state, so a batch reads its own rows and looks up their keys; what was written before is not read
+    again. Rows of a key are reduced in each task before the shuffle. Within a batch the first row in ``order`` (else by key)
+    stays. Keys compare column by column, null with null.
+
+    Files that other queries put into ``out`` are a second source of this query: the first batch of a fresh checkpoint learns
+    their keys, later batches only those of new files. Each batch has its own folder, named by its checkpoint and number, so a
+    replayed batch overwrites only itself. A row is new if its key was first seen in this batch: a batch has one time,
+    kept in the checkpoint, which a replay repeats.
     """
-    by = list(order) or list(keys)
+    spark, by = stream.sparkSession, list(order) or list(keys)
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    if not exists(spark, f"{out}/run={run}"):
+        spark.createDataFrame([], stream.schema).write.parquet(f"{out}/run={run}/batch=-1")
+    written = T.StructType([*stream.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+    others = spark.readStream.schema(written).parquet(out).where(F.col("run") != run)
+
+    def tagged(df: DataFrame, old: bool) -> DataFrame:
+        key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_k")
+        row = F.struct(*[F.col(c) for c in stream.columns]).alias("_row")
+        return df.select(key, row, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(by)]).alias("_by"), F.lit(old).alias("_old"))
+
+    rows = tagged(stream, False).unionByName(tagged(others, True)).withColumn("_at", F.current_timestamp())
+    firsts = rows.groupBy("_k").agg(
+        F.max("_old").alias("_old"), F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.min_by("_row", F.struct("_at", "_by")).alias("_row"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*batch.columns), F.struct(*by)).alias("_r"))
-        schema = T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
-        try:
-            seen = spark.read.schema(schema).parquet(out).where((F.col("run") != run) | (F.col("batch") != batch_id))
-            seen = seen.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)])
-            same = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(f"_s{i}")) for i in range(len(keys))])
-            first = first.join(seen, same, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        first.select("_r.*").write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
+        new = batch.where(~F.col("_old") & (F.col("_first") == F.col("_last")))
+        new.select("_row.*").write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
 
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    with rocksdb_state(spark):
+        return firsts.writeStream.option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).foreachBatch(write).start()
 
 
 def dedup_within(stream: DataFrame, keys: Sequence[str], ts: str, watermark: str) -> DataFrame:
@@ -79,7 +99,7 @@ def running_counts(stream: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, ts: str, width: str, by: Sequence[str], watermark: str = "1 day") -> DataFrame:
-    """Counts per fixed window and key; the watermark bounds the state."""
+    """Counts per fixed window and key. In update or append mode the watermark drops the state of old windows; in complete mode all state stays."""
     return (
         stream.withColumn(ts, F.col(ts).cast("timestamp"))
         .withWatermark(ts, watermark)
@@ -89,6 +109,32 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, by: Sequence[str], w
     )
 
 
+def run_to_windows(df: DataFrame, out: str, checkpoint: str, by: Sequence[str], window: str = "window_start") -> StreamingQuery:
+    """Keep the latest row of every (window, key) of an aggregated stream in ``out``, one partition for each window.
+
+    A batch rewrites the windows that it touches and no others: their rows with other keys are carried over. Its own rows
+    are the state's values, so a replayed batch writes the same. ``out`` has the columns of ``df`` and ``window_id``.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = materialize(batch.withColumn("window_id", F.unix_micros(window)), "windows")
+        # One row for each window that the batch touches, which the watermark bounds.
+        touched = [r["window_id"] for r in new.select("window_id").distinct().collect()]
+        if touched and exists(spark, out):
+            same = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("window_id", *by)])
+            old = spark.read.schema(new.schema).parquet(out).where(F.col("window_id").isin(touched))
+            kept = materialize(old.alias("o").join(new.alias("n"), same, "left_anti").unionByName(new), "windows")
+        else:
+            kept = new
+        if touched:
+            kept.write.partitionBy("window_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
+        discard(*{id(x): x for x in (new, kept)}.values())
+
+    with rocksdb_state(df.sparkSession):
+        return df.writeStream.option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).foreachBatch(write).start()
+
+
 def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str) -> None:
     """Drive an aggregated stream over everything available and keep its latest result in ``out``.
 

@@ -57,7 +57,7 @@ def test_entry(spark):
 
 def test_no_query_compares_all_pairs(spark):
     for name, build in queries().items():
-        if name.startswith(("join_09", "str_", "src_", "snk_", "join_18", "st_", "win_", "fn_", "cls_", "url_")):
-            continue
+        if name.startswith("join_09"):
+            continue  # the product is its feature
         plan = build(spark, str(SF))._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name

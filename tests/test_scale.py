@@ -21,16 +21,15 @@ def table(spark):
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(skewed, table, how):
     want = sorted(map(str, skewed.join(table, "key", how).collect()))
-    got = scale.salted_join(skewed, table, "key", how, salts=8)
+    got = scale.salted_join(skewed, table, "key", how, rows_per_salt=300)
     assert sorted(map(str, got.select(*skewed.join(table, "key", how).columns).collect())) == want
 
 
 def test_salting_spreads_hot_and_null_keys(skewed, table, spark):
-    assert scale.hot_keys(skewed, ["key"], 0.1) == ["hot"]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sizes = scale.salted_join(skewed, table, "key", salts=16).groupBy(F.spark_partition_id()).count().collect()
+        sizes = scale.salted_join(skewed, table, "key", rows_per_salt=100).groupBy(F.spark_partition_id()).count().collect()
         assert max(r["count"] for r in sizes) < 0.6 * 6000, "no task holds the hot key as a whole"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -44,11 +43,12 @@ def test_composite_key(spark):
     assert scale.salted_join(left, right, ["a", "b"], "left_anti").count() == 600
 
 
-def test_lookup_measures_before_it_broadcasts(skewed, table, spark, monkeypatch):
-    assert scale.fits_broadcast(table) and not scale.fits_broadcast(table, max_rows=10) and not scale.fits_broadcast(table, max_bytes=50)
-    small = sorted(map(str, scale.lookup_join(skewed, table, "key").collect()))
-    monkeypatch.setattr(scale, "fits_broadcast", lambda df, *a: False)
-    large = scale.lookup_join(skewed, table, "key").select("key", "id", "v")
+def test_lookup_broadcasts_what_its_plan_says_is_small(skewed, table, spark, tmp_path):
+    table.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert scale.plan_bytes(stored) < 100_000 < scale.BROADCAST_BYTES < scale.plan_bytes(skewed.join(skewed.withColumnRenamed("id", "i"), "key"))
+    small = sorted(map(str, scale.lookup_join(skewed, stored, "key").select("key", "id", "v").collect()))
+    large = scale.salted_join(skewed, stored, "key").select("key", "id", "v")
     assert sorted(map(str, large.collect())) == small
 
 
