@@ -16,6 +16,7 @@ import gc
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -196,7 +197,7 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
                 for s in group:
                     n, hi = len(s), lo + len(s)
                     sizes.append(n)
-                    keys.append(np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64))
+                    keys.append(set_key(s))
                     maps[i, places[lo:hi]] = 1
                     take = n - (percent * n + 99) // 100 + 1 if n else 0
                     for k, rank in enumerate(ranks):
@@ -215,16 +216,97 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(make, kind)
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): the sorted token sets of the texts with the given ids."""
+def membership(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids in the only column: two of at least sixteen bits for each, in 16 MB at most whatever their number."""
+    bits = 1 << min(27, max(16, (16 * ids.count()).bit_length()))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(bloom_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits).ravel())
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["w", "b"])
+
+    got = ids.mapInArrow(spots, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([mix64(ids.view(np.uint64) ^ salt) & np.uint64(bits - 1) for salt in SALTS[:2]])
+
+
+def contains(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the Bloom filter holds; it also says yes to a few that were never put in."""
+    place = bloom_places(ids, len(table) << 6)
+    return ((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=0)
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, twins: dict[tuple[int, int], int], width: int, id_col: str, text_col: str) -> DataFrame:
+    """(v, s): the sorted token sets of the classes that have the given ids, and of a few more.
+
+    The ids reach the map tasks as a Bloom filter of bounded size, so texts of other ids are not shuffled. An id that stands on
+    several texts brings the sets of all their classes.
+    """
+    filtered = docs.sparkSession.sparkContext.broadcast(membership(ids))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = filtered.value
+        for batch in batches:
+            kept = batch.filter(pa.array(contains(table, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            v = [vertex(s, twins) for s in token_sets(kept.column(1), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), kept.column(1)], ["v", "t"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for s in token_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "s"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL").mapInArrow(pick, "v long, t string")
+    return texts.groupBy("v").agg(F.min("t").alias("t")).mapInArrow(make, "v long, s array<long>")
+
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    return texts.mapInArrow(make, "id long, s array<long>")
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    k1, k2 = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
+    return int(k1), int(k2)
+
+
+def vertex(s: np.ndarray, twins: dict[tuple[int, int], int]) -> int:
+    """The number of a set's class: half of its key, but for the classes in ``twins``."""
+    key = set_key(s)
+    return twins.get(key, key[0])
+
+
+def numbered_classes(real: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """(k1, k2, v, id): classes with their number and smallest id; and the numbers of classes that share half a key.
+
+    Two classes share half a key by chance only, so that list stays tiny at any size; all but the first of them get another number.
+    """
+    classes = settle(real.groupBy("k1", "k2").agg(F.min("id").alias("id")), "classes")
+    shared = classes.groupBy("k1").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("k2")).alias("k")).where("c > 1").collect()
+    twins = {(r["k1"], k): int(np.int64(np.uint64(r["k1"] & (2**64 - 1)) ^ mix64(np.array([k], np.int64).view(np.uint64))[0])) for r in shared for k in r["k"][1:]}
+    return classes.withColumn("v", vertex_column(twins)), twins
+
+
+def vertex_column(twins: dict[tuple[int, int], int]) -> Column:
+    v = F.col("k1")
+    for (k1, k2), number in twins.items():
+        v = F.when((F.col("k1") == k1) & (F.col("k2") == k2), F.lit(number)).otherwise(v)
+    return v
+
+
+def of_classes(rows: DataFrame, classes: DataFrame, twins: dict, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """(v, names) of the wanted classes, from a row of each. Rows of other ids stay in their map tasks (Bloom filter)."""
+    filtered = rows.sparkSession.sparkContext.broadcast(membership(classes.join(wanted, "v").select("id")))
+
+    @F.pandas_udf("boolean")
+    def held(ids: pd.Series) -> pd.Series:
+        return pd.Series(contains(filtered.value, ids.to_numpy(np.int64)))
+
+    some = rows.where("id IS NOT NULL AND n > 0").where(held("id")).withColumn("v", vertex_column(twins)).select("v", *names)
+    return some.join(wanted, "v", "left_semi").groupBy("v").agg(*[F.first(c).alias(c) for c in names])
 
 
 def fingerprint(edges: DataFrame) -> tuple:
@@ -264,23 +346,22 @@ def difference_fits(percent: int, a: str, b: str, n: Column, m: Column) -> Colum
     return places * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def compare(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Candidate pairs (a, b) to links: the other orders' prefixes and the bit maps first, then the whole sets of what is left."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def compare(pairs: DataFrame, rows: DataFrame, classes: DataFrame, twins: dict, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Candidate pairs (a, b) of classes to links: the other orders' prefixes and the bit maps first, then the whole sets of what is left."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     names = [*[f"p{k}" for k in range(1, ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)]]
-    info = rows.join(wanted, "id", "left_semi").groupBy("id").agg(*[F.first(c).alias(c) for c in ["n", *names]])
-    info = settle(info, "info")
-    one = info.select(F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in names])
-    two = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in names])
+    wanted = settle(wanted, "wanted")
+    info = settle(of_classes(rows, classes, twins, wanted, ["n", *names]), "info")
+    one = info.select(F.col("v").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in names])
+    two = info.select(F.col("v").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in names])
     got = pairs.join(one, "a").join(two, "b").where(difference_fits(percent, "ab", "bb", F.col("na"), F.col("nb")))
     for k in range(1, ORDERS):
         got = got.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
     got = settle(got.select("a", "b", "na", "nb"), "candidates")
-    discard(info)
-    # Where few texts are left, this small table spares the shuffle of all texts.
-    ids = settle(got.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = settle(whole_sets(docs, ids, width, id_col, text_col), "sets")
-    a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    discard(info, wanted)
+    ids = settle(classes.join(got.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v").select("id").distinct(), "ids")
+    sets = settle(whole_sets(docs, ids, twins, width, id_col, text_col), "sets")
+    a, b = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
     exact = got.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     links = settle(exact.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
     discard(got, ids, sets)
@@ -291,42 +372,48 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """(doc_id, n_shingles, component_id) for every row: links where 100 * shared >= percent * union of token sets.
 
     Null, empty and blank texts have size 0 and are linked with nothing: their component is their own id. Rows without an
-    id take no part and have no component. Repeated rows are members of their text's class; an id is taken to name one text,
-    and where it stands on several, the smallest is compared. An empty table gives no row. ``percent`` is from 51 to 100.
+    id take no part and have no component. Texts of equal sets are one class, and classes are what is linked: repeated rows
+    are members of their text's class, and an id that stands on several texts is a member of each of their classes, row by row.
+    An empty table gives no row. ``percent`` is from 51 to 100.
     """
     rows = settle(digest(docs, width, percent, id_col, text_col), "digest")
     real = rows.where("id IS NOT NULL AND n > 0")
-    classes = settle(real.groupBy("k1", "k2").agg(F.min("id").alias("id")), "classes")
-    # One row per class: copies never meet. All members of a class have the same size and prefixes.
-    leaders = settle(real.select("id", "k1", "k2", "n", "p0").join(classes, ["id", "k1", "k2"], "left_semi").select("id", "n", "p0"), "leaders")
+    classes, twins = numbered_classes(real)
+    # One row per class (and one more for each repetition of it): copies never meet. All members of a class have the same size and prefixes.
+    leaders = settle(real.select("id", "k1", "k2", "n", "p0").join(classes, ["id", "k1", "k2"]).select("v", "n", "p0"), "leaders")
     # Both uses read the same three columns dealt by token, so Spark shuffles the postings once.
-    postings = leaders.select(F.explode("p0").alias("t"), "id", "n").repartition("t")
-    shared = postings.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("n").alias("most")).where("lo <> hi AND most > 0").select("t")
+    postings = leaders.select(F.explode("p0").alias("t"), "v", "n").repartition("t")
+    shared = postings.groupBy("t").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("n").alias("most")).where("lo <> hi AND most > 0").select("t")
     meet = settle(postings.join(shared, "t").distinct(), "postings")
     discard(leaders)
-    central = meet.groupBy("id").agg(F.count("*").alias("m"))
-    hubs = meet.join(central, "id").groupBy("t").agg(F.max(F.struct(F.col("m"), (-F.col("id")).alias("i"), F.col("n").alias("nh"))).alias("h"))
-    hubs = settle(hubs.select("t", (-F.col("h.i")).alias("hub"), F.col("h.nh").alias("nh")), "hubs")
-    star = meet.join(hubs, "t").where((F.col("id") != F.col("hub")) & near("n", "nh", percent)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    central = meet.groupBy("v").agg(F.count("*").alias("m"))
+    hubs = meet.join(central, "v").groupBy("t").agg(F.max(F.struct("m", "v", F.col("n").alias("nh"))).alias("h"))
+    hubs = settle(hubs.select("t", F.col("h.v").alias("hub"), F.col("h.nh").alias("nh")), "hubs")
+    star = meet.join(hubs, "t").where((F.col("v") != F.col("hub")) & near("n", "nh", percent)).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
     star = settle(star, "star")
-    links = compare(star, rows, docs, width, percent, id_col, text_col)
+    links = compare(star, rows, classes, twins, docs, width, percent, id_col, text_col)
     joined = components(links)
 
-    named = meet.join(joined, "id", "left").withColumn("g", F.coalesce("component", "id"))
+    named = meet.join(joined.withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     open_tokens = named.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    bits = rows.select("id", *[f"b{k}" for k in range(MAP_WORDS)]).join(classes, "id", "left_semi").dropDuplicates(["id"])
-    left = settle(named.join(open_tokens, "t").join(hubs, "t").join(joined.select(F.col("id").alias("hub"), F.col("component").alias("gh")), "hub", "left")
-                  .select("t", "id", "n", "g", (F.col("g") != F.coalesce("gh", "hub")).alias("apart")).join(bits, "id"), "open")
-    x = left.where("apart").select("t", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(MAP_WORDS)])
-    y = left.select(F.col("t").alias("t2"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(MAP_WORDS)])
+    gaps = settle(named.join(open_tokens, "t").join(hubs, "t").join(joined.select(F.col("id").alias("hub"), F.col("component").alias("gh")), "hub", "left")
+                  .select("t", "v", "n", "g", (F.col("g") != F.coalesce("gh", "hub")).alias("apart")), "gaps")
+    bits = of_classes(rows, classes, twins, settle(gaps.select("v").distinct(), "wanted"), [f"b{k}" for k in range(MAP_WORDS)])
+    left = settle(gaps.join(bits, "v"), "open")
+    discard(gaps)
+    x = left.where("apart").select("t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(MAP_WORDS)])
+    y = left.select(F.col("t").alias("t2"), F.col("v").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(MAP_WORDS)])
     fits = (F.col("gx") != F.col("gy")) & near("nx", "ny", percent) & difference_fits(percent, "x", "y", F.col("nx"), F.col("ny"))
     more = x.join(y, (F.col("t") == F.col("t2")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(more.join(star, ["a", "b"], "left_anti"), "rest")
-    more_links = compare(more, rows, docs, width, percent, id_col, text_col)
+    more_links = compare(more, rows, classes, twins, docs, width, percent, id_col, text_col)
     before, joined = joined, components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links))
     narrow = settle(rows.select("id", "n", "k1", "k2"), "keys")
     discard(rows, meet, hubs, star, left, more, links, more_links, before)
 
-    out = narrow.join(classes.withColumnRenamed("id", "c"), ["k1", "k2"], "left").join(joined.withColumnRenamed("id", "c"), "c", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "c")).otherwise(F.col("id"))
+    # A component is named by a class; its name for the reader is the smallest id of its classes.
+    member = classes.join(joined.withColumnRenamed("id", "v"), "v", "left").select("k1", "k2", "id", F.coalesce("component", "v").alias("c"))
+    least = member.groupBy("c").agg(F.min("id").alias("component_id"))
+    out = narrow.join(member.select("k1", "k2", "c").join(least, "c"), ["k1", "k2"], "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))

@@ -276,3 +276,48 @@ def test_url_model_equals_plain_naive_bayes(spark):
 def test_empty_tables(spark, none):
     for q in (queries.op11_merkle_manifest, queries.op12_periodic_runs, queries.op13_url_filter):
         assert q(spark, none).count() == 0
+
+
+def test_an_id_on_two_texts_loses_no_link(spark):
+    from framelens.llm import jaccard_join
+
+    rng = random.Random(8)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (7, b + " more"), (9, a + " more"), (11, c), (11, c), (3, c.upper() + " x")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5), (11, 3), (11, 3)]
+
+
+def test_classes_that_share_half_a_key_get_numbers_of_their_own(spark):
+    from framelens.llm import jaccard_join
+
+    real = spark.createDataFrame([(1, 9, 1), (2, 9, 1), (3, 9, 2), (4, 8, 5), (5, 9, 3)], "id long, k1 long, k2 long")
+    classes, twins = jaccard_join.numbered_classes(real)
+    got = {(r["k1"], r["k2"]): (r["v"], r["id"]) for r in classes.collect()}
+    assert got[8, 5] == (8, 4) and got[9, 1] == (9, 1) and len({v for v, _ in got.values()}) == 4
+    assert twins == {k: v for k, (v, _) in got.items() if k in ((9, 2), (9, 3))}
+
+
+def test_bloom_filter_holds_every_id(spark):
+    import numpy as np
+
+    from framelens.llm import jaccard_join
+
+    table = jaccard_join.membership(spark.range(-500, 3000, 7))
+    assert jaccard_join.contains(table, np.arange(-500, 3000, 7, dtype=np.int64)).all()
+    assert jaccard_join.contains(table, np.arange(10_000, 20_000, dtype=np.int64)).mean() < 0.05
+    assert not jaccard_join.contains(jaccard_join.membership(spark.range(0)), np.arange(5, dtype=np.int64)).any()
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    from framelens.llm.common import fold, labelled_sample
+
+    n = 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("q"))
+    for rows in (40, 400, 10_000):
+        sample, totals = labelled_sample(docs, labels, "q", rows)
+        known = labels.where(fold("doc_id") != 0).select("doc_id", "q", F.xxhash64("doc_id").alias("h")).collect()
+        want = {r["doc_id"] for y in (0, 1) for r in sorted((r for r in known if r["q"] == y), key=lambda r: (r["h"], r["doc_id"]))[:rows // 2]}
+        assert {r["id"] for r in sample.collect()} == want
+        assert totals == {y: sum(r["q"] == y for r in known) for y in (0, 1)}
