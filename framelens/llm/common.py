@@ -54,7 +54,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
         .agg(F.max(F.col(target)).cast("int").alias("y"))
     )
     totals = {int(r["y"]): int(r["n"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    some = top_per_key(known, ["y"], [F.xxhash64("id"), F.col("id")], rows // 2)
+    # Of each class about twice the wanted ids have a hash below this; the others stay in their tasks.
+    early = F.lit(False)
+    for y, n in totals.items():
+        below = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, max(rows, 64) / n)))
+        early = early | ((F.col("y") == y) & (F.xxhash64("id") <= F.lit(below)))
+    some = top_per_key(known.where(early), ["y"], [F.xxhash64("id"), F.col("id")], rows // 2)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # At most `rows` narrow rows: the broadcast has a fixed bound.
     return texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text")), totals
