@@ -228,7 +228,7 @@ def edit_distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]
 class Matcher:
     """Finds items in texts; word numbers of distinct words are remembered up to a bound."""
 
-    def __init__(self, items: Items, remember: int = 1_000_000):
+    def __init__(self, items: Items, remember: int = 150_000):
         self.items = items
         vocabulary = items.vocabulary
 

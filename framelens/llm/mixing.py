@@ -132,9 +132,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def mixed_rows(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
     """The mix itself: input rows, once for every copy drawn, shard by shard in each shard's own random order.
 
-    A document at the edge of a target is taken whole. Columns are those of ``docs``.
+    A document at the edge of a target is taken whole. Columns are those of ``docs``. Tasks take ranges of the shards' orders:
+    as many as the session deals, so a shard may be written by several.
     """
     got = mix_sources(docs, shards=shards, keep_rows=True, **options)
     copies = got.select("row", F.explode("draws").alias("d"))
-    local = copies.repartition(shards, F.col("d.shard")).sortWithinPartitions("d.shard", "d.place")
+    local = copies.repartitionByRange(F.col("d.shard"), F.col("d.place")).sortWithinPartitions("d.shard", "d.place")
     return local.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

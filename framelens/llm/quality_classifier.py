@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from framelens.llm.common import WordHash, labelled_sample, mix64, per_batch, platt, share, shared_value, sigmoid
 
 BITS = 18
+# Words whose hashes a task remembers; some 20 MB.
+REMEMBER = 150_000
 PAIR = np.uint64(0xD1342543DE82EF95)
 RUN_OF_TWO, RUN_OF_THREE = 1, 2
 
@@ -122,11 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_ro
 
     @F.pandas_udf("binary")
     def features(texts: pd.Series) -> pd.Series:
-        words = WordHash()
+        words = WordHash(REMEMBER)
         return texts.map(lambda t: indicators(t, words, bits).astype(np.int32).tobytes(), na_action=None)
 
     sample, totals = labelled_sample(docs, labels, target, sample_rows, id_col, text_col)
-    got = sample.select("id", "y", features("text").alias("f")).orderBy("id").collect()
+    got = sorted(sample.select("id", "y", features("text").alias("f")).collect(), key=lambda r: r["id"])
     return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["y"] for r in got], int), totals, bits)
 
 
@@ -135,7 +137,7 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text", bits: in
     shared = share(docs.sparkSession, model)
 
     def make():
-        words, m = WordHash(), shared_value(shared)
+        words, m = WordHash(REMEMBER), shared_value(shared)
         return lambda texts: pd.Series([m.score(indicators(t, words, bits)) for t in texts], dtype="float64")
 
     return per_batch(make, "double", F.col(text_col))
