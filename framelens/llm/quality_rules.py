@@ -1,8 +1,10 @@
 """Quality rules: a linear-chain conditional random field labels the lines of a text as content or boilerplate.
 
 Viterbi decoding gives the lines' labels; the share of words in content lines decides whether a text is kept. The field is
-trained here: lines whose kind is evident (repeats, symbol rows, lists of fragments; or sentences) are the labels, and the
-weights of features and of neighbouring labels are fitted by the likelihood of whole line sequences.
+trained here, from two views of a line that share nothing. One view is only seen in training and gives the labels: lines that
+repeat, and rows of symbols, digits or repeated words, are boilerplate. The other view (length, ends, capitals, the shape of
+words) is what the field decides by, with the labels of the neighbouring lines; weights are fitted by the likelihood of whole
+line sequences. So a line is not boilerplate because it repeats, but because it and its neighbours look like lines that do.
 """
 
 from __future__ import annotations
@@ -49,9 +51,18 @@ def line_features(line: str, words: list[bytes], repeated: bool) -> list[int]:
     return out
 
 
+# The features of the view that gives the labels.
+EVIDENT = frozenset({9, 12, 15, 20, 21})
+
+
 def evident(features: list[int]) -> int:
-    """The label that a line's own features make evident."""
-    return BOILERPLATE if {9, 12, 15, 20, 21} & set(features) else CONTENT
+    """The label of a line in training, by the view that the field does not see."""
+    return BOILERPLATE if EVIDENT & set(features) else CONTENT
+
+
+def inputs(features: list[int]) -> list[int]:
+    """The view of a line that the field sees."""
+    return [x for x in features if x not in EVIDENT]
 
 
 @dataclass(frozen=True)
@@ -160,7 +171,7 @@ def train(docs: DataFrame, sample_rows: int = 1500, id_col: str = "doc_id", text
     ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
     sequences = [s for r in got.orderBy("id").collect() for s in sequences_of(r["text"] or "")]
-    return fit(sequences, [[evident(f) for f in s] for s in sequences])
+    return fit([[inputs(f) for f in s] for s in sequences], [[evident(f) for f in s] for s in sequences])
 
 
 def rules_column(docs: DataFrame, field: Field, text_col: str = "text", least_share: float = 0.5) -> Column:
@@ -181,7 +192,7 @@ def rules_column(docs: DataFrame, field: Field, text_col: str = "text", least_sh
                 n = sum(map(len, words))
                 chars = len(t.translate(SPACES))
                 again = repeat_words(known.of([w for line in words for w in line]))
-                content = sum(len(ws) for ws, y in zip(words, f.decode(features), strict=True) if y == CONTENT)
+                content = sum(len(ws) for ws, y in zip(words, f.decode([inputs(x) for x in features]), strict=True) if y == CONTENT)
                 share = content / n if n else 1.0
                 failed = n < LEAST_WORDS or 100 * again > REPEAT_PERCENT * n
                 out.append((n, chars, len(SYMBOLS.findall(t)), repeats, again, share, failed, not failed and share >= least_share))

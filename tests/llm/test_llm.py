@@ -232,6 +232,26 @@ def test_quality_measures(docs, rows):
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), len(covered), failed) and not (failed and r["kept"])
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert r["n_dup_lines"] == len(lines) - len(set(lines)) and r["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+
+
+def test_symbols_and_repeated_lines_are_counted(spark):
+    texts = ["a\nb\n a\na\n\n \na", "#*$%&|<> x # \\ ^\n#", "one\r\ntwo\r\none\r\none", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["r"] for r in docs.select("doc_id", quality_rules.rules_column(docs, quality_rules.train(docs)).alias("r")).collect()}
+    assert [got[i]["n_dup_lines"] for i in range(4)] == [2, 0, 1, 0]
+    assert [got[i]["n_symbols"] for i in range(4)] == [0, 10, 0, 0]
+
+
+def test_the_field_sees_nothing_of_what_gives_the_labels():
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(["Ab", "cd", "|", "9999", "##", "same same same"]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    for line in lines:
+        ws = line.encode().split()
+        first, again = (quality_rules.line_features(line, ws, r) for r in (False, True))
+        assert quality_rules.evident(again) == quality_rules.BOILERPLATE and quality_rules.inputs(first) == quality_rules.inputs(again)
+        assert not quality_rules.EVIDENT & set(quality_rules.inputs(first))
 
 
 def test_field_is_fitted_on_the_ends_of_long_texts(spark, monkeypatch):
@@ -239,8 +259,9 @@ def test_field_is_fitted_on_the_ends_of_long_texts(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality_rules, "fit", lambda sequences, labels: seen.extend(zip(sequences, labels, strict=True)))
     quality_rules.train(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "one line")], "doc_id long, text string"))
-    want = quality_rules.lines_of(text)[1]
-    assert sum((s for s, _ in seen), []) == want + quality_rules.lines_of("one line")[1]
+    want = quality_rules.lines_of(text)[1] + quality_rules.lines_of("one line")[1]
+    assert sum((s for s, _ in seen), []) == [quality_rules.inputs(f) for f in want]
+    assert sum((y for _, y in seen), []) == [quality_rules.evident(f) for f in want]
     assert all(len(s) == len(y) <= 400 for s, y in seen)
 
 
