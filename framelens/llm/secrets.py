@@ -7,11 +7,13 @@ identifier characters by the log-likelihood ratio of two first-order Markov mode
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelens.functions.matching import let
 from framelens.llm.common import fresh
 
 # The base patterns in the order of their kinds. Longer minimum runs give the same spans as dropping short ones.
@@ -25,31 +27,67 @@ RUN = r"[A-Za-z0-9+/_.=-]{20,}"
 SPAN = "array<struct<start:int,kind:int,stop:int,text:string>>"
 
 
+BLOCK = 128
+
+
 def spans(text: Column, pattern: str, kind: int, gate: Column) -> Column:
     """Every match as (start, kind, stop, matched text) in code points.
 
-    Matches and the pieces between them come from the same search, so positions are sums of their lengths.
+    Matches and the pieces between them come from the same search, so positions are sums of their lengths. Sums run over blocks
+    of matches and then within each, so the work grows with the matches of a text and not with their square.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pair = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["b"])
-        stop = start + F.length(p["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), p["m"].alias("text"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def cut(pairs: Column) -> Column:
+        block_numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(pairs) - 1, F.lit(0)) / BLOCK).cast("int"))
+
+        def block(i: Column) -> Column:
+            return F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK))
+
+        def add(acc: Column, p: Column) -> Column:
+            start = acc["at"] + F.length(p["b"])
+            stop = start + F.length(p["m"])
+            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), p["m"].alias("text"))
+            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        def placed(widths: Column) -> Column:
+            def one_block(i: Column) -> Column:
+                first = F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0), lambda a, w: a + w)
+                return F.aggregate(block(i), F.struct(first.alias("at"), F.array().cast(SPAN).alias("out")), add, lambda acc: acc["out"])
+
+            return F.flatten(F.transform(block_numbers, one_block))
+
+        return let(F.transform(block_numbers, lambda i: F.aggregate(block(i), F.lit(0), lambda a, p: a + F.length(p["b"]) + F.length(p["m"]))), placed)
+
+    return F.when(gate, let(pair, cut)).otherwise(F.array().cast(SPAN))
+
 
-    return F.when(gate, F.aggregate(pair, empty, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def overlaps(sorted_spans: Column, start: Column, stop: Column) -> Column:
+    """Does any of the spans, which are in order and apart, share a character with [start, stop). By halving: the first span that ends later decides."""
+    n = F.size(sorted_spans)
+    steps = F.sequence(F.lit(1), F.length(F.bin(n)))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        later = F.get(sorted_spans, middle)["stop"] > start
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & ~later, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & later, middle).otherwise(acc["hi"]).alias("hi"))
+
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda acc: acc["lo"])
+    return F.coalesce(F.get(sorted_spans, first)["start"] < stop, F.lit(False))
+
+
+def base_lists(text: Column) -> list[Column]:
+    """Spans of each of the three base patterns, in order."""
+    assign = F.filter(spans(text, ASSIGN, 0, text.rlike(ASSIGN)), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 1)) >= LEAST_VALUE)
+    return [assign, spans(text, ACCESS, 1, F.contains(text, F.lit("AKIA"))), spans(text, HEX, 2, text.rlike(HEX))]
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three base patterns, by start, then kind."""
-    assign = F.filter(spans(text, ASSIGN, 0, text.rlike(ASSIGN)), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 1)) >= LEAST_VALUE)
-    access = spans(text, ACCESS, 1, F.contains(text, F.lit("AKIA")))
-    hexes = spans(text, HEX, 2, text.rlike(HEX))
-    return F.array_sort(F.concat(assign, access, hexes))
+    return F.array_sort(F.concat(*base_lists(text)))
 
 
 def symbol(c: Column) -> Column:
@@ -123,21 +161,18 @@ def scan(docs: DataFrame, table: Sequence[float], least_ratio: float = 0.4, text
     stay; one called ``out_col`` is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = base_spans(text)
     runs = spans(text, RUN, 3, text.rlike(RUN))
+    # Each list is computed once: a generator over one element keeps later projections from repeating it.
+    names, r = [fresh(docs, f"_base{k}") for k in range(3)], fresh(docs, "_runs")
+    lists = [c.alias(n) for c, n in zip(base_lists(text), names, strict=True)]
+    rows = docs.select("*", F.inline(F.array(F.struct(*lists, runs.alias(r)))))
 
-    def keep(base_list: Column):
-        def test(s: Column) -> Column:
-            llr = ratio(s["text"], table)
-            clash = F.exists(base_list, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-            return ~clash & (llr >= 10) & (llr >= least_ratio * (s["stop"] - s["start"]))
-
-        return test
+    def keep(s: Column) -> Column:
+        llr = ratio(s["text"], table)
+        clash = reduce(lambda a, b: a | b, [overlaps(F.col(n), s["start"], s["stop"]) for n in names])
+        return ~clash & (llr >= 10) & (llr >= least_ratio * (s["stop"] - s["start"]))
 
-    # Each list is computed once: a generator over one element keeps later projections from repeating it.
-    b, r = fresh(docs, "_base"), fresh(docs, "_runs")
-    rows = docs.select("*", F.inline(F.array(F.struct(base.alias(b), runs.alias(r)))))
-    return rows.withColumn(out_col, F.array_sort(F.concat(b, F.filter(r, keep(F.col(b)))))).drop(b, r)
+    return rows.withColumn(out_col, F.array_sort(F.concat(*names, F.filter(r, keep)))).drop(*names, r)
 
 
 def listing(column: str, kinds: int) -> Column:

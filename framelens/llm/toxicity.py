@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from framelens.llm.common import labelled_sample, per_batch, pieces, platt, share, shared_value, sigmoid
 
-WINDOW, STRIDE = 40, 32
+# Half a window: any passage of up to 20 words lies whole in one.
+WINDOW, STRIDE = 40, 20
 VOCABULARY, CHAR_SLOTS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 12, 8, 6, 8
 DIM = WORD_DIM + CHAR_DIM
 

@@ -321,3 +321,185 @@ def test_sample_is_that_of_the_smallest_hashes(spark):
         want = {r["doc_id"] for y in (0, 1) for r in sorted((r for r in known if r["q"] == y), key=lambda r: (r["h"], r["doc_id"]))[:rows // 2]}
         assert {r["id"] for r in sample.collect()} == want
         assert totals == {y: sum(r["q"] == y for r in known) for y in (0, 1)}
+
+
+def test_passages_of_half_a_window_lie_whole_in_one():
+    from framelens.llm import toxicity
+
+    for n in (1, 39, 40, 41, 59, 60, 61, 100, 333):
+        spans = toxicity.windows(n)
+        assert all(0 <= a < b <= n and b - a <= toxicity.WINDOW for a, b in spans)
+        for start in range(0, max(1, n - 19)):
+            assert any(a <= start and min(n, start + 20) <= b for a, b in spans)
+
+
+def test_token_counts_of_odd_rows(spark):
+    from framelens.llm import token_counts
+
+    rng = random.Random(6)
+    vocabulary = [bytes([b]) for b in range(256)] + list({bytes(rng.choice(b"abc ") for _ in range(rng.randint(2, 5))) for _ in range(60)}) + ["é".encode(), " é".encode()]
+    known, automaton = set(vocabulary), token_counts.build(vocabulary)
+
+    def plain(text):
+        total = 0
+        words = (text or "").encode().split()
+        for k, w in enumerate(words):
+            w, at = (b" " if k else b"") + w, 0
+            while at < len(w):
+                at = next(e for e in range(len(w), at, -1) if w[at:e] in known)
+                total += 1
+        return len(words), total
+
+    texts = [None, "", " \t\n", "a", "abcabc é é  cab", "ab " * 50_000, "\U0001F600 漢字 x", "a" * 100_000] + [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(50)) for _ in range(60)]
+    data = [(i, t, 7, "x") for i, t in enumerate(texts)] + [(3, "a", 7, "x"), (None, "ab", 7, "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_words int, c string").repartition(3)
+    got = [(r["doc_id"], tuple(r["k"])) for r in docs.select("doc_id", token_counts.count_column(docs, automaton).alias("k")).collect()]
+    assert sorted(got, key=str) == sorted(((i, plain(t)) for i, t, *_ in data), key=str)
+    none = docs.limit(0)
+    assert none.select(token_counts.count_column(none, automaton).alias("k")).count() == 0
+
+
+def test_quality_score_equals_a_plain_margin(spark):
+    import math
+
+    import numpy as np
+
+    from framelens.llm import quality_classifier as qc
+    from framelens.llm.common import WordHash
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 40))) + (" villain" if i % 2 else "") for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = qc.train(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")), sample_rows=120)
+    got = {r["doc_id"]: r["s"] for r in d.select("doc_id", qc.score_column(d, model).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        feats = sorted(set(qc.indicators(t, WordHash()).tolist()))
+        norm = math.sqrt(sum(float(model.ratio[f]) ** 2 for f in feats)) or 1.0
+        margin = sum(float(model.weight[f]) for f in feats) / norm + model.bias
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.offset))), abs=1e-4)
+    assert np.mean([(got[i] >= 0.5) == i % 2 for i in range(200)]) > 0.9
+
+
+def plain_spans(text):
+    out = []
+    patterns = (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)")
+    for k, (p, flags, least) in enumerate(zip(patterns, (re.I, 0, 0), (6, 20, 24), strict=True)):
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, text, flags | re.ASCII) if len(m[1]) >= least]
+    return sorted(out)
+
+
+def test_random_spans_are_those_of_the_log_likelihood_ratio(spark):
+    import math
+
+    from framelens.llm import secrets
+
+    rng = random.Random(10)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    words = ["configuration", "internationalization", "_handler", "request.session.user", "abc-def"]
+
+    def piece():
+        return rng.choice([lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(10, 60))), lambda: rng.choice(words) * 2, lambda: "token = " + "x7Qp" * rng.randint(1, 8),
+                           lambda: "AKIA" + "Z9" * rng.randint(6, 12), lambda: "%030x" % rng.getrandbits(100), lambda: "plain words é\U0001F600 here"])()
+
+    texts = [" ".join(piece() for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", " ".join(piece() for _ in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = secrets.train(docs)
+    n = len(alphabet)
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["stop"]) for s in r["spans"]] for r in secrets.scan(docs, table).collect()}
+    random_found = 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        want = plain_spans(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{20,}", text, re.ASCII):
+            if any(a < m.end() and m.start() < b for a, k, b in want if k < 3):
+                continue
+            at, llr = n, 0.0
+            for c in m[0]:
+                b = alphabet.index(c)
+                llr, at = llr + table[at * n + b], b
+            if abs(llr - 10) < 1e-3 or math.isclose(llr, 0.4 * len(m[0]), abs_tol=1e-3):
+                continue
+            if llr >= 10 and llr >= 0.4 * len(m[0]):
+                want = [*want, (m.start(), 3, m.end())]
+                random_found += 1
+        assert got[i] == sorted(want), i
+    assert random_found > 50
+
+
+def test_spans_of_one_text_take_time_in_proportion(spark):
+    import time
+
+    from framelens.llm import secrets
+
+    rng = random.Random(11)
+    table = secrets.train(spark.createDataFrame([(1, "token = abcdef123456 " * 3 + "ordinary words in a text")], "doc_id long, text string"))
+
+    def seconds(n):
+        text = " ".join("".join(rng.choice("ABCDxyz0189_") for _ in range(24)) + " password=hunter22" for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t0 = time.perf_counter()
+        found = secrets.scan(docs, table).select(F.size("spans")).first()[0]
+        assert found >= n
+        return time.perf_counter() - t0
+
+    seconds(500)
+    small, large = min(seconds(2000) for _ in range(2)), seconds(16000)
+    assert large <= 2 + 12 * small, (small, large)
+
+
+def test_network_scores_equal_a_plain_forward_pass():
+    import numpy as np
+
+    from framelens.llm import toxicity as tx
+
+    rng = np.random.default_rng(5)
+    net = tx.Network(4)
+    for p in net.gru.p.values():
+        p += rng.normal(0, 0.2, p.shape).astype("f") * (p != 0)
+    net.gru.p["att"] = rng.normal(size=2 * tx.HIDDEN).astype("f")
+    net.known = {b"ab": 1, b"xyz": 2}
+    net.extra["words"][1:3] = rng.normal(size=(2, tx.WORD_DIM))
+    net.extra["bias"][0] = 0.3
+    d, h = tx.DIM, tx.HIDDEN
+
+    def vector(word):
+        framed = b"\0\0" + word + b"\0"
+        triples = [framed[i:i + 3] for i in range(len(framed) - 2)]
+        slots = [(((t[0] << 16 | t[1] << 8 | t[2]) * 2654435761) % 2**32) >> 20 for t in triples]
+        return np.concatenate([net.extra["words"][net.known.get(word, 0)], np.mean([net.extra["chars"][s] for s in slots], axis=0)])
+
+    def direction(vectors, k):
+        part = lambda m, rows, j: m[k * rows:(k + 1) * rows, j * 2 * h + k * h:j * 2 * h + (k + 1) * h]
+        state, out = np.zeros(h), []
+        for v in vectors:
+            x = [v @ part(net.gru.p["w"], d, j) + net.gru.p["b"][j * 2 * h + k * h:j * 2 * h + (k + 1) * h] for j in range(3)]
+            z, r = (1 / (1 + np.exp(-(x[j] + state @ part(net.gru.p["gates"], h, j)))) for j in (0, 1))
+            c = np.tanh(x[2] + (state * r) @ net.gru.p["cand"][k * h:(k + 1) * h, k * h:(k + 1) * h])
+            state = state + z * (c - state)
+            out.append(state)
+        return out
+
+    def logit(words):
+        vectors = [vector(w) for w in words]
+        states = np.concatenate([direction(vectors, 0), direction(vectors[::-1], 1)[::-1]], axis=1)
+        e = states @ net.gru.p["att"]
+        a = np.exp(e - e.max())
+        return float((a / a.sum()) @ states @ net.extra["out"] + net.extra["bias"][0])
+
+    pick = [b"ab", b"xyz", b"other", "é".encode(), b"w"]
+    texts = [b" ".join(pick[i] for i in rng.integers(0, 5, n)).decode() for n in (1, 5, 40, 41, 75, 130)] + ["", None]
+    got = tx.Scorer(net).logits(texts)
+    for t, g in zip(texts, got, strict=True):
+        ws = (t or "").encode().split()
+        spans = [(0, len(ws))] if len(ws) <= 40 else [(s, s + 40) for s in sorted({*range(0, len(ws) - 40, 20), len(ws) - 40})]
+        want = max(logit(ws[a:b]) for a, b in spans) if ws else 0.3
+        assert g == pytest.approx(want, abs=1e-4)
+
+
+def test_letters_beyond_sixteen_bits_fall_on_no_other_letter():
+    from framelens.llm import language_id
+
+    codes = [0x41, 0x400, 0xFFDC, *range(0x10400, 0x10450), 0x20000, 0x2A6D6]
+    keys = [int(language_id.grams([chr(c)])[0][0]) for c in codes]
+    assert len(set(keys)) == len(codes)
+    assert language_id.grams(["a\U00010400b"])[1].tolist() == [4]
