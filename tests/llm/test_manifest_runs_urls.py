@@ -403,7 +403,8 @@ def test_random_spans_are_those_of_the_log_likelihood_ratio(spark):
 
     texts = [" ".join(piece() for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", " ".join(piece() for _ in range(1500))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    table = secrets.train(docs)
+    known = [" ".join(rng.choice([*words, "plain", "words", "here"]) for _ in range(30)) + " token = " + "".join(rng.choice(alphabet) for _ in range(40)) for _ in range(80)]
+    table = secrets.train(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string"))
     n = len(alphabet)
     got = {r["doc_id"]: [(s["start"], s["kind"], s["stop"]) for s in r["spans"]] for r in secrets.scan(docs, table).collect()}
     random_found = 0
