@@ -174,7 +174,8 @@ def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
 def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, p0.., b0..): set size, 128-bit key of the set, prefixes of each order and the bit map.
 
-    Prefix tokens are cut to 32 bits: two that coincide only add a candidate.
+    Prefix tokens are cut to 32 bits in the first order and to 16 in the others, where two sets of them are only tested for a
+    common one: tokens that coincide only add a candidate.
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, width, text_col))
     names = ["id", "n", "k1", "k2", *[f"p{k}" for k in range(ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)]]
@@ -191,7 +192,7 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
                 at = np.minimum(np.searchsorted(often, every), max(0, len(often) - 1))
                 late = (often[at] == every).astype(np.uint64) << np.uint64(63) if len(often) else np.uint64(0)
                 ranks = [(mix64(every ^ salt) >> np.uint64(1)) | late for salt in SALTS]
-                cut = (every >> np.uint64(22)).astype(np.uint32).view(np.int32)
+                cuts = [(every >> np.uint64(22)).astype(np.uint32).view(np.int32), *[(every >> np.uint64(30)).astype(np.uint16).view(np.int16)] * (ORDERS - 1)]
                 places = (every >> np.uint64(64 - 10)).astype(np.int64)
                 lo = 0
                 for s in group:
@@ -200,19 +201,20 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
                     keys.append(set_key(s))
                     maps[i, places[lo:hi]] = 1
                     take = n - (percent * n + 99) // 100 + 1 if n else 0
-                    for k, rank in enumerate(ranks):
-                        prefixes[k].append(cut[lo:hi][np.argpartition(rank[lo:hi], take - 1)[:take]] if take < n else cut[lo:hi])
+                    for k, (rank, cut) in enumerate(zip(ranks, cuts, strict=True)):
+                        chosen = cut[lo:hi][np.argpartition(rank[lo:hi], take - 1)[:take]] if take < n else cut[lo:hi]
+                        prefixes[k].append(chosen if k == 0 else np.unique(chosen))
                     i, lo = i + 1, hi
             bits = np.packbits(maps, axis=1).view(np.int64)
             pair = np.array(keys, np.int64).reshape(-1, 2)
             lists = []
-            for p in prefixes:
+            for p, kind in zip(prefixes, (np.int32, *[np.int16] * (ORDERS - 1)), strict=True):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in p])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(p) if p else np.empty(0, np.int32))))
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(p) if p else np.empty(0, kind))))
             cols = [ids, pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), *lists, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(MAP_WORDS)]]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    kind = ", ".join(["id long", "n long", "k1 long", "k2 long", *[f"p{k} array<int>" for k in range(ORDERS)], *[f"b{k} long" for k in range(MAP_WORDS)]])
+    kind = ", ".join(["id long", "n long", "k1 long", "k2 long", "p0 array<int>", *[f"p{k} array<short>" for k in range(1, ORDERS)], *[f"b{k} long" for k in range(MAP_WORDS)]])
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(make, kind)
 
 
@@ -243,28 +245,35 @@ def contains(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=0)
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, twins: dict[tuple[int, int], int], width: int, id_col: str, text_col: str) -> DataFrame:
-    """(v, s): the sorted token sets of the classes that have the given ids, and of a few more.
+def class_texts(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(v, t): a text of each of the wanted classes (k1, k2, v, id).
 
-    The ids reach the map tasks as a Bloom filter of bounded size, so texts of other ids are not shuffled. An id that stands on
-    several texts brings the sets of all their classes.
+    The ids reach the map tasks as a Bloom filter of bounded size, so texts of other ids are not shuffled.
     """
-    filtered = docs.sparkSession.sparkContext.broadcast(membership(ids))
+    filtered = docs.sparkSession.sparkContext.broadcast(membership(wanted.select("id")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filtered.value
         for batch in batches:
             kept = batch.filter(pa.array(contains(table, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            v = [vertex(s, twins) for s in token_sets(kept.column(1), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), kept.column(1)], ["v", "t"])
+            keys = np.array([set_key(s) for s in token_sets(kept.column(1), width)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), kept.column(1)], ["k1", "k2", "t"])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL").mapInArrow(pick, "k1 long, k2 long, t string")
+    # Any text of a class has its set.
+    return texts.groupBy("k1", "k2").agg(F.min("t").alias("t")).join(wanted.select("k1", "k2", "v"), ["k1", "k2"]).select("v", "t")
+
+
+def shared_tokens(pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b, sum, shared): sizes of the intersections of the token sets of pairs (a, b, sum, ta, tb) of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in token_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "s"])
+            both = zip(token_sets(batch.column(3), width), token_sets(batch.column(4), width), strict=True)
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(shared, pa.int64())], ["a", "b", "sum", "shared"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL").mapInArrow(pick, "v long, t string")
-    return texts.groupBy("v").agg(F.min("t").alias("t")).mapInArrow(make, "v long, s array<long>")
+    return pairs.select("a", "b", "sum", "ta", "tb").mapInArrow(count, "a long, b long, sum long, shared long")
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -273,40 +282,35 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(k1), int(k2)
 
 
-def vertex(s: np.ndarray, twins: dict[tuple[int, int], int]) -> int:
-    """The number of a set's class: half of its key, but for the classes in ``twins``."""
-    key = set_key(s)
-    return twins.get(key, key[0])
-
+def numbered_classes(real: DataFrame) -> DataFrame:
+    """(k1, k2, v, id): classes with their number and smallest id.
 
-def numbered_classes(real: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """(k1, k2, v, id): classes with their number and smallest id; and the numbers of classes that share half a key.
-
-    Two classes share half a key by chance only, so that list stays tiny at any size; all but the first of them get another number.
+    The number is that id, which packs well; where an id is the smallest of several classes, as it stands on several texts, all
+    but one of them are numbered by a hash. Numbers that meet by chance are drawn anew: that list is tiny at any size.
     """
     classes = settle(real.groupBy("k1", "k2").agg(F.min("id").alias("id")), "classes")
-    shared = classes.groupBy("k1").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("k2")).alias("k")).where("c > 1").collect()
-    twins = {(r["k1"], k): int(np.int64(np.uint64(r["k1"] & (2**64 - 1)) ^ mix64(np.array([k], np.int64).view(np.uint64))[0])) for r in shared for k in r["k"][1:]}
-    return classes.withColumn("v", vertex_column(twins)), twins
-
-
-def vertex_column(twins: dict[tuple[int, int], int]) -> Column:
-    v = F.col("k1")
-    for (k1, k2), number in twins.items():
-        v = F.when((F.col("k1") == k1) & (F.col("k2") == k2), F.lit(number)).otherwise(v)
-    return v
+    first = classes.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("f")).select("id", "f.k1", "f.k2", F.lit(True).alias("first"))
+    key = ["id", "k1", "k2"]
+    numbered = settle(classes.join(first, key, "left").select(*key, "first", F.when(F.col("first"), F.col("id")).otherwise(F.xxhash64(*key)).alias("v")), "classes")
+    for salt in range(1, 9):
+        met = [r["v"] for r in numbered.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").collect()]
+        if not met:
+            break
+        again = F.col("v").isin(met) & F.col("first").isNull()
+        numbered = settle(numbered.withColumn("v", F.when(again, F.xxhash64(F.lit(salt), *key)).otherwise(F.col("v"))), "classes")
+    return numbered.drop("first")
 
 
-def of_classes(rows: DataFrame, classes: DataFrame, twins: dict, wanted: DataFrame, names: list[str]) -> DataFrame:
-    """(v, names) of the wanted classes, from a row of each. Rows of other ids stay in their map tasks (Bloom filter)."""
-    filtered = rows.sparkSession.sparkContext.broadcast(membership(classes.join(wanted, "v").select("id")))
+def of_classes(rows: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """(v, names) of the wanted classes (k1, k2, v, id), from a row of each. Rows of other ids stay in their map tasks (Bloom filter)."""
+    filtered = rows.sparkSession.sparkContext.broadcast(membership(wanted.select("id")))
 
     @F.pandas_udf("boolean")
     def held(ids: pd.Series) -> pd.Series:
         return pd.Series(contains(filtered.value, ids.to_numpy(np.int64)))
 
-    some = rows.where("id IS NOT NULL AND n > 0").where(held("id")).withColumn("v", vertex_column(twins)).select("v", *names)
-    return some.join(wanted, "v", "left_semi").groupBy("v").agg(*[F.first(c).alias(c) for c in names])
+    some = rows.where("id IS NOT NULL AND n > 0").where(held("id")).groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in names])
+    return some.join(wanted.select("k1", "k2", "v"), ["k1", "k2"]).select("v", *names)
 
 
 def fingerprint(edges: DataFrame) -> tuple:
@@ -346,25 +350,28 @@ def difference_fits(percent: int, a: str, b: str, n: Column, m: Column) -> Colum
     return places * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def compare(pairs: DataFrame, rows: DataFrame, classes: DataFrame, twins: dict, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def compare(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Candidate pairs (a, b) of classes to links: the other orders' prefixes and the bit maps first, then the whole sets of what is left."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+
+    def ends(of: DataFrame) -> DataFrame:
+        return settle(classes.join(of.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v"), "wanted")
+
     names = [*[f"p{k}" for k in range(1, ORDERS)], *[f"b{k}" for k in range(MAP_WORDS)]]
-    wanted = settle(wanted, "wanted")
-    info = settle(of_classes(rows, classes, twins, wanted, ["n", *names]), "info")
+    wanted = ends(pairs)
+    info = settle(of_classes(rows, wanted, ["n", *names]), "info")
     one = info.select(F.col("v").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in names])
     two = info.select(F.col("v").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in names])
     got = pairs.join(one, "a").join(two, "b").where(difference_fits(percent, "ab", "bb", F.col("na"), F.col("nb")))
     for k in range(1, ORDERS):
         got = got.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
-    got = settle(got.select("a", "b", "na", "nb"), "candidates")
+    got = settle(got.select("a", "b", (F.col("na") + F.col("nb")).alias("sum")), "candidates")
     discard(info, wanted)
-    ids = settle(classes.join(got.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v").select("id").distinct(), "ids")
-    sets = settle(whole_sets(docs, ids, twins, width, id_col, text_col), "sets")
-    a, b = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    exact = got.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    links = settle(exact.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
-    discard(got, ids, sets)
+    # Texts pack to less than half of their token sets, so they are what travels to the pairs.
+    wanted = ends(got)
+    texts = settle(class_texts(docs, wanted, width, id_col, text_col), "texts")
+    both = got.join(texts.select(F.col("v").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("t").alias("tb")), "b")
+    links = settle(shared_tokens(both, width).where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
+    discard(got, wanted, texts)
     return links
 
 
@@ -378,7 +385,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     rows = settle(digest(docs, width, percent, id_col, text_col), "digest")
     real = rows.where("id IS NOT NULL AND n > 0")
-    classes, twins = numbered_classes(real)
+    classes = numbered_classes(real)
     # One row per class (and one more for each repetition of it): copies never meet. All members of a class have the same size and prefixes.
     leaders = settle(real.select("id", "k1", "k2", "n", "p0").join(classes, ["id", "k1", "k2"]).select("v", "n", "p0"), "leaders")
     # Both uses read the same three columns dealt by token, so Spark shuffles the postings once.
@@ -391,14 +398,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     hubs = settle(hubs.select("t", F.col("h.v").alias("hub"), F.col("h.nh").alias("nh")), "hubs")
     star = meet.join(hubs, "t").where((F.col("v") != F.col("hub")) & near("n", "nh", percent)).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
     star = settle(star, "star")
-    links = compare(star, rows, classes, twins, docs, width, percent, id_col, text_col)
+    links = compare(star, rows, classes, docs, width, percent, id_col, text_col)
     joined = components(links)
 
     named = meet.join(joined.withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     open_tokens = named.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
     gaps = settle(named.join(open_tokens, "t").join(hubs, "t").join(joined.select(F.col("id").alias("hub"), F.col("component").alias("gh")), "hub", "left")
                   .select("t", "v", "n", "g", (F.col("g") != F.coalesce("gh", "hub")).alias("apart")), "gaps")
-    bits = of_classes(rows, classes, twins, settle(gaps.select("v").distinct(), "wanted"), [f"b{k}" for k in range(MAP_WORDS)])
+    bits = of_classes(rows, settle(classes.join(gaps.select("v").distinct(), "v"), "wanted"), [f"b{k}" for k in range(MAP_WORDS)])
     left = settle(gaps.join(bits, "v"), "open")
     discard(gaps)
     x = left.where("apart").select("t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(MAP_WORDS)])
@@ -406,7 +413,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     fits = (F.col("gx") != F.col("gy")) & near("nx", "ny", percent) & difference_fits(percent, "x", "y", F.col("nx"), F.col("ny"))
     more = x.join(y, (F.col("t") == F.col("t2")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(more.join(star, ["a", "b"], "left_anti"), "rest")
-    more_links = compare(more, rows, classes, twins, docs, width, percent, id_col, text_col)
+    more_links = compare(more, rows, classes, docs, width, percent, id_col, text_col)
     before, joined = joined, components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links))
     narrow = settle(rows.select("id", "n", "k1", "k2"), "keys")
     discard(rows, meet, hubs, star, left, more, links, more_links, before)
