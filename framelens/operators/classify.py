@@ -17,11 +17,13 @@ from framelens.lexicon import GroupPattern, Lexicon
 from framelens.operators.scale import compute_once
 
 
-def with_scores(df: DataFrame, lex: Lexicon, text: str = "text", mode: str = "presence") -> DataFrame:
+def with_scores(df: DataFrame, lex: Lexicon, text: str = "text", mode: str = "presence", partitions: int | None = None) -> DataFrame:
     """Add ``score_a`` and ``score_b``.
 
-    ``presence`` counts every signal once, ``occurrence`` every match.
+    ``presence`` counts every signal once, ``occurrence`` every match. A file of one row group is scored by one task;
+    ``partitions`` deals its rows to so many first. Files of several row groups need none.
     """
+    df = df if partitions is None else df.repartition(partitions)
     if mode not in ("presence", "occurrence"):
         raise ValueError(f"unknown mode {mode!r}")
     scorer = scoring.presence_score if mode == "presence" else scoring.occurrence_score
@@ -45,12 +47,13 @@ def apply_overrides(df: DataFrame, lex: Lexicon, text: str = "text") -> DataFram
 
 
 def classify(df: DataFrame, lex: Lexicon, text: str = "text", url: str | None = "url", mode: str = "presence",
-             preview_chars: int = 300, match: str = "boundary", keep_text: bool = False) -> DataFrame:
+             preview_chars: int = 300, match: str = "boundary", keep_text: bool = False, partitions: int | None = None) -> DataFrame:
     """Score, override, label, sub-type, source tier and preview of every document.
 
     The text column is dropped unless ``keep_text``: it dominates the width of
-    the rows and nothing after the label needs it.
+    the rows and nothing after the label needs it. ``partitions``: see :func:`with_scores`.
     """
+    df = df if partitions is None else df.repartition(partitions)
     base = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     low = F.col("_low")
     scorer = scoring.presence_score if mode == "presence" else scoring.occurrence_score

@@ -80,6 +80,14 @@ def compute_once(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(value)))
 
 
+def compute_distinct(df: DataFrame, keys: Sequence[str], exprs: Mapping[str, Column], n: str = "n") -> DataFrame:
+    """Expensive columns of ``keys`` alone, evaluated once for each distinct combination, with its number of rows.
+
+    Equal rows are folded in each task before the shuffle, so frequent combinations cost one evaluation, wherever they stand.
+    """
+    return compute_once(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)), exprs)
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list[Row]:
     """Collect a table that must be small; raise when it is not."""
     rows = df.limit(max_rows + 1).collect()

@@ -14,7 +14,7 @@ from framelens.lexicon import TextRule
 from framelens.operators import aggregates as ag
 from framelens.operators import filters as fl
 from framelens.operators import geo, graph, joins, sets, stats, windows
-from framelens.operators.scale import compute_once, number_few
+from framelens.operators.scale import compute_distinct, compute_once, number_few
 from framelens.plans.registry import Tables, query, with_records
 
 R = with_records
@@ -29,6 +29,12 @@ def classed_answers(t: Tables, **kw) -> DataFrame:
     return compute_once(a, {"cls": an.classify_answer(F.col("raw_answer"), F.col("language"), F.col("question_type") == "geography", ENTITY, **kw)})
 
 
+def answer_counts(t: Tables, **kw) -> DataFrame:
+    """Answers by text and class: each distinct answer is classified once."""
+    cls = an.classify_answer(F.col("raw_answer"), F.col("language"), F.col("question_type") == "geography", ENTITY, **kw)
+    return compute_distinct(t.derived("answers"), ["language", "question_type", "raw_answer"], {"cls": cls})
+
+
 _YES = "CASE language WHEN 'fr' THEN 'oui' WHEN 'de' THEN 'ja' WHEN 'es' THEN 's[íi]' ELSE 'yes' END"
 _NO = "CASE language WHEN 'fr' THEN 'non' WHEN 'de' THEN 'nein' WHEN 'es' THEN 'no' ELSE 'no' END"
 
@@ -44,12 +50,12 @@ ACLS = f", ac AS (SELECT *, {_acls(100, chr(39) + 'other' + chr(39))} AS cls FRO
 
 @query("cls_17_answer_class", R("answers", ACLS + " SELECT language, question_type, raw_answer, cls, count(*) AS n FROM ac GROUP BY ALL"))
 def _(t):
-    return classed_answers(t).groupBy("language", "question_type", "raw_answer", "cls").agg(F.count("*").alias("n"))
+    return answer_counts(t)
 
 
 @query("cls_18_answer_class_raw", R("answers", f", ac AS (SELECT *, {_acls(50, 'left(trim(raw_answer), 30)')} AS cls FROM answers) SELECT language, question_type, raw_answer, cls, count(*) AS n FROM ac GROUP BY ALL"))
 def _(t):
-    return classed_answers(t, head=50, keep_raw=30).groupBy("language", "question_type", "raw_answer", "cls").agg(F.count("*").alias("n"))
+    return answer_counts(t, head=50, keep_raw=30)
 
 
 _OPEN = """, k AS (SELECT *, lower(raw_answer) AS low FROM open_answers),
@@ -252,11 +258,13 @@ def _(t):
     return windows.dedup_first(t.derived("papers"), ["doi"], [F.col("paper_id")], keep_blank=True).select("paper_id")
 
 
-@query("join_03_merge_labels", R("articles", """, l AS (SELECT url, arg_max(CASE WHEN lang = 'en' THEN 'a' WHEN lang = 'de' THEN 'no_signal' ELSE 'b' END, doc_id) AS label FROM articles WHERE lang <> 'es' GROUP BY url)
+@query("join_03_merge_labels", R("articles", """, l AS (SELECT CASE WHEN lang = 'es' THEN url || '#es' ELSE url END AS url, arg_max(CASE WHEN lang = 'en' THEN 'a' WHEN lang = 'de' THEN 'no_signal' ELSE 'b' END, doc_id) AS label FROM articles GROUP BY 1)
 SELECT doc_id, coalesce(label, 'no_signal') AS label FROM articles LEFT JOIN l USING (url)"""))
 def _(t):
     a = t.derived("articles")
-    labels = a.where("lang <> 'es'").select("url", F.when(F.col("lang") == "en", "a").when(F.col("lang") == "de", "no_signal").otherwise("b").alias("label"), F.col("doc_id").alias("pos"))
+    # Labels of Spanish articles stand under another address, so nothing finds them.
+    address = F.when(F.col("lang") == "es", F.concat("url", F.lit("#es"))).otherwise(F.col("url"))
+    labels = a.select(address.alias("url"), F.when(F.col("lang") == "en", "a").when(F.col("lang") == "de", "no_signal").otherwise("b").alias("label"), F.col("doc_id").alias("pos"))
     return joins.merge_labels(a.select("doc_id", "url"), labels, ["pos"]).select("doc_id", "label")
 
 
@@ -309,10 +317,11 @@ def _(t):
 
 
 @query("join_11_doi_overlap", R("papers", f"""SELECT CASE WHEN year > 2015 THEN 'late' ELSE 'early' END AS label, count(*) AS n FROM papers
-WHERE lower(nullif(rtrim(regexp_extract(text, '\\b10\\.[0-9]{{4,}}/[^\\s\\])}}>"]+'), '.,;:'), '')) IN (SELECT DISTINCT lower('10.' || (1000 + p_size * 100) || '/ab.' || p_partkey) FROM part WHERE p_brand <> 'Brand#1') GROUP BY 1"""))
+WHERE lower(nullif(rtrim(regexp_extract(text, '\\b10\\.[0-9]{{4,}}/[^\\s\\])}}>"]+'), '.,;:'), '')) IN (SELECT DISTINCT lower('10.' || (1000 + p_size * 100) || CASE WHEN p_brand = 'Brand#1' THEN '/xy.' ELSE '/ab.' END || p_partkey) FROM part) GROUP BY 1"""))
 def _(t):
     corpus = t.derived("papers").select("text", F.when(F.col("year") > 2015, "late").otherwise("early").alias("label"))
-    biblio = t.part.where("p_brand <> 'Brand#1'").select(F.concat(F.lit("https://doi.org/10."), (1000 + F.col("p_size") * 100).cast("string"), F.lit("/AB."), F.col("p_partkey").cast("string")).alias("doi"))
+    suffix = F.when(F.col("p_brand") == "Brand#1", "/XY.").otherwise("/AB.")
+    biblio = t.part.select(F.concat(F.lit("https://doi.org/10."), (1000 + F.col("p_size") * 100).cast("string"), suffix, F.col("p_partkey").cast("string")).alias("doi"))
     return joins.doi_overlap(corpus, biblio)
 
 

@@ -380,3 +380,19 @@ def test_word_positions_round_trip(spark):
 def test_status_rules(spark):
     d = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (0, 2, 0), (0, 0, 0), (1, 1, 0)], "a int, b int, x int")
     assert [r[0] for r in d.select(scoring.encoding_status(F.col("a"), F.col("b"), F.col("x"))).collect()] == ["incorrect", "correct", "incorrect", "na", "na"]
+
+
+def test_expensive_columns_of_distinct_keys(spark):
+    d = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("j"), "id")
+    got = scale.compute_distinct(d, ["k", "j"], {"x": F.col("k") * 10 + F.col("j")})
+    assert sorted((r["k"], r["j"], r["x"]) for r in got.collect()) == [(k, j, 10 * k + j) for k in range(3) for j in range(2)]
+    assert got.agg(F.sum("n")).first()[0] == 1000 and got.columns == ["k", "j", "n", "x"]
+
+
+def test_rows_of_one_row_group_are_dealt_when_asked(spark):
+    lex = Lexicon((Signal("a", "a", 1.0), Signal("b", "b", 1.0)))
+    d = spark.createDataFrame([(i, "ab"[i % 2], None) for i in range(100)], "id int, text string, url string").coalesce(1)
+    for build in (lambda p: cl.with_scores(d, lex, partitions=p), lambda p: cl.classify(d, lex, partitions=p)):
+        assert build(None).rdd.getNumPartitions() == 1 and build(5).rdd.getNumPartitions() == 5
+        same = [sorted((r["id"], r["score_a"], r["score_b"]) for r in build(p).collect()) for p in (None, 5)]
+        assert same[0] == same[1]

@@ -1,4 +1,4 @@
-"""Throughput of the presence scorer by lexicon size, and cost of the six-way tally.
+"""Throughput of the scorers by lexicon size, on the given file and on a copy of several row groups, and cost of the six-way tally.
 
     python tools/measure_scoring.py [sf-dir] [cores]
 """
@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -39,11 +40,15 @@ def main() -> None:
     docs = t.documents.cache()
     n = docs.count()
     # The most frequent words of the corpus as signals.
-    words = [r["w"] for r in docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) > 2").groupBy("w").count().orderBy(F.desc("count"), "w").limit(100).collect()]
-    for k in (10, 50, 100):
-        lex = Lexicon(tuple(Signal(f" {w} ", "ab"[i % 2], 1.0) for i, w in enumerate(words[:k])))
-        best = min(timed(cl.with_scores(docs, lex).select("score_a", "score_b")) for _ in range(3))
-        print(f"presence, {k} signals: {best:.2f} s, {n / best:,.0f} docs/s")
+    words = [r["w"] for r in docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) > 2").groupBy("w").count().orderBy(F.desc("count"), "w").limit(200).collect()]
+    with tempfile.TemporaryDirectory() as tmp:
+        t.documents.repartition(4 * int(cores)).write.parquet(f"{tmp}/copy")
+        for name, source in (("cached", docs), ("given file", t.documents), (f"copy of {4 * int(cores)} files", spark.read.parquet(f"{tmp}/copy"))):
+            for mode in ("presence", "occurrence"):
+                for k in (10, 50, 100, 200):
+                    lex = Lexicon(tuple(Signal(f" {w} ", "ab"[i % 2], 1.0) for i, w in enumerate(words[:k])))
+                    best = min(timed(cl.with_scores(source, lex, mode=mode).select("score_a", "score_b")) for _ in range(3))
+                    print(f"{name}, {mode}, {k} signals: {best:.2f} s, {n / best:,.0f} docs/s")
     answers = t.derived("answers")
     before = timed(ag.tallies(answers, "q1"))
     print(f"six-way tally: {min(before, timed(ag.tallies(answers, 'q1'))):.2f} s")
