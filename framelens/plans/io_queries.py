@@ -189,7 +189,8 @@ def _(t):
 
 
 def _stream(t: Tables, table: str, schema: T.StructType) -> DataFrame:
-    return streams.file_stream(t.spark, t.sf_dir, schema, "parquet", f"{table}.parquet")
+    """A table as a stream, be it one file or a folder of files: Spark streams a single file only by a path with a wildcard."""
+    return streams.file_stream(t.spark, f"{t.sf_dir}/{table}.parque[t]", schema, "parquet")
 
 
 @query("str_01_classify_stream", W(CLS, "SELECT doc_id, label, framing_type, score_a, score_b FROM cls"))
