@@ -15,9 +15,9 @@ def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: st
     """All nodes below each root: columns ``root``, ``node``, ``depth`` (shortest), to the last level or ``max_depth``.
 
     The first ``plain_levels`` levels each join the pairs of the level before with the edges and are written out, so a lost
-    executor never replays the chain. A hierarchy that goes on then has long chains: their nodes are folded by pointer doubling
-    (pairs joined with pairs, twice the distance each round), so a chain costs the logarithm of its length, and only the
-    graph of chain heads is walked. Rounds end with no new or shorter pair, so cycles are no danger.
+    executor never replays the chain. A hierarchy that goes on then is deep: nodes with a single parent are folded by pointer
+    doubling (pairs joined with pairs, twice the distance each round), so a chain or tree costs the logarithm of its depth, and
+    only the graph of nodes with several parents is walked. Rounds end with no new or shorter pair, so cycles are no danger.
     """
     steps = edges.select(F.col(parent).alias("node"), F.col(child).alias("_child")).where("node <> _child").distinct()
     steps = materialize(steps, "edges")
@@ -39,35 +39,33 @@ def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: st
 
 
 def _folded(steps: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node, head, dist): the inner nodes of chains, with the head of the chain and the distance from it.
+    """(node, head, dist): the inner nodes of trees, with the head they hang on and the distance from it.
 
-    An inner node has one parent, which has no other child, and is no start. Every round doubles the distance that a pointer
-    spans, and leaves one pointer for each node. A ring of inner nodes is reached by no start; the number of rounds is
-    bounded by the number of pointers, so it does not keep the rounds going.
+    An inner node has one parent and is no start, so all ways to it pass its head, however many branches leave on the way. Every
+    round doubles the distance that a pointer spans, and leaves one pointer for each node; a pointer that has met its head is
+    not joined again. A ring of inner nodes is reached by no start; the number of rounds is bounded by the number of
+    pointers, so it does not keep the rounds going.
     """
-    parents = steps.groupBy("_child").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n = 1")
-    single = steps.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select(F.col("node").alias("head"))
-    inner = parents.join(single, "head", "left_semi").join(starts, F.col("_child") == F.col("node"), "left_anti")
-    at = materialize(inner.select(F.col("_child").alias("node"), "head", F.lit(1).cast("long").alias("dist")), "chains")
+    inner = steps.groupBy("_child").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n = 1")
+    inner = inner.join(starts, F.col("_child") == F.col("node"), "left_anti")
+    at = materialize(inner.select(F.col("_child").alias("node"), "head", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("moved")), "chains")
     bound = max(1, at.count()).bit_length() + 1
     for _ in range(bound):
         up = at.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("dist").alias("_dist"))
-        both = at.join(up, "head", "left")
-        moved = materialize(both.select("node", F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
-                                        F.col("_head").isNotNull().alias("moved")), "chains")
-        discard(at)
-        more = moved.where("moved")
-        done = more.isEmpty()
-        at = moved.drop("moved")
-        if done:
+        both = at.where("moved").join(up, "head", "left")
+        moved = both.select("node", F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+                            F.col("_head").isNotNull().alias("moved"))
+        old, at = at, materialize(moved.unionByName(at.where("NOT moved")), "chains")
+        discard(old)
+        if at.where("moved").isEmpty():
             break
-    return at
+    return at.drop("moved")
 
 
 def _below(steps: DataFrame, found: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
-    """``found`` (root, node, depth) and what lies below ``starts``, its last level, by the graph of chain heads."""
+    """``found`` (root, node, depth) and what lies below ``starts``, its last level, by the graph of heads."""
     chains = _folded(steps, starts.select("node").distinct())
-    # An edge from within a chain starts at its head; one to an inner node is the chain itself.
+    # An edge from an inner node starts at its head; one to an inner node is part of a tree.
     out = steps.join(chains.select(F.col("node").alias("_child")), "_child", "left_anti").join(chains, "node", "left")
     links = out.select(F.coalesce("head", "node").alias("node"), F.col("_child").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("w"))
     links = materialize(links.groupBy("node", "to").agg(F.min("w").alias("w")), "chains")
