@@ -72,12 +72,14 @@ def group_contrast(df: DataFrame, groups: DataFrame, by: Sequence[str], high: st
 
     The gap is the difference of the already rounded percentages.
     """
-    named = lookup_join(df, groups, city, "inner")
+    # Answers are counted by entity first, so the join meets a row for each entity and no answer.
+    counted = df.groupBy(*dict.fromkeys([*by, city])).agg(n_if(F.col(correct)).alias("_correct"), F.count(F.lit(1)).alias("_total"))
+    named = lookup_join(counted, groups, city, "inner")
     names = [high, low]
     aggs = []
     for g in names:
-        inside = F.col("grp") == g
-        aggs += [n_if(inside & F.col(correct)).alias(f"correct_{g}"), n_if(inside).alias(f"total_{g}")]
+        for part in ("correct", "total"):
+            aggs.append(F.sum(F.when(F.col("grp") == g, F.col(f"_{part}")).otherwise(F.lit(0))).alias(f"{part}_{g}"))
     out = named.groupBy(*by).agg(*aggs)
     for g in names:
         out = out.withColumn(f"pct_{g}", percent(F.col(f"correct_{g}"), F.col(f"total_{g}")))
