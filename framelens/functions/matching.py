@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,26 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def overlaps_itself(word: str) -> bool:
+    """Can an occurrence of the word begin within another one: does it end as it begins."""
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
+def any_word(words: Iterable[str]) -> str:
+    """A regex for the longest of the plain words that stand at a place, by their common beginnings."""
+
+    def rest(tails: list[str]) -> str:
+        first: dict[str, list[str]] = {}
+        for x in tails:
+            if x:
+                first.setdefault(x[0], []).append(x)
+        starts = {commonprefix(group): group for group in first.values()}
+        ways = "|".join(quote(p) + rest([x[len(p):] for x in group]) for p, group in starts.items())
+        return f"(?:{ways})" + ("?" if "" in tails else "") if ways else ""
+
+    return rest(sorted(set(words)))
+
+
 def any_match(text: Column, patterns: Sequence[str]) -> Column:
     """Does any pattern occur. Literals are tried first, each as a plain search."""
     ordered = sorted(patterns, key=lambda p: not is_literal(p))

@@ -11,11 +11,13 @@ from framelens.functions.matching import (
     any_contains,
     any_match,
     any_true,
+    any_word,
     count_matches,
     first_case,
     is_literal,
     let,
     matches,
+    overlaps_itself,
     rules_case,
     total,
 )
@@ -33,8 +35,15 @@ def presence_score(low: Column, signals: Sequence[Signal]) -> Column:
 
 
 def occurrence_score(low: Column, signals: Sequence[Signal]) -> Column:
-    """Sum over signals of weight times number of matches."""
-    return let(low, lambda t: _sum_signals(t, signals, _count_plain, count_matches))
+    """Sum over signals of weight times number of matches.
+
+    A plain word that cannot overlap itself matches wherever it begins: all such words are found in one pass over the text.
+    """
+    def single(s: Signal) -> bool:
+        return s.pattern != "" and is_literal(s.pattern) and not overlaps_itself(s.pattern)
+
+    words, others = [s for s in signals if single(s)], [s for s in signals if not single(s)]
+    return let(low, lambda t: _sum_signals(t, others, _count_plain, count_matches) + _sum_words(t, words))
 
 
 def _sum_signals(text: Column, signals: Sequence[Signal], plain: Callable[[Column, Column], Column], regex: Callable[[Column, str], Column]) -> Column:
@@ -52,6 +61,27 @@ def _sum_signals(text: Column, signals: Sequence[Signal], plain: Callable[[Colum
     return total(parts, F.lit(0.0))
 
 
+def _sum_words(text: Column, signals: Sequence[Signal]) -> Column:
+    """Weighted number of places where words begin that do not overlap themselves.
+
+    The lookahead yields the longest word at each place; the words that it begins with stand there too. Places are counted by
+    weight before anything is multiplied, so the sum does not hang on their order.
+    """
+    if not signals:
+        return F.lit(0.0)
+    own: dict[str, list[Column]] = {}
+    for s in signals:
+        own.setdefault(s.pattern, []).append(F.lit(float(s.weight)))
+    words = list(own)
+    held = {w: [c for k in range(1, len(w) + 1) for c in own.get(w[:k], ())] for w in words}
+    weights = F.create_map(*[c for w, of in held.items() for c in (F.lit(w), F.array(*of))])
+    found = F.regexp_extract_all(text, F.lit(f"(?=({any_word(words)}))"), F.lit(1))
+    every = F.flatten(F.transform(found, lambda w: F.element_at(weights, w)))
+    classes = F.array(*[F.lit(w) for w in dict.fromkeys(float(s.weight) for s in signals)])
+    # A null text has no words.
+    return F.coalesce(let(every, lambda v: F.aggregate(classes, F.lit(0.0), lambda acc, w: acc + w * F.size(F.filter(v, lambda x: x == w)))), F.lit(0.0))
+
+
 def _weight(hit: Column, weight: float | Column) -> Column:
     """The weight times a count, or once where a condition is true; zero for null."""
     return F.coalesce(hit.cast("double"), F.lit(0.0)) * (weight if isinstance(weight, Column) else F.lit(float(weight)))
