@@ -2,7 +2,7 @@
 
 Texts are lower-cased runs of letters, each framed by spaces; an n-gram of up to four characters packs into 64 bits (16 per
 character), the sorted keys are searched by bisection. The language with the lowest cross-entropy per character wins; a
-temperature fitted on training texts turns the entropies into a score, and a bound per language marks rejected texts.
+temperature fitted on all training texts turns the entropies into a score, and a bound per language marks rejected texts.
 
 Every n-gram counts. Models up to a measured size are sent whole to the tasks; larger ones stay tables of n-grams and contexts,
 which the distinct n-grams of chunks of text are joined with. Both give the same entropies.
@@ -18,17 +18,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm.common import fold, per_batch_struct, pieces, share, shared_value
-from framelens.operators.scale import discard, materialize, top_per_key
+from framelens.operators.scale import discard, materialize
 
 ORDER = 4
 LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 SPACE = 32
 KIND = "lang_pred string, score double, entropy double, rejected boolean"
+ENTROPIES = "bits array<double>"
+ARROW = {
+    KIND: pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())]),
+    ENTROPIES: pa.struct([("bits", pa.list_(pa.float64()))]),
+}
+TEMPERATURES = tuple(float(2.0 ** k) for k in np.arange(-2, 6, 0.5))
+# Bounds of rejection are read off counts of entropies by steps of this many to a bit.
+STEPS = 1024
 
 
 def letter_runs(text: str | None) -> list[str]:
@@ -256,6 +264,10 @@ class Scorer:
                 out[i] = sums[:-1] / sums[-1]
         return out
 
+    def measure(self, texts: list[str | None]) -> pd.DataFrame:
+        """The bits per character of each text in all languages; null without a letter."""
+        return pd.DataFrame({"bits": [None if np.isnan(e[0]) else e.tolist() for e in self.entropies(texts)]}, dtype=object)
+
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """Language, score and rejection; without a letter, or without any learned language, ``und`` and score 0."""
         m = self.model
@@ -272,40 +284,44 @@ class Scorer:
         return pd.DataFrame({"lang_pred": lang, "score": np.where(none, 0.0, score), "entropy": np.where(none, np.nan, low), "rejected": none | (low > bound)})
 
 
-def calibrate(model: Model | Tables, spark: SparkSession, texts: list[str | None], langs: list[str]) -> Model | Tables:
-    """Temperature of least log loss on given texts, and for each language the 99.5 % bound of entropy plus half a bit."""
-    if not texts or not model.langs:
+def calibrate(model: Model | Tables, known: DataFrame, lang_col: str, text_col: str) -> Model | Tables:
+    """Temperature of least log loss on all given texts, and for each language the 99.5 % bound of entropy plus half a bit.
+
+    Texts are scored in their tasks. The driver gets a sum for each temperature, and the texts of a language counted by their
+    entropy in steps of 1 / 1024 bit, so a bound is the upper end of its step.
+    """
+    if not model.langs:
         return model
-    known = model
-    if isinstance(model, Tables):
-        words = sorted({w for t in texts for w in letter_runs(t)})
-        keys = np.unique(grams(words)[0]).view(np.int64) if words else np.zeros(0, np.int64)
-        rows = model.costs(spark.createDataFrame(pd.DataFrame({"gram": keys}), "gram long")).collect()
-        known = Lookup.of(model.langs, np.array([r["gram"] for r in rows], np.int64), np.array([r["cost"] for r in rows], float))
-    e = Scorer(known).entropies(texts)
-    truth = np.array([model.langs.index(x) for x in langs])
-    ok = ~np.isnan(e[:, 0])
-    e, truth = e[ok], truth[ok]
-    if not len(e):
+    rows = scored(known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), model, ["lang"], "text", Scorer.measure, ENTROPIES)
+    at = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int")
+    rows = rows.select("lang", at.alias("j"), "p.bits").where("bits IS NOT NULL")
+    rows = rows.select("lang", F.element_at("bits", F.col("j")).alias("own"), F.transform("bits", lambda x: x - F.array_min("bits")).alias("over"), "j")
+
+    def loss(t: float) -> Column:
+        every = F.aggregate("over", F.lit(0.0), lambda acc, x: acc + F.exp(F.lit(-t) * x))
+        return F.log(every) + F.lit(t) * F.element_at("over", F.col("j"))
+
+    step = F.floor(F.col("own") * STEPS).cast("long")
+    got = rows.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"), *[F.sum(loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).toPandas()
+    if not len(got):
         return model
-    rows = np.arange(len(e))
+    t = TEMPERATURES[int(np.argmin([got[f"t{i}"].sum() for i in range(len(TEMPERATURES))]))]
 
-    def loss(t: float) -> float:
-        z = -t * (e - e.min(1, keepdims=True))
-        return float((np.log(np.exp(z).sum(1)) - z[rows, truth]).mean())
+    def bound(lang: str) -> float:
+        of = got[got["lang"] == lang].sort_values("step")
+        if not len(of):
+            return np.inf
+        n = of["n"].cumsum().to_numpy()
+        return (int(of["step"].iloc[int(np.searchsorted(n, 0.995 * n[-1]))]) + 1) / STEPS + 0.5
 
-    t = min((2.0 ** k for k in np.arange(-2, 6, 0.5)), key=loss)
-    own = e[rows, truth]
-    bound = tuple(float(np.quantile(own[truth == j], 0.995)) + 0.5 if (truth == j).any() else np.inf for j in range(len(model.langs)))
-    return replace(model, temperature=float(t), reject=bound)
+    return replace(model, temperature=t, reject=tuple(bound(x) for x in model.langs))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = 1_000_000,
-          sample_rows: int = 200) -> Model | Tables:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = 1_000_000) -> Model | Tables:
     """Models from all texts outside the held-out fold that have a language, with all their n-grams.
 
     A model of at most ``max_grams`` n-grams over all languages can be sent to the tasks; a larger one stays in tables, and is
-    for ``predict`` only. ``sample_rows`` texts per language calibrate the scores.
+    for ``predict`` only. The same texts calibrate the scores.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (fold(id_col) != 0))
     counts = materialize(count_grams(known, lang_col, text_col), "language-grams")
@@ -319,34 +335,42 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     else:
         model = tabulate(counts, langs, floor)
     discard(counts)
-    rows = top_per_key(known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), ["lang"], [F.xxhash64("id"), F.col("id")], sample_rows)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows.dropDuplicates(["id"])), "id")
-    some = some.dropDuplicates(["id"]).where(F.col("lang").isin(langs)).orderBy("id").collect()
-    return calibrate(model, docs.sparkSession, [r["text"] for r in some], [r["lang"] for r in some])
+    return calibrate(model, known, lang_col, text_col)
 
 
-def predict_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """Struct (lang_pred, score, entropy, rejected) of each whole text."""
+def scored_column(docs: DataFrame, model: Model, text_col: str, method: Callable[[Scorer, list[str | None]], pd.DataFrame], kind: str) -> Column:
     shared = share(docs.sparkSession, model)
 
     def make():
         s = Scorer(shared_value(shared))
-        return lambda texts: pd.concat([s.predict(p) for p in pieces(texts)] or [s.predict([])], ignore_index=True)
+        return lambda texts: pd.concat([method(s, p) for p in pieces(texts)] or [method(s, [])], ignore_index=True)
 
-    return per_batch_struct(make, KIND, F.col(text_col))
+    return per_batch_struct(make, kind, F.col(text_col))
+
+
+def predict_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """Struct (lang_pred, score, entropy, rejected) of each whole text."""
+    return scored_column(docs, model, text_col, Scorer.predict, KIND)
 
 
 def predict(docs: DataFrame, model: Model | Tables, keep: list[str], text_col: str = "text", chunk_chars: int = 1 << 22) -> DataFrame:
-    """Columns ``keep`` and ``p``, the struct of ``predict_column``, of each row, for a model of any size.
+    """Columns ``keep`` and ``p``, the struct of ``predict_column``, of each row, for a model of any size."""
+    return scored(docs, model, keep, text_col, Scorer.predict, KIND, chunk_chars)
+
+
+def scored(docs: DataFrame, model: Model | Tables, keep: list[str], text_col: str, method: Callable[[Scorer, list[str | None]], pd.DataFrame],
+           kind: str, chunk_chars: int = 1 << 22) -> DataFrame:
+    """Columns ``keep`` and ``p``, the struct ``kind`` that a method of the scorer gives for each text.
 
     With tables, the rows are written once in chunks of about ``chunk_chars`` characters (a text is never cut); each chunk's
     distinct n-grams get their costs by joins, and the costs meet the chunk again.
     """
     if isinstance(model, Model):
-        return docs.select(*keep, predict_column(docs, model, text_col).alias("p"))
+        return docs.select(*keep, scored_column(docs, model, text_col, method, kind).alias("p"))
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     names, langs, temperature, reject = rows.columns, model.langs, model.temperature, model.reject
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    struct = ARROW[kind]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -379,12 +403,12 @@ def predict(docs: DataFrame, model: Model | Tables, keep: list[str], text_col: s
         flat = costs.column("cost").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         known = Lookup.of(langs, costs.column("gram").to_numpy(), flat, temperature=temperature, reject=reject)
         scorer = Scorer(known)
-        got = pd.concat([scorer.predict(p) for p in pieces(texts.column("text").to_pylist())], ignore_index=True)
-        p = [pa.array(got["lang_pred"], pa.string()), *[pa.array(got[c].to_numpy(float), pa.float64(), from_pandas=True) for c in ("score", "entropy")], pa.array(got["rejected"].to_numpy(bool))]
-        return pa.table([*[texts.column(c) for c in names[:-1]], pa.StructArray.from_arrays(p, ["lang_pred", "score", "entropy", "rejected"])], [*names[:-1], "p"])
+        got = pd.concat([method(scorer, p) for p in pieces(texts.column("text").to_pylist())], ignore_index=True)
+        p = [pa.array(got[f.name].tolist(), f.type, from_pandas=True) for f in struct]
+        return pa.table([*[texts.column(c) for c in names[:-1]], pa.StructArray.from_arrays(p, fields=list(struct))], [*names[:-1], "p"])
 
     chunks = materialize(rows.mapInArrow(deal, f"{fields}, text string, chunk long"), "language-chunks")
     asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, gram long").distinct()
     costs = model.costs(asked).select("chunk", "gram", "cost")
-    out = chunks.groupBy("chunk").cogroup(costs.groupBy("chunk")).applyInArrow(answer, f"{fields}, p struct<{', '.join(x.replace(' ', ':') for x in KIND.split(', '))}>")
+    out = chunks.groupBy("chunk").cogroup(costs.groupBy("chunk")).applyInArrow(answer, f"{fields}, p struct<{', '.join(x.replace(' ', ':') for x in kind.split(', '))}>")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "p")
