@@ -7,7 +7,8 @@ filter, and pass a bound of the symmetric difference from bit maps, before their
 
 Texts with equal sets form a class first, so copies never meet. The result is components, so a candidate whose ends are
 already connected needs no comparison: first every class is compared with the most central class of each of its prefix
-tokens; only tokens whose classes are not yet connected then compare the rest. No link between components is left out.
+tokens; only tokens whose classes are not yet connected then compare the rest, except classes whose distances from that
+central class differ by more than a link allows. No link between components is left out.
 """
 
 from __future__ import annotations
@@ -192,13 +193,13 @@ def digest(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
                 late = (often[at] == every).astype(np.uint64) << np.uint64(63) if len(often) else np.uint64(0)
                 ranks = [(mix64(every ^ salt) >> np.uint64(1)) | late for salt in SALTS]
                 cut = (every >> np.uint64(22)).astype(np.uint32).view(np.int32)
-                places = (every >> np.uint64(64 - 10)).astype(np.int64)
+                spots = (every >> np.uint64(64 - 10)).astype(np.int64)
                 lo = 0
                 for s in group:
                     n, hi = len(s), lo + len(s)
                     sizes.append(n)
                     keys.append(set_key(s))
-                    maps[i, places[lo:hi]] = 1
+                    maps[i] = np.bincount(spots[lo:hi], minlength=MAP_WORDS * 64) & 1
                     take = n - (percent * n + 99) // 100 + 1 if n else 0
                     for k, rank in enumerate(ranks):
                         prefixes[k].append(cut[lo:hi][np.argpartition(rank[lo:hi], take - 1)[:take]] if take < n else cut[lo:hi])
@@ -342,14 +343,21 @@ def near(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def places(a: str, b: str) -> Column:
+    """In how many places two bit maps differ."""
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(MAP_WORDS)), F.lit(0))
+
+
 def difference_fits(percent: int, a: str, b: str, n: Column, m: Column) -> Column:
-    """Bit maps differ in no more places than the sets of a linked pair may."""
-    places = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(MAP_WORDS)), F.lit(0))
-    return places * (100 + percent) <= (100 - percent) * (n + m)
+    """Bit maps differ in no more places than the sets of a linked pair may: a place holds whether an odd number of tokens falls on it, so it differs only by a token of one set."""
+    return places(a, b) * (100 + percent) <= (100 - percent) * (n + m)
 
 
 def compare(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Candidate pairs (a, b) of classes to links: the other orders' prefixes and the bit maps first, then the whole sets of what is left."""
+    """(a, b, linked, lo, hi) of candidate pairs (a, b) of classes, with bounds of their Jaccard distance.
+
+    The other orders' prefixes and the bit maps come first, then the whole sets of what is left, whose distance is exact.
+    """
 
     def ends(of: DataFrame) -> DataFrame:
         return settle(classes.join(of.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v"), "wanted")
@@ -359,18 +367,27 @@ def compare(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFra
     info = settle(of_classes(rows, wanted, ["n", *names]), "info")
     one = info.select(F.col("v").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in names])
     two = info.select(F.col("v").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in names])
-    got = pairs.join(one, "a").join(two, "b").where(difference_fits(percent, "ab", "bb", F.col("na"), F.col("nb")))
+    total = F.col("na") + F.col("nb")
+    fits = difference_fits(percent, "ab", "bb", F.col("na"), F.col("nb"))
     for k in range(1, ORDERS):
-        got = got.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
-    got = settle(got.select("a", "b", (F.col("na") + F.col("nb")).alias("sum")), "candidates")
+        fits = fits & F.arrays_overlap(f"ap{k}", f"bp{k}")
+    got = settle(pairs.join(one, "a").join(two, "b").select("a", "b", total.alias("sum"), places("ab", "bb").alias("places"), fits.alias("fits")), "candidates")
     discard(info, wanted)
     # Texts pack to less than half of their token sets, so they are what travels to the pairs.
-    wanted = ends(got)
+    left = got.where("fits")
+    wanted = ends(left)
     texts = settle(class_texts(docs, wanted, width, id_col, text_col), "texts")
-    both = got.join(texts.select(F.col("v").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("t").alias("tb")), "b")
-    links = settle(shared_tokens(both, width).where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b"), "links")
-    discard(got, wanted, texts)
-    return links
+    both = left.join(texts.select(F.col("v").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("t").alias("tb")), "b")
+    exact = settle(shared_tokens(both, width).select("a", "b", "shared"), "shared")
+    distance = 1 - F.col("shared") / (F.col("sum") - F.col("shared"))
+    # Sets that differ in at least d tokens are at least 2 d / (sum + d) apart; what a filter refused is beyond the limit.
+    least = F.greatest(2 * F.col("places") / (F.col("sum") + F.col("places")), F.lit(1 - percent / 100))
+    out = got.join(exact, ["a", "b"], "left").select(
+        "a", "b", F.coalesce(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared")), F.lit(False)).alias("linked"),
+        F.coalesce(distance, least).alias("lo"), F.coalesce(distance, F.lit(1.0)).alias("hi"))
+    out = settle(out, "links")
+    discard(got, wanted, texts, exact)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,22 +414,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     star = meet.join(hubs, "t").where((F.col("v") != F.col("hub")) & near("n", "nh", percent)).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
     star = settle(star, "star")
     links = compare(star, rows, classes, docs, width, percent, id_col, text_col)
-    joined = components(links)
+    joined = components(links.where("linked"))
 
     named = meet.join(joined.withColumnRenamed("id", "v"), "v", "left").withColumn("g", F.coalesce("component", "v"))
     open_tokens = named.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    gaps = settle(named.join(open_tokens, "t").join(hubs, "t").join(joined.select(F.col("id").alias("hub"), F.col("component").alias("gh")), "hub", "left")
-                  .select("t", "v", "n", "g", (F.col("g") != F.coalesce("gh", "hub")).alias("apart")), "gaps")
+    # How far a class is from its token's hub, by comparison or else by the sizes.
+    far = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "lo", "hi")
+    own, to_hub = F.col("v") == F.col("hub"), (F.least("v", "hub") == F.col("_a")) & (F.greatest("v", "hub") == F.col("_b"))
+    lo = F.when(own, 0.0).otherwise(F.coalesce("lo", 1 - F.least("n", "nh") / F.greatest("n", "nh")))
+    gaps = named.join(open_tokens, "t").join(hubs, "t").join(joined.select(F.col("id").alias("hub"), F.col("component").alias("gh")), "hub", "left").join(far, to_hub, "left")
+    gaps = settle(gaps.select("t", "v", "n", "g", (F.col("g") != F.coalesce("gh", "hub")).alias("apart"), lo.alias("lo"), F.when(own, 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi")), "gaps")
     bits = of_classes(rows, settle(classes.join(gaps.select("v").distinct(), "v"), "wanted"), [f"b{k}" for k in range(MAP_WORDS)])
     left = settle(gaps.join(bits, "v"), "open")
     discard(gaps)
-    x = left.where("apart").select("t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(MAP_WORDS)])
-    y = left.select(F.col("t").alias("t2"), F.col("v").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(MAP_WORDS)])
-    fits = (F.col("gx") != F.col("gy")) & near("nx", "ny", percent) & difference_fits(percent, "x", "y", F.col("nx"), F.col("ny"))
+    x = left.where("apart").select("t", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), *[F.col(f"b{k}").alias(f"x{k}") for k in range(MAP_WORDS)])
+    y = left.select(F.col("t").alias("t2"), F.col("v").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("lo").alias("ly"), F.col("hi").alias("hy"), F.col("apart").alias("ay"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(MAP_WORDS)])
+    # Jaccard distance is a metric: ends of a link are about as far from their token's hub. Two that are both apart meet once.
+    reach = F.lit(1 - percent / 100 + 1e-9)
+    level = (F.col("lx") - F.col("hy") <= reach) & (F.col("ly") - F.col("hx") <= reach)
+    once = ~F.col("ay") | (F.col("x") < F.col("y"))
+    fits = (F.col("gx") != F.col("gy")) & once & level & near("nx", "ny", percent) & difference_fits(percent, "x", "y", F.col("nx"), F.col("ny"))
     more = x.join(y, (F.col("t") == F.col("t2")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = settle(more.join(star, ["a", "b"], "left_anti"), "rest")
     more_links = compare(more, rows, classes, docs, width, percent, id_col, text_col)
-    before, joined = joined, components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links))
+    before, joined = joined, components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links.where("linked").select("a", "b")))
     narrow = settle(rows.select("id", "n", "k1", "k2"), "keys")
     discard(rows, meet, hubs, star, left, more, links, more_links, before)
 
