@@ -222,17 +222,22 @@ def scheme_scores(cells: DataFrame, subject: str, schemes: Mapping[str, Mapping[
     """Per subject the mean over its cells of every scheme; cells are rounded before they are averaged."""
     per_cell = cells.select(subject, *[F.round(composite(w), digits).alias(s) for s, w in schemes.items()])
     return per_cell.groupBy(subject).agg(
-        *[F.round(F.avg(s), digits).alias(s) for s in schemes], F.count(next(iter(schemes))).alias("n_languages")
+        *[_exact_mean(s, digits).alias(s) for s in schemes], F.count(next(iter(schemes))).alias("n_languages")
     )
 
 
+def _exact_mean(value: str, digits: int) -> Column:
+    """Rounded mean that does not hang on the order of its rows: a sum of doubles does, and a tie then falls to either side."""
+    return F.round(F.avg(F.col(value).cast("decimal(25,15)")), digits).cast("double")
+
+
 def robust_scores(cells: DataFrame, subject: str, tiers: Sequence[str] = ("D", "L", "I", "R"), digits: int = 4) -> DataFrame:
     """Per subject the mean over its cells of the weight-free composites."""
     per_cell = cells.select(
         subject, composite_min(tiers).alias("min"), composite_harmonic(tiers).alias("harmonic_mean")
     )
     return per_cell.groupBy(subject).agg(
-        F.round(F.avg("min"), digits).alias("min"), F.round(F.avg("harmonic_mean"), digits).alias("harmonic_mean")
+        _exact_mean("min", digits).alias("min"), _exact_mean("harmonic_mean", digits).alias("harmonic_mean")
     )
 
 
