@@ -294,7 +294,7 @@ def calibrate(model: Model | Tables, known: DataFrame, lang_col: str, text_col:
         return model
     rows = scored(known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), model, ["lang"], "text", Scorer.measure, ENTROPIES)
     at = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int")
-    rows = rows.select("lang", at.alias("j"), "p.bits").where("bits IS NOT NULL")
+    rows = rows.select("lang", at.alias("j"), "p.bits")
     rows = rows.select("lang", F.element_at("bits", F.col("j")).alias("own"), F.transform("bits", lambda x: x - F.array_min("bits")).alias("over"), "j")
 
     def loss(t: float) -> Column:
@@ -303,6 +303,8 @@ def calibrate(model: Model | Tables, known: DataFrame, lang_col: str, text_col:
 
     step = F.floor(F.col("own") * STEPS).cast("long")
     got = rows.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"), *[F.sum(loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).toPandas()
+    # Texts without a letter have no step; a filter before the sums would score every text twice.
+    got = got[got["step"].notna()]
     if not len(got):
         return model
     t = TEMPERATURES[int(np.argmin([got[f"t{i}"].sum() for i in range(len(TEMPERATURES))]))]
