@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm.common import mix64
-from framelens.operators.scale import discard, materialize
+from framelens.operators.scale import batches_of, discard, materialize
 
 ORDERS, MAP_WORDS = 3, 16
 HEAVY_TOKENS, CHUNK, CHUNK_LEAST = 1 << 18, 1 << 21, 3
-BLOCK = 1 << 20
+# Bytes of text that are hashed at a time (some 40 bytes of working memory for each), and rows of a batch that a task holds.
+BLOCK, ROWS = 1 << 18, 1000
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -127,13 +128,22 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table and let the shuffle files behind it go: nothing refers to them any more."""
-    out = materialize(df, f"jaccard-{name}")
+    with batches_of(df.sparkSession, ROWS):
+        out = materialize(df, f"jaccard-{name}")
     del df
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def repeated(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand ``least`` times or more, ascending, and how often. Sorts ``values`` in place, so it needs little more memory."""
+    values.sort()
+    ahead = values[least - 1:]
+    often = np.unique(ahead[ahead == values[:len(ahead)]])
+    return often, np.searchsorted(values, often, "right") - np.searchsorted(values, often)
+
+
 def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
     """Tokens that are frequent anywhere in the corpus, at most HEAVY_TOKENS. They only shape the orders: any choice is right.
 
@@ -144,9 +154,10 @@ def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
         held, size = [], 0
 
         def report() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= CHUNK_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["t", "n"])
+            every = np.concatenate(held)
+            held.clear()
+            token, n = repeated(every, CHUNK_LEAST)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["t", "n"])
 
         for batch in batches:
             for s in token_sets(batch.column(0), width):
@@ -154,7 +165,7 @@ def heavy_tokens(docs: DataFrame, width: int, text_col: str) -> np.ndarray:
                 size += len(s)
                 if size >= CHUNK:
                     yield report()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield report()
 

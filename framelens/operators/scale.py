@@ -12,7 +12,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -41,6 +42,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Meanwhile Python workers get batches of at most ``rows`` rows (fewer if the session says so): executor and worker each hold a whole batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, now = spark.conf.get(key, None), int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
